@@ -15,6 +15,10 @@ import numpy as np
 
 MAX_SPECIES = 4096
 
+# Slack of the overlap test and tolerance of two faces that coincide.
+OVERLAP_SLACK = 0.1
+FACE_TOLERANCE = 1e-2
+
 
 def turn_z(half_turns: float) -> tuple:
     """Planar rotation written as a quaternion about z."""
@@ -194,11 +198,6 @@ class BlockLibrary:
     def uniform(cls, shape: Shape, n_species: int, face_labels=None) -> "BlockLibrary":
         return cls([shape] * n_species, face_labels)
 
-    def site_kinds(self) -> list[int]:
-        """Per label, a number that is equal for the same site of the same shape."""
-        seen: dict = {}
-        return [seen.setdefault((shape, s), len(seen)) for shape in self.shapes for s in range(shape.n_sites)]
-
     def site_rows(self):
         """One row per (species, site); the literal form of the library's site table."""
         for k, shape in enumerate(self.shapes):
@@ -216,10 +215,12 @@ class BlockLibrary:
         t.label, t.color = np.zeros((k, m), np.int16), np.zeros((k, m), np.int16)
         t.r_min, t.r_max = np.zeros(k), np.zeros(k)
         t.first, t.fan_of = np.zeros((k, m), int), np.zeros((k, m), int)
+        t.species_of, t.site_of = np.zeros(self.n_labels + 1, int), np.zeros(self.n_labels + 1, int)
         for i, s in enumerate(self.shapes):
             n = s.n_sites
             t.sites[i, :n], t.refs[i, :n], t.turns[i, :n] = s.sites, s.refs, s.turns
             t.label[i, :n] = self.offsets[i] + np.arange(1, n + 1)
+            t.species_of[t.label[i, :n]], t.site_of[t.label[i, :n]] = i, np.arange(n)
             t.color[i, :n] = self.site_colors[i]
             t.r_min[i], t.r_max[i] = s.r_min, s.r_max
             t.fan_of[i, :n] = s.site_vertices

@@ -10,12 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..blocks import FACE_TOLERANCE, OVERLAP_SLACK
 from .rotation import motions, sub_points
 
-#: fixed values: slack of the overlap test and tolerance of two faces that coincide
-OVERLAP_SLACK = 0.1
-FACE_TOLERANCE = 1e-2
-
 
 def attachment(x_i: Column, turn_i: Column, x_j: Column, ref_j: Column, dim: int):
     """Offset and rotation of a block whose site j is glued onto site i: ``(dx, dpsi)``."""

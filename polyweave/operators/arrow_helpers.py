@@ -13,7 +13,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
-from ..blocks import qmul, qrot
+from ..blocks import FACE_TOLERANCE, OVERLAP_SLACK, qmul, qrot
 
 
 # ------------------------------------------------------------------- Arrow plumbing
@@ -87,29 +87,95 @@ def poses(lib: SimpleNamespace, species: np.ndarray, partner: np.ndarray):
 
 
 def place_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array) -> pa.StructArray:
-    """World geometry of every structure: block poses, radii, face centres, labels, colours."""
-    axes = range(lib.dim)
-    spin = (0, 3) if lib.dim == 2 else (0, 1, 2, 3)
-    names = ([f"x{a}" for a in axes] + [f"q{c}" for c in spin] + [f"f{a}" for a in axes]
-             + ["r_min", "r_max", "label", "color"])
+    """Block positions and rotation quaternions of canonical structures, one list per component."""
+    names = ["x", "y", "z", "qw", "qx", "qy", "qz"]
     parts = {name: [] for name in names}
     for rows, sp, pt in by_size(species, partner, lib.stride):
         x, q = poses(lib, sp, pt)
-        k = sp - 1
-        face = x[:, :, None, :] + qrot(lib.sites[k], q[:, :, None, :])
-        flat = lambda v: v.reshape(len(rows), -1)
-        for a in axes:
-            parts[f"x{a}"].append((rows, x[:, :, a]))
-            parts[f"f{a}"].append((rows, flat(face[..., a])))
-        for c in spin:
-            parts[f"q{c}"].append((rows, q[:, :, c]))
-        parts["r_min"].append((rows, lib.r_min[k]))
-        parts["r_max"].append((rows, lib.r_max[k]))
-        parts["label"].append((rows, flat(lib.label[k])))
-        parts["color"].append((rows, flat(lib.color[k])))
-    kinds = [pa.int16() if name in ("label", "color") else pa.float64() for name in names]
+        for i, name in enumerate(names):
+            parts[name].append((rows, x[:, :, i] if i < 3 else q[:, :, i - 3]))
     return pa.StructArray.from_arrays(
-        [list_column(parts[name], len(species), kind) for name, kind in zip(names, kinds)], names)
+        [list_column(parts[name], len(species), pa.float64()) for name in names], names)
+
+
+# ------------------------------------------------------------------------- attaching
+
+CHUNK = 4096      # candidates compared at once, bounds the size of the temporary arrays
+
+
+def contacts(lib, k, partner, x, q, parent, slot, label):
+    """Place one new block per candidate and list what it touches.
+
+    Returns ``(kept candidate numbers, hit[C, slots])``: candidates whose block overlaps a
+    placed one or meets a bound face are gone; ``hit`` holds the new block's touching site.
+    """
+    m = lib.stride
+    host, s = np.divmod(slot - 1, m)
+    kh, kj, sj = k[parent, host], lib.species_of[label], lib.site_of[label]
+    turn = qmul(lib.turns[kh, s], lib.refs[kj, sj])
+    step = lib.sites[kh, s] - qrot(lib.sites[kj, sj], turn)
+    centre = x[parent, host] + qrot(step, q[parent, host])
+    spin = qmul(q[parent, host], turn)
+    gap = np.sqrt(((x[parent] - centre[:, None]) ** 2).sum(axis=2))
+    kp = k[parent]
+    clash = (gap <= lib.r_max[kp] + lib.r_max[kj][:, None]) & (gap < 2 * lib.r_min[kp] - OVERLAP_SLACK)
+    kept = np.flatnonzero(~clash.any(axis=1))
+    parent, kj = parent[kept], kj[kept]
+    fresh = centre[kept, None] + qrot(lib.sites[kj], spin[kept, None])
+    placed = (x[:, :, None] + qrot(lib.sites[k], q[:, :, None])).reshape(len(x), -1, 3)[parent]
+    real = (lib.label[k].reshape(len(k), -1) > 0)[parent]
+    close = real[:, :, None] & (lib.label[kj] > 0)[:, None, :]
+    for axis in range(lib.dim):
+        close &= np.abs(placed[:, :, None, axis] - fresh[:, None, :, axis]) < FACE_TOLERANCE
+    hit = np.where(close.any(axis=2), close.argmax(axis=2) + 1, 0)
+    free = ~((hit > 0) & (partner[parent] > 0)).any(axis=1)
+    return kept[free], hit[free]
+
+
+def attach_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array, wanted: pa.Array) -> pa.ListArray:
+    """Per structure, the sterically possible attachments among ``wanted`` (slot, label) pairs."""
+    total, m = len(species), lib.stride
+    counts = np.diff(wanted.offsets.to_numpy())
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    pairs = wanted.flatten()
+    all_slots = pairs.field("slot").to_numpy(zero_copy_only=False).astype(np.int64)
+    all_labels = pairs.field("label").to_numpy(zero_copy_only=False).astype(np.int64)
+    got = []                      # (row, candidate, hit width, hit values) pieces
+    for rows, sp, pt in by_size(species, partner, m):
+        k = sp.astype(np.int64) - 1
+        x, q = poses(lib, sp, pt)
+        parent = np.repeat(np.arange(len(rows)), counts[rows])
+        which = (np.arange(len(parent)) - np.repeat(np.cumsum(counts[rows]) - counts[rows], counts[rows])
+                 + starts[rows][parent])
+        for lo in range(0, len(parent), CHUNK):
+            part, cand = parent[lo:lo + CHUNK], which[lo:lo + CHUNK]
+            kept, hit = contacts(lib, k, pt, x, q, part, all_slots[cand], all_labels[cand])
+            got.append((rows[part[kept]], cand[kept], hit, lib.color[k[part[kept]]].reshape(len(kept), -1)))
+    row = np.concatenate([g[0] for g in got] or [np.zeros(0, np.int64)])
+    cand = np.concatenate([g[1] for g in got] or [np.zeros(0, np.int64)])
+    turn = np.argsort(cand, kind="stable") if len(got) > 1 else np.arange(len(row))
+    rank = np.empty_like(turn)
+    rank[turn] = np.arange(len(turn))
+    base, hits, touch = 0, [], []
+    kj = lib.species_of[all_labels[cand]]
+    for _, _, hit, color in got:
+        here = rank[base:base + len(hit)]
+        hits.append((here, hit.astype(np.int16)))
+        c, s = np.nonzero(hit)
+        touch.append((here[c], s + 1, color[c, s], lib.color[kj[base + c], hit[c, s] - 1]))
+        base += len(hit)
+    owner, t_slot, t_here, t_there = (np.concatenate([t[i] for t in touch] or [np.zeros(0, np.int64)]) for i in range(4))
+    order = np.argsort(owner, kind="stable")
+    ends = lambda n, at: np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))]).astype(np.int32)
+    small = lambda v: pa.array(v.astype(np.int16), type=pa.int16())
+    touches = pa.ListArray.from_arrays(ends(len(row), owner), pa.StructArray.from_arrays(
+        [small(t_slot[order]), small(t_here[order]), small(t_there[order])], ["slot", "here", "there"]))
+    row, cand = row[turn], cand[turn]
+    found = pa.StructArray.from_arrays(
+        [small(all_slots[cand]), small(all_labels[cand]), small(lib.species_of[all_labels[cand]] + 1),
+         list_column(hits, len(row), pa.int16()) if hits else pa.array([], pa.list_(pa.int16())), touches],
+        ["slot", "label_j", "species_j", "hit", "touch"])
+    return pa.ListArray.from_arrays(ends(total, row), found)
 
 
 # -------------------------------------------------------------------- canonical form

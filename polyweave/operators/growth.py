@@ -1,23 +1,20 @@
 """Growing structures by one block: open sites x rules x block templates, contact test, naming.
 
-All steps are narrow: open sites are exploded from the row, the rules travel in the row, and
-the template table (one row per allowed label pair of the library) is joined by broadcast
-after its size has been checked.  The contact test is a column expression over the arrays of
-the row, so no pair of blocks is ever shuffled.
+All steps are narrow: the rules travel in the row, so open sites meet them without a join, and
+the contact test works on the arrays of the row, so no pair of blocks is ever shuffled.  Spark
+expands, filters and de-duplicates; two Arrow helpers do the vector geometry and the naming.
 """
 
 from __future__ import annotations
 
 from functools import partial
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..blocks import BlockLibrary, qmul, qrot
-from ..functions.contact import FACE_TOLERANCE, OVERLAP_SLACK
+from ..blocks import BlockLibrary
 from ..sources.systems import SystemCatalog, partners_by_color, partners_by_label
 from . import arrow_helpers
 
@@ -31,14 +28,22 @@ def _udf(function, schema: str):
 
 
 def place(library: BlockLibrary, species, partner) -> Column:
-    """Struct of world geometry arrays of a canonical structure (see ``place_batch``)."""
-    axes = range(library.dim)
-    spin = (0, 3) if library.dim == 2 else (0, 1, 2, 3)
-    names = [f"x{a}" for a in axes] + [f"q{c}" for c in spin] + [f"f{a}" for a in axes] + ["r_min", "r_max"]
-    schema = ", ".join(f"{n}: array<double>" for n in names) + ", label: array<smallint>, color: array<smallint>"
+    """Struct of pose component arrays of a canonical structure, block 1 at the origin."""
+    schema = ", ".join(f"{n}: array<double>" for n in ("x", "y", "z", "qw", "qx", "qy", "qz"))
     return _udf(partial(arrow_helpers.place_batch, library.tables), f"struct<{schema}>")(species, partner)
 
 
+def attach(library: BlockLibrary, species, partner, wanted) -> Column:
+    """Array of possible attachments of a structure, with everything each one touches."""
+    tables = library.tables
+
+    def call(species: pa.Array, partner: pa.Array, wanted: pa.Array) -> pa.Array:
+        return arrow_helpers.attach_batch(tables, species, partner, wanted)
+    touch = "array<struct<slot: smallint, here: smallint, there: smallint>>"
+    return arrow_udf(call, "array<struct<slot: smallint, label_j: smallint, species_j: smallint, "
+                           f"hit: array<smallint>, touch: {touch}>>")(species, partner, wanted)
+
+
 def canonical(library: BlockLibrary, species, partner, key: bool | None = None, search: bool = False) -> Column:
     """Struct ``species, partner, sigma [, key] [, accepted, orbit]`` of the canonical form."""
     key = not library.distinct_sites if key is None else key
@@ -71,132 +76,48 @@ def monomers(catalog: SystemCatalog) -> DataFrame:
             .withColumn("partner", open_sites))
 
 
-def block_table(spark: SparkSession, library: BlockLibrary) -> DataFrame:
-    """What attaching by ``label_j`` brings in: species, kind of site, labels and colours."""
-    rows = []
-    kinds = library.site_kinds()
-    for k, shape in enumerate(library.shapes):
-        labels = [library.offsets[k] + s + 1 for s in range(shape.n_sites)]
-        rows += [(label, kinds[label - 1], k + 1, float(shape.r_max), labels, library.site_colors[k])
-                 for label in labels]
-    return spark.createDataFrame(rows, "label_j smallint, kind_j int, species_j smallint, r_max_j double, "
-                                       "label_new array<smallint>, color_new array<smallint>").coalesce(1)
+# ------------------------------------------------------------------------ growth steps
 
+def slot_labels(library: BlockLibrary, n: int) -> str:
+    """SQL: site label of every slot of a size-n structure, 0 on padding."""
+    m = library.stride
+    sizes, offsets = (",".join(map(str, v)) for v in ([s.n_sites for s in library.shapes], library.offsets))
+    return (f"transform(sequence(0, {n * m - 1}), s -> IF(s % {m} < array({sizes})[species[s DIV {m}] - 1], "
+            f"array({offsets})[species[s DIV {m}] - 1] + s % {m} + 1, 0))")
 
-def template_table(spark: SparkSession, library: BlockLibrary) -> DataFrame:
-    """How a block sits when its site of kind j is glued to one of kind i, in the host's frame.
 
-    One row per pair of site kinds (shape and site number), so it grows with the number of
-    different shapes only: centre offset ``dx`` and face centres ``f0, f1, f2``.
-    """
-    kinds = {}
-    for k, shape in enumerate(library.shapes):
-        for s in range(shape.n_sites):
-            kinds.setdefault(library.site_kinds()[library.offsets[k] + s], (shape, s))
-    rows = []
-    for i, (host, si) in kinds.items():
-        for j, (guest, sj) in kinds.items():
-            turn = qmul(host.turns[si], guest.refs[sj])
-            dx = np.subtract(host.sites[si], qrot(guest.sites[sj], turn))
-            faces = (qrot(guest.sites, turn) + dx).T
-            rows.append((i, j, dx.tolist(), *[f.tolist() for f in faces]))
-    return spark.createDataFrame(rows, "kind_i int, kind_j int, dx array<double>, f0 array<double>, "
-                                       "f1 array<double>, f2 array<double>").coalesce(1)
-
-
-def with_templates(candidates: DataFrame, catalog: SystemCatalog) -> DataFrame:
-    """Broadcast look-ups; both tables are bounded by the library (see ``MAX_SPECIES``)."""
-    lib = catalog.library
-    if catalog.lookups is None:
-        catalog.lookups = block_table(catalog.spark, lib), template_table(catalog.spark, lib)
-    blocks, templates = catalog.lookups
-    kinds = "array(" + ",".join(map(str, lib.site_kinds())) + ")"
-    return (candidates.join(F.broadcast(blocks), "label_j").selectExpr("*", f"{kinds}[label_i - 1] AS kind_i")
-            .join(F.broadcast(templates), ["kind_i", "kind_j"]))
+def open_bonds(library: BlockLibrary, n: int) -> str:
+    """SQL: all (slot, partner label) pairs of the open sites of a structure and its rules."""
+    each = ("transform(allowed[l - 1], p -> named_struct('slot', CAST(i + 1 AS SMALLINT), 'label', p))")
+    none = "CAST(array() AS ARRAY<STRUCT<slot: SMALLINT, label: SMALLINT>>)"
+    return f"flatten(transform({slot_labels(library, n)}, (l, i) -> IF(l > 0 AND partner[i] = 0, {each}, {none})))"
 
 
-# ------------------------------------------------------------------------ growth steps
+def candidates(frontier: DataFrame, library: BlockLibrary, n: int) -> DataFrame:
+    """One row per attachment without overlap: ``new`` holds slot, label, species and contacts."""
+    wanted = frontier.selectExpr("*", f"{open_bonds(library, n)} AS wanted")
+    return wanted.withColumn("new", F.explode(attach(library, "species", "partner", "wanted"))).drop("wanted")
 
-def placed(frontier: DataFrame, library: BlockLibrary) -> DataFrame:
-    return frontier.withColumn("at", place(library, F.col("species"), F.col("partner")))
 
+def permitted(library: BlockLibrary) -> str:
+    """SQL: every face pair the new block makes is one the rules allow."""
+    allowed = "allowed" if library.distinct_sites else "allowed_colors"
+    return f"NOT exists(new.touch, t -> NOT array_contains({allowed}[t.here - 1], t.there))"
 
-def open_bonds(structures: DataFrame) -> DataFrame:
-    """One row per open site and allowed partner label; needs ``at`` from :func:`placed`."""
-    return (structures.selectExpr("*", "posexplode(at.label) AS (pos, label_i)")
-            .where("label_i > 0 AND partner[pos] = 0")
-            .selectExpr("*", "CAST(pos + 1 AS SMALLINT) AS slot", "explode(allowed[label_i - 1]) AS label_j")
-            .drop("pos"))
 
+def one_per_placement(library: BlockLibrary, once: str) -> str:
+    """SQL: drop candidates that reach a placement another candidate of the row reaches too.
 
-def attached(candidates: DataFrame, catalog: SystemCatalog) -> DataFrame:
-    """Add the new block's world centre ``nx`` and face centres ``nf`` to each candidate."""
-    lib = catalog.library
-    axes = range(lib.dim)
-    df = with_templates(candidates, catalog).selectExpr("*", f"CAST((slot - 1) DIV {lib.stride} AS INT) AS h")
-    # rotation matrix of the host once per candidate, then plain products
-    matrix = {k: v.replace("@", "at.q") for k, v in MATRIX[lib.dim].items()}
-    df = df.selectExpr("*", "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in matrix.items()) + ") AS m")
-    turned = lambda a, p: " + ".join([f"at.x{a}[h]"] + [f"m.m{a}{b} * {p(b)}" for b in axes])
-    centre = ", ".join(f"'x{a}', " + turned(a, lambda b: f"dx[{b}]") for a in axes)
-    faces = ", ".join(f"'f{a}', " + turned(a, lambda b: f"f{b}[g]") for a in axes)
-    return df.selectExpr(
-        "*", f"named_struct({centre}) AS nx",
-        f"transform(sequence(0, size(label_new) - 1), g -> named_struct({faces})) AS nf",
-    ).drop("m", "h", "dx", "f0", "f1", "f2", "kind_i", "kind_j")
-
-
-# rotation matrix entries in terms of the host quaternion (@0..@3 are w, x, y, z)
-MATRIX = {
-    2: {"m00": "1 - 2 * @3[h] * @3[h]", "m01": "-2 * @0[h] * @3[h]",
-        "m10": "2 * @0[h] * @3[h]", "m11": "1 - 2 * @3[h] * @3[h]"},
-    3: {"m00": "1 - 2 * (@2[h] * @2[h] + @3[h] * @3[h])", "m01": "2 * (@1[h] * @2[h] - @0[h] * @3[h])",
-        "m02": "2 * (@1[h] * @3[h] + @0[h] * @2[h])", "m10": "2 * (@1[h] * @2[h] + @0[h] * @3[h])",
-        "m11": "1 - 2 * (@1[h] * @1[h] + @3[h] * @3[h])", "m12": "2 * (@2[h] * @3[h] - @0[h] * @1[h])",
-        "m20": "2 * (@1[h] * @3[h] - @0[h] * @2[h])", "m21": "2 * (@2[h] * @3[h] + @0[h] * @1[h])",
-        "m22": "1 - 2 * (@1[h] * @1[h] + @2[h] * @2[h])"},
-}
-
-
-def touching(library: BlockLibrary, n: int) -> str:
-    """``array<int>`` per placed slot: the new block's site that meets it, 0 if none."""
-    axes = range(library.dim)
-    far = " OR ".join(f"abs(at.f{a}[s] - nx.x{a}) > r_max_j + {FACE_TOLERANCE}" for a in axes)
-    gap = ", ".join(f"abs(at.f{a}[s] - g.f{a})" for a in axes)
-    return (f"transform(sequence(0, {n * library.stride - 1}), s -> CASE WHEN at.label[s] = 0 OR {far} THEN 0 "
-            f"ELSE CAST(array_position(transform(nf, g -> greatest({gap}) < {FACE_TOLERANCE}), true) AS INT) END)")
-
-
-def overlapping(library: BlockLibrary, n: int) -> str:
-    """Some placed block is closer than its inner diameter minus the slack, within reach."""
-    gap = " + ".join(f"(at.x{a}[i] - nx.x{a}) * (at.x{a}[i] - nx.x{a})" for a in range(library.dim))
-    near = "(at.r_max[i] + r_max_j)"
-    core = f"greatest(2 * at.r_min[i] - {OVERLAP_SLACK}, 0)"
-    return f"exists(sequence(0, {n - 1}), i -> {gap} <= {near} * {near} AND {gap} < {core} * {core})"
-
-
-def with_bonds(candidates: DataFrame, catalog: SystemCatalog, n: int, once: str | None) -> DataFrame:
-    """Keep feasible candidates and add ``hit`` (see :func:`touching`).
-
-    Infeasible means overlap, a touching pair no rule allows, or a face that is already bound.
-    ``once`` drops candidates that reach a placement another candidate of the row reaches too:
-    ``"first"`` keeps the lowest touched slot, ``"orbit"`` one per symmetry class of the row.
+    ``"first"`` keeps the lowest touched slot, ``"orbit"`` one placement per symmetry class of
+    the structure (lowest slot orbit, then lowest class of the touching site).
     """
-    lib = catalog.library
-    allowed, side = ("allowed", "label") if lib.distinct_sites else ("allowed_colors", "color")
-    slots = f"sequence(0, {n * lib.stride - 1})"
-    good = (f"NOT exists({slots}, s -> hit[s] > 0 AND (partner[s] <> 0 OR NOT array_contains("
-            f"{allowed}[at.{side}[s] - 1], {side}_new[hit[s] - 1])))")
-    if once == "first" and lib.distinct_sites:
-        good += " AND array_position(transform(hit, g -> g > 0), true) = slot"
-    elif once == "orbit":
-        classes = "array(" + ",".join(map(str, label_classes(lib))) + ")"
-        least = (f"array_min(transform(filter({slots}, s -> hit[s] > 0), "
-                 f"s -> named_struct('o', orbit[s], 'c', {classes}[label_new[hit[s] - 1] - 1])))")
-        good += f" AND {least} = named_struct('o', slot, 'c', {classes}[label_j - 1])"
-    # the one-element array binds the contact list once, so it is not evaluated per use
-    return (candidates.where(f"NOT {overlapping(lib, n)}")
-            .selectExpr("*", f"explode(filter(array({touching(lib, n)}), hit -> {good})) AS hit"))
+    if once == "first":
+        return "new.touch[0].slot = new.slot" if library.distinct_sites else "true"
+    classes = "array(" + ",".join(map(str, label_classes(library))) + ")"
+    offsets = "array(" + ",".join(map(str, library.offsets)) + ")"
+    least = ("array_min(transform(new.touch, t -> named_struct('o', orbit[t.slot - 1], 'c', "
+             f"{classes}[{offsets}[new.species_j - 1] + new.hit[t.slot - 1] - 1])))")
+    return f"{least} = named_struct('o', new.slot, 'c', {classes}[new.label_j - 1])"
 
 
 def label_classes(library: BlockLibrary) -> list[int]:
@@ -208,20 +129,20 @@ def label_classes(library: BlockLibrary) -> list[int]:
     return out
 
 
-def assembled(candidates: DataFrame, library: BlockLibrary, n: int, names) -> DataFrame:
+def assembled(chosen: DataFrame, library: BlockLibrary, n: int, names) -> DataFrame:
     """Write the new block and all its bonds into the arrays."""
-    kept = f"zip_with(partner, hit, (p, g) -> CAST(IF(g > 0, g + {n * library.stride}, p) AS SMALLINT))"
-    fresh = f"transform(sequence(1, {library.stride}), g -> CAST(array_position(hit, g) AS SMALLINT))"
-    return candidates.selectExpr(*names, "concat(species, array(species_j)) AS species",
-                                 f"concat({kept}, {fresh}) AS partner")
+    kept = f"zip_with(partner, new.hit, (p, g) -> CAST(IF(g > 0, g + {n * library.stride}, p) AS SMALLINT))"
+    fresh = f"transform(sequence(1, {library.stride}), g -> CAST(array_position(new.hit, g) AS SMALLINT))"
+    return chosen.selectExpr(*names, "concat(species, array(new.species_j)) AS species",
+                             f"concat({kept}, {fresh}) AS partner")
 
 
-def children(frontier: DataFrame, catalog: SystemCatalog, n: int, once: str | None = "first", keep=()) -> DataFrame:
+def children(frontier: DataFrame, catalog: SystemCatalog, n: int, once: str = "first", keep=()) -> DataFrame:
     """All feasible one-block extensions of size-``n`` structures, not yet canonical."""
     lib = catalog.library
-    df = attached(open_bonds(placed(frontier, lib)), catalog)
     carried = [c for c in ("sys", "allowed", "allowed_colors") if c in frontier.columns]
-    return assembled(with_bonds(df, catalog, n, once), lib, n, [*carried, *keep])
+    chosen = candidates(frontier, lib, n).where(permitted(lib)).where(one_per_placement(lib, once))
+    return assembled(chosen, lib, n, [*carried, *keep])
 
 
 def named(structures: DataFrame, library: BlockLibrary, search: bool = False) -> DataFrame:

@@ -14,9 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..blocks import BlockLibrary, Shape
+from .literal import literal_table
 
 PAIR = "struct<i:smallint,j:smallint>"
 BOND_COLUMNS = ("species_i", "site_i", "species_j", "site_j")
@@ -46,7 +46,6 @@ def swapped(pairs: Column) -> Column:
 class SystemCatalog:
     def __init__(self, library: BlockLibrary, rows: DataFrame):
         self.library, self.rows = library, rows
-        self.lookups = None     # the library's broadcast tables, made on first growth
 
     # ---------------------------------------------------------------- constructors
 
@@ -138,7 +137,7 @@ class AssemblySystem(SystemCatalog):
         if size != library.n_labels or any(len(row) != size for row in matrix):
             raise ValueError(f"the matrix must be {library.n_labels} x {library.n_labels}")
         pairs = [(0, i + 1, j + 1) for i in range(size) for j in range(size) if matrix[i][j]]
-        table = spark.createDataFrame(pairs, "sys bigint, label_i int, label_j int")
+        table = literal_table(spark, pairs, "sys bigint, label_i int, label_j int")
         out = cls.__new__(cls)
         rows = SystemCatalog.from_pairs(library, table, library.n_species).rows
         SystemCatalog.__init__(out, library, _at_least_one(spark, rows, library.n_species))
@@ -164,8 +163,8 @@ def _at_least_one(spark: SparkSession, rows: DataFrame, n_species: int) -> DataF
 def bond_table(spark: SparkSession, bonds) -> DataFrame:
     if isinstance(bonds, DataFrame):
         return bonds.select(*[F.col(c).cast("smallint").alias(c) for c in BOND_COLUMNS])
-    schema = T.StructType([T.StructField(c, T.ShortType(), False) for c in BOND_COLUMNS])
-    return spark.createDataFrame([tuple(int(v) for v in row) for row in bonds], schema)
+    return literal_table(spark, [tuple(int(v) for v in row) for row in bonds],
+                         ", ".join(f"{c} smallint" for c in BOND_COLUMNS))
 
 
 def bond_types(rules: Column) -> Column:
@@ -201,9 +200,9 @@ SITE_SCHEMA = ("species int, site int, geom string, label smallint, color smalli
 def site_table(spark: SparkSession, library: BlockLibrary) -> DataFrame:
     """Literal site table of the library (definition-sized), rotations in its dimension's form."""
     from ..functions.rotation import point, quat
-    raw = spark.createDataFrame([(a, b, g, l, c, v, [float(t) for t in p], [float(t) for t in r],
+    raw = literal_table(spark, [(a, b, g, l, c, v, [float(t) for t in p], [float(t) for t in r],
                                   [float(t) for t in d], lo, hi)
-                                 for a, b, g, l, c, v, p, r, d, lo, hi in library.site_rows()], SITE_SCHEMA).coalesce(1)
+                                 for a, b, g, l, c, v, p, r, d, lo, hi in library.site_rows()], SITE_SCHEMA)
     as_quat = lambda name: quat(*[F.col(name)[i] for i in range(4)])
     return raw.select("species", "site", "geom", "label", "color", "n_vertices",
                       point(*[F.col("p")[i] for i in range(3)]).alias("x"),
