@@ -27,7 +27,7 @@ def by_size(species: pa.Array, partner: pa.Array, stride: int):
     for n in np.unique(sizes):
         rows = np.flatnonzero(sizes == n)
         if len(rows) == len(sizes):
-            yield rows, flat_species.reshape(-1, n), flat_partner.reshape(-1, n * stride)
+            yield rows, flat_species.reshape(len(rows), n), flat_partner.reshape(len(rows), n * stride)
         else:
             at = starts[rows]
             yield (rows, flat_species[at[:, None] + np.arange(n)],
@@ -196,11 +196,17 @@ def removable(partner: np.ndarray, n: int, stride: int) -> np.ndarray:
     while (now := int(seen.sum())) != count:
         count = now
         for i in range(n):
-            seen |= seen[:, :, i:i + 1] & linked[:, None, i, :]
+            seen |= seen[:, :, i:i + 1] & linked[:, None, i, :] & keep[:, i:i + 1]
         seen &= keep
     return seen.sum(axis=2) == n - 1
 
 
+def removable_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array) -> pa.ListArray:
+    parts = [(rows, removable(pt, sp.shape[1], lib.stride) if sp.shape[1] else np.zeros(sp.shape, bool))
+             for rows, sp, pt in by_size(species, partner, lib.stride)]
+    return list_column(parts, len(species), pa.bool_())
+
+
 def root_candidates(lib: SimpleNamespace, species: np.ndarray, bound: np.ndarray):
     """Start frames ``(row, block, frame)`` in row order, thinned by an invariant choice.
 
@@ -305,8 +311,8 @@ def canonical_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array,
         if with_key:
             parts["key"].append((rows, code[best].astype(">u4")))
         if with_search:
-            last = np.where(removable(pt, n, m)[row], rank, -1).argmax(axis=1)
-            parts["accepted"].append((rows, np.logical_or.reduceat(alive & (last == n - 1), starts)))
+            # the block a breadth-first walk finds last never separates the others
+            parts["accepted"].append((rows, np.logical_or.reduceat(alive & (order[:, -1] == n - 1), starts)))
             image = np.take_along_axis(rank0[row], order, 1)
             site = lib.site_at[frames[:, :, None], lib.canon_site[frames[best][row]]]
             slot = np.where(alive[:, None], (image[:, :, None] * m + site + 1).reshape(len(row), -1), n * m + 1)
@@ -320,24 +326,3 @@ def canonical_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array,
         columns["accepted"] = scalar_column(parts["accepted"], total, pa.bool_())
         columns["orbit"] = list_column(parts["orbit"], total, pa.int16())
     return pa.StructArray.from_arrays(list(columns.values()), list(columns))
-
-
-def parent_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array) -> pa.StructArray:
-    """Remove the last removable block in canonical order (input arrays must be canonical)."""
-    m, total = lib.stride, len(species)
-    out_species, out_partner = [], []
-    for rows, sp, pt in by_size(species, partner, m):
-        b, n = sp.shape
-        if n == 0:
-            out_species.append((rows, sp))
-            out_partner.append((rows, pt))
-            continue
-        gone = n - 1 - removable(pt, n, m)[:, ::-1].argmax(axis=1)
-        kept = np.argsort(np.where(np.arange(n) == gone[:, None], n, np.arange(n)), axis=1)[:, :n - 1]
-        bonds = np.take_along_axis(pt.reshape(b, n, m), kept[:, :, None], 1).reshape(b, -1).astype(np.int64)
-        host = (bonds - 1) // m
-        bonds = np.where((bonds > 0) & (host != gone[:, None]), bonds - m * (host > gone[:, None]), 0)
-        out_species.append((rows, np.take_along_axis(sp, kept, 1)))
-        out_partner.append((rows, bonds.astype(np.int16)))
-    return pa.StructArray.from_arrays([list_column(out_species, total, pa.int16()),
-                                       list_column(out_partner, total, pa.int16())], ["species", "partner"])

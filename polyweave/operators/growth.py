@@ -54,13 +54,12 @@ def canonical(library: BlockLibrary, species, partner, key: bool | None = None,
     return _udf(function, f"struct<{schema}>")(species, partner)
 
 
-def parent(library: BlockLibrary, species, partner) -> Column:
-    """Struct ``species, partner``: the structure without its last removable block."""
-    return _udf(partial(arrow_helpers.parent_batch, library.tables),
-                "struct<species: array<smallint>, partner: array<smallint>>")(species, partner)
+def removable(library: BlockLibrary, species, partner) -> Column:
+    """``array<boolean>`` per block: deleting it leaves the others connected."""
+    return _udf(partial(arrow_helpers.removable_batch, library.tables), "array<boolean>")(species, partner)
 
 
-# --------------------------------------------------------------------- literal tables
+# --------------------------------------------------------------------------- level one
 
 def monomers(catalog: SystemCatalog) -> DataFrame:
     """Level 1: every species of every system, all sites open, with its rule columns."""
