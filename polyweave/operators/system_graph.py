@@ -74,6 +74,8 @@ def refined(kinds, pairs) -> list[dict]:
     near = {v: [] for v in nodes}
     for a, b in pairs:
         near[a].append((b, a == b))
+        if a != b:
+            near[b].append((a, False))
     color = {v: (kinds[v[0]][0],) for v in nodes}
     count = 0
     while True:
