@@ -75,8 +75,11 @@ def enumerate_levels(catalog: SystemCatalog, strategy: str, max_size: int | None
     elif not lib.distinct_sites:
         level = growth.named(level, lib)
     while True:
-        level = level.withColumn("verdict", rejector(level.withColumn("n", F.lit(n))) if rejector else F.lit(KEEP)) \
-            .where(F.col("verdict") != DROP)
+        if rejector is not None:
+            sized = level.withColumn("n", F.lit(n))
+            level = sized.withColumn("verdict", rejector(sized)).where(F.col("verdict") != DROP).drop("n")
+        else:
+            level = level.withColumn("verdict", F.lit(KEEP))
         seen = Observation()
         level = level.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("verdict").alias("worst"),
                               F.count(F.when(F.col("verdict") == KEEP, 1)).alias("growing"))
