@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..blocks import FACE_TOLERANCE, OVERLAP_SLACK
-from .rotation import motions, sub_points
+from .rotation import let, motions, rotate_points, sub_points
 
 
 def attachment(x_i: Column, turn_i: Column, x_j: Column, ref_j: Column, dim: int):
@@ -46,26 +46,28 @@ def face_pairs(dx: Column, psi_i: Column, psi_j: Column, sites_i: Column, sites_
                dim: int, tolerance: float = FACE_TOLERANCE) -> Column:
     """``array<struct<i,j>>`` of sites of two blocks whose centres coincide."""
     m = motions(dim)
-    turned_i = F.transform(sites_i, lambda p: m.rotate(p, psi_i))
-    turned_j = F.transform(sites_j, lambda p: m.rotate(p, psi_j))
+    both = F.struct(rotate_points(sites_i, psi_i, dim).alias("i"), rotate_points(sites_j, psi_j, dim).alias("j"),
+                    dx.alias("d"))
 
-    def close(p, q):
-        gaps = [F.abs(p[k] - q[k] - dx[k]) for k in m.axes]
-        return F.greatest(*gaps) < tolerance
+    def matches(v):
+        def close(p, q):
+            return F.greatest(*[F.abs(p[k] - q[k] - v["d"][k]) for k in m.axes]) < tolerance
+        return F.flatten(F.transform(v["i"], lambda p, i: F.filter(
+            F.transform(v["j"], lambda q, j: F.when(close(p, q), F.struct((i + 1).alias("i"), (j + 1).alias("j")))),
+            lambda t: t.isNotNull())))
 
-    hits = F.transform(turned_i, lambda p, i: F.filter(
-        F.transform(turned_j, lambda q, j: F.struct(
-            (i + 1).alias("i"), (j + 1).alias("j"), close(p, q).alias("hit"))),
-        lambda t: t["hit"]))
-    return F.transform(F.flatten(hits), lambda t: F.struct(t["i"], t["j"]))
+    return let(both, matches)
 
 
 def contact_status(dx: Column, psi_i: Column, psi_j: Column, block_i: Column, block_j: Column,
                    dim: int) -> Column:
     """``struct<ok, pairs>``: not ok on overlap, pairs of coinciding faces when in reach."""
     none = F.array().cast("array<struct<i:int,j:int>>")
-    reach = in_reach(dx, block_i["r_max"], block_j["r_max"], dim)
-    clash = reach & overlaps(dx, block_i["r_min"], dim)
-    pairs = face_pairs(dx, psi_i, psi_j, block_i["sites"], block_j["sites"], dim)
-    return F.struct((~clash).alias("ok"),
-                    F.when(reach & ~clash, pairs).otherwise(none).alias("pairs"))
+
+    def status(v):
+        reach = in_reach(v["dx"], v["a"]["r_max"], v["b"]["r_max"], dim)
+        clash = reach & overlaps(v["dx"], v["a"]["r_min"], dim)
+        pairs = face_pairs(v["dx"], v["pi"], v["pj"], v["a"]["sites"], v["b"]["sites"], dim)
+        return F.struct((~clash).alias("ok"), F.when(reach & ~clash, pairs).otherwise(none).alias("pairs"))
+
+    return let(F.struct(dx.alias("dx"), psi_i.alias("pi"), psi_j.alias("pj"), block_i.alias("a"), block_j.alias("b")), status)

@@ -18,6 +18,14 @@ def _col(c) -> Column:
     return c if isinstance(c, Column) else F.lit(c)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once per row, however often it is mentioned.
+
+    Plain columns are inlined at every mention, which multiplies work inside lambdas.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def point(x, y, z=None) -> Column:
     parts = [_col(x).cast("double").alias("x"), _col(y).cast("double").alias("y")]
     if z is not None:
@@ -150,7 +158,11 @@ def sub_points(p: Column, q: Column, axes: str) -> Column:
 
 
 def rotate_points(xs: Column, rot: Column, dim: int) -> Column:
-    return F.transform(xs, lambda p: motions(dim).rotate(p, rot))
+    if dim == 3:
+        return let(rot, lambda q: F.transform(xs, lambda p: rotate3(p, q)))
+    unit = F.struct(F.cos(rot * F.pi()).alias("c"), F.sin(rot * F.pi()).alias("s"))
+    return let(unit, lambda u: F.transform(xs, lambda p: point(u["c"] * p["x"] - u["s"] * p["y"],
+                                                               u["s"] * p["x"] + u["c"] * p["y"])))
 
 
 def rotate_rotations(psis: Column, rot: Column, dim: int) -> Column:

@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..blocks import BlockLibrary
+from ..sources.systems import PACK
 from . import growth
 
-EMPTY_TYPES = "CAST(array() AS ARRAY<STRUCT<i: SMALLINT, j: SMALLINT>>)"
-
 
 def slot_label(library: BlockLibrary, slot: str, side: str = "label") -> str:
     """SQL: label (or colour) of a 0-based slot index expression of the row's structure."""
@@ -25,10 +24,13 @@ def slot_label(library: BlockLibrary, slot: str, side: str = "label") -> str:
 
 
 def ordered_types(allowed: str) -> str:
-    """SQL: allowed unordered pairs by larger, then smaller entry, from an ``allowed`` column."""
-    pairs = f"transform({allowed}, (ps, l) -> transform(filter(ps, p -> p <= l + 1), p -> " \
-            "named_struct('i', p, 'j', CAST(l + 1 AS SMALLINT))))"
-    return f"flatten({pairs})"
+    """SQL: allowed unordered pairs by larger, then smaller entry, from an ``allowed`` column.
+
+    The packed pairs are sorted by their first entry; those with the smaller entry second are
+    exactly the unordered pairs in the wanted order.
+    """
+    return (f"transform(filter({allowed}, r -> r % {PACK} <= r DIV {PACK}), r -> named_struct("
+            f"'i', CAST(r % {PACK} AS SMALLINT), 'j', CAST(r DIV {PACK} AS SMALLINT)))")
 
 
 def bonds_of(library: BlockLibrary, side: str = "label") -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..blocks import BlockLibrary
-from ..sources.systems import SystemCatalog, partners_by_color, partners_by_label
+from ..sources.systems import PACK, SystemCatalog, packed_colors, packed_rules
 from . import arrow_helpers
 
 
@@ -66,9 +66,9 @@ def monomers(catalog: SystemCatalog) -> DataFrame:
     lib = catalog.library
     widest = lib.stride
     open_sites = F.array_repeat(F.lit(0).cast("smallint"), widest)
-    cols = [partners_by_label(lib, F.col("rules")).alias("allowed")]
+    cols = [packed_rules(F.col("rules")).alias("allowed")]
     if not lib.distinct_sites:
-        cols.append(partners_by_color(lib, F.col("rules")).alias("allowed_colors"))
+        cols.append(packed_colors(lib, F.col("rules")).alias("allowed_colors"))
     return (catalog.rows.select("sys", *cols, F.explode(F.sequence(F.lit(1), "n_species")).alias("k"))
             .drop("n_species")
             .withColumn("species", F.array(F.col("k").cast("smallint"))).drop("k")
@@ -87,7 +87,8 @@ def slot_labels(library: BlockLibrary, n: int) -> str:
 
 def open_bonds(library: BlockLibrary, n: int) -> str:
     """SQL: all (slot, partner label) pairs of the open sites of a structure and its rules."""
-    each = ("transform(allowed[l - 1], p -> named_struct('slot', CAST(i + 1 AS SMALLINT), 'label', p))")
+    each = (f"transform(filter(allowed, r -> r DIV {PACK} = l), "
+            f"r -> named_struct('slot', CAST(i + 1 AS SMALLINT), 'label', CAST(r % {PACK} AS SMALLINT)))")
     none = "CAST(array() AS ARRAY<STRUCT<slot: SMALLINT, label: SMALLINT>>)"
     return f"flatten(transform({slot_labels(library, n)}, (l, i) -> IF(l > 0 AND partner[i] = 0, {each}, {none})))"
 
@@ -101,7 +102,7 @@ def candidates(frontier: DataFrame, library: BlockLibrary, n: int) -> DataFrame:
 def permitted(library: BlockLibrary) -> str:
     """SQL: every face pair the new block makes is one the rules allow."""
     allowed = "allowed" if library.distinct_sites else "allowed_colors"
-    return f"NOT exists(new.touch, t -> NOT array_contains({allowed}[t.here - 1], t.there))"
+    return f"NOT exists(new.touch, t -> NOT array_contains({allowed}, t.here * {PACK} + t.there))"
 
 
 def one_per_placement(library: BlockLibrary, once: str) -> str:

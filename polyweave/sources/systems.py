@@ -183,14 +183,19 @@ def partners_by_label(library: BlockLibrary, rules: Column) -> Column:
     return F.transform(labels, lambda l: F.transform(F.filter(rules, lambda r: r["i"] == l), lambda r: r["j"]))
 
 
-def partners_by_color(library: BlockLibrary, rules: Column) -> Column:
-    """The same over colours: which colours some rule allows to meet."""
-    color = _array_literal([c for row in library.site_colors for c in row], "smallint")
-    colors = _array_literal(range(1, max(max(r) for r in library.site_colors) + 1), "smallint")
-    seen = F.array_distinct(F.transform(rules, lambda r: F.struct(
-        F.element_at(color, r["i"].cast("int")).alias("i"),
-        F.element_at(color, r["j"].cast("int")).alias("j")))).cast(f"array<{PAIR}>")
-    return F.transform(colors, lambda l: F.transform(F.filter(seen, lambda r: r["i"] == l), lambda r: r["j"]))
+#: rules travel with every structure as packed pairs ``a * PACK + b``
+PACK = 32768
+
+
+def packed_rules(rules: Column) -> Column:
+    return F.transform(rules, lambda r: r["i"].cast("int") * PACK + r["j"])
+
+
+def packed_colors(library: BlockLibrary, rules: Column) -> Column:
+    """Colour pairs that some rule allows to meet."""
+    color = _array_literal([c for row in library.site_colors for c in row], "int")
+    return F.array_sort(F.array_distinct(F.transform(rules, lambda r: F.element_at(color, r["i"].cast("int")) * PACK
+                                                     + F.element_at(color, r["j"].cast("int")))))
 
 
 SITE_SCHEMA = ("species int, site int, geom string, label smallint, color smallint, n_vertices int, "

@@ -203,10 +203,13 @@ PAIR = {"n": "CAST(l_linenumber % 4 + 3 AS INT)", "i": "CAST(l_suppkey % 3 + 1 A
 
 def pairs(spark, folder):
     """Two equal polygons per line item: glued i to j, then pushed apart or together."""
-    df = items(spark, folder, **PAIR).withColumn("g", polygon_column(F.col("n"), F.lit(1.0)))
+    df = items(spark, folder, **PAIR)
+    # one-element generators pin the block and the pose; otherwise both are rebuilt at every use
+    df = df.withColumn("g", F.explode(F.array(polygon_column(F.col("n"), F.lit(1.0)))))
     at = lambda field, k: F.element_at(F.col(f"g.{field}"), F.col(k))
     dx, dpsi = contact.attachment(at("sites", "i"), at("turns", "i"), at("sites", "j"), at("refs", "j"), 2)
-    df = df.withColumn("dx0", dx).withColumn("dpsi", dpsi)
+    df = df.withColumn("v", F.explode(F.array(F.struct(dx.alias("dx0"), dpsi.alias("dpsi")))))
+    df = df.select("*", "v.dx0", "v.dpsi").drop("v")
     scale = 1.3 - F.col("push")
     return df.withColumn("dx", rot.point(F.col("dx0.x") * scale, F.col("dx0.y") * scale))
 
