@@ -18,6 +18,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Use all cores for per-row work that costs far more than reading, if the table has few splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 ORDER_BOND = {
     "sys": "l_orderkey",
     "species_i": "CAST(l_partkey % 3 + 1 AS INT)",

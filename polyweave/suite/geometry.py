@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import contact, rotation as rot
 from ..functions.shapes import cube_column, polygon_column
 from ..functions.vertices import bond_edges
-from ..sources.tables import read
+from ..sources.tables import read, widen
 
 
 def tidy(c, digits: int = 6):
@@ -203,7 +203,7 @@ PAIR = {"n": "CAST(l_linenumber % 4 + 3 AS INT)", "i": "CAST(l_suppkey % 3 + 1 A
 
 def pairs(spark, folder):
     """Two equal polygons per line item: glued i to j, then pushed apart or together."""
-    df = items(spark, folder, **PAIR)
+    df = widen(items(spark, folder, **PAIR))
     # one-element generators pin the block and the pose; otherwise both are rebuilt at every use
     df = df.withColumn("g", F.explode(F.array(polygon_column(F.col("n"), F.lit(1.0)))))
     at = lambda field, k: F.element_at(F.col(f"g.{field}"), F.col(k))
