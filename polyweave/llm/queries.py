@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, simhash
 from .common import read_table
 
 SQL = {}
@@ -12,7 +12,31 @@ def op2_simhash(spark, folder):
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash,)}
+def op7_decontamination(spark, folder):
+    return decontaminate.report(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+SQL["op7_decontamination"] = r"""
+WITH upper_lower AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents, upper_lower),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark, upper_lower),
+win AS (SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, n, array_to_string(w[p : p + n - 1], ' ') AS s
+        FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+places AS (SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS s
+           FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+found AS (SELECT r, p, n, item FROM places JOIN win USING (n, s)),
+words AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM found) GROUP BY r),
+names AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS all_items
+          FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(all_items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN names USING (r)"""
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op7_decontamination)}
 
 
 def registered() -> dict:

@@ -61,7 +61,7 @@ def test_blocks_of_any_size_lose_no_link(spark, block_rows):
 
 
 def test_forest_is_small_and_connects():
-    block = np.array([0, 1, 3, 7, 15, 1 << 40, -1], np.int64)
+    block = np.array([0, 1, 3, 7, 15, 31 << 40, -1], np.int64)
     assert len(simhash.forest(block)) == 4
 
 
