@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import codecs
 from array import array
+from typing import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -190,7 +191,7 @@ def encode(text: str | Column, ranks_path: str, pattern: str) -> Column:
     each task reads it once.
     """
     @F.arrow_udf("binary")
-    def run(batches: "Iterator[pa.Array]") -> "Iterator[pa.Array]":  # noqa: F821
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(load_ranks(ranks_path), pattern)
         for batch in batches:
             yield pa.array([encoder(t) for t in batch.to_pylist()], pa.binary())
@@ -212,7 +213,7 @@ def _decoded(ids, ranks_path, kind):
     as_text = kind == "string"
 
     @F.arrow_udf(kind)
-    def run(batches: "Iterator[pa.Array]") -> "Iterator[pa.Array]":  # noqa: F821
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = names_of(load_ranks(ranks_path))
         for batch in batches:
             out = []

@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
 
+#: links that one task contracts; larger tables are contracted in several tasks
+TASK_LINKS = 500_000
+
+
+def _contracted(links: DataFrame, tasks: int) -> DataFrame:
+    """The links of each task as stars around the least node of each local component."""
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def top(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = (top(x) if x in parent else parent.setdefault(x, x) for x in (a, b))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        pairs = [(x, root) for x in list(parent) if (root := top(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return links.repartition(tasks).mapInArrow(run, "a long, b long")
+
+
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -31,12 +57,15 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``; root is the component's least node.
 
-    Rows that link a node to itself are ignored; an empty table gives an empty result.  Each
-    round is written to the checkpoint folder; only two numbers a round reach the driver.  The
-    table never outgrows the distinct links it starts from.
+    Rows that link a node to itself are ignored; an empty table gives an empty result.  Tasks
+    first contract at most ``TASK_LINKS`` links each.  What one task could not see is joined by
+    rounds of star operations, each written to the checkpoint folder; only two numbers a round
+    reach the driver.  The table never outgrows the distinct links it starts from.
     """
-    now, before = settle(links.where("a <> b").select("a", "b").distinct()), None
-    while True:
+    links = links.where("a <> b").select("a", "b")
+    tasks = max(1, -(-links.count() // TASK_LINKS))
+    now, before = settle(_contracted(links, tasks)), None
+    while tasks > 1:
         now = settle(_small_star(_large_star(now)))
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+import public_tokenizers
+
+from . import bpe, decontaminate, simhash
 from .common import read_table
 
 SQL = {}
@@ -36,7 +38,11 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (r) LEFT JOIN names USING (r)"""
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op7_decontamination)}
+def op9_bpe(spark, folder):
+    return bpe.digests(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op7_decontamination, op9_bpe)}
 
 
 def registered() -> dict:

@@ -66,11 +66,9 @@ def _parts(mask: int, parts: int) -> list[int]:
 
 def _keyed(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     """``(mask, block, fp)`` for every mask that follows the row's ``mask``."""
-    pairs = [(old, new) for old, more in masks.items() for new in more]
-    steps = rows.sparkSession.createDataFrame(pairs, "mask long, next long")
-    # a few numbers for each mask in use, whatever the number of fingerprints
-    return rows.join(F.broadcast(steps), "mask").select(
-        F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("next")).alias("block"), "fp").distinct()
+    pairs = [x for old, more in masks.items() for x in (F.lit(old).cast("long"), F.array(*[F.lit(m).cast("long") for m in more]))]
+    out = rows.select("fp", F.explode(F.element_at(F.create_map(*pairs), F.col("mask"))).alias("mask"))
+    return out.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("block"), "fp")
 
 
 def forest(block: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -91,17 +89,46 @@ def forest(block: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]
     return links
 
 
-def _forests(blocks: DataFrame, distance: int) -> DataFrame:
+def _compare(keyed: DataFrame, distance: int, block_rows: int) -> DataFrame:
+    """Forest links ``(null, a, b)`` of each block, and ``(mask, fp, null)`` for the rows of blocks
+    that are too large.  Blocks are read in order, so a task holds ``block_rows`` rows at most."""
     def run(batches):
-        for batch in batches:
-            a, b = [], []
-            for fps in batch.column(0):
-                for x, y in forest(fps.values.to_numpy(zero_copy_only=False), distance):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        out, key, held, over = ([], [], []), None, [], False
+
+        def give(mask, a, b):
+            for column, values in zip(out, (mask, a, b)):
+                column.extend(values)
 
-    return blocks.mapInArrow(run, "a long, b long")
+        def close():
+            if not over and len(held) > 1:
+                pairs = forest(np.array(held, np.int64), distance)
+                give([None] * len(pairs), *(zip(*pairs) if pairs else ([], [])))
+
+        def taken():
+            rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["mask", "a", "b"])
+            for column in out:
+                column.clear()
+            return rows
+
+        for batch in batches:
+            mask, block, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            edges = np.flatnonzero((mask[1:] != mask[:-1]) | (block[1:] != block[:-1])) + 1
+            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(fp)] if len(fp) else []):
+                now = (int(mask[start]), int(block[start]))
+                if now != key:
+                    close()
+                    key, held, over = now, [], False
+                held += fp[start:stop].tolist()
+                if over or len(held) > block_rows:
+                    over = True
+                    give([now[0]] * len(held), held, [None] * len(held))
+                    held = []
+            yield taken()
+        close()
+        yield taken()
+
+    ordered = keyed.repartition("mask", "block").sortWithinPartitions("mask", "block")
+    return ordered.mapInArrow(run, "mask long, a long, b long")
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -112,20 +139,17 @@ def links(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS
     of more than ``block_rows`` are blocked again by parts of the bits that are still unused, so
     no pair is lost and no task ever holds a larger block.  The depth follows the data.
     """
-    found = None
     keyed = _keyed(fps.select(F.lit(0).cast("long").alias("mask"), "fp"), {0: _parts(0, distance + 1)})
+    found = None
     while True:
-        sizes = settle(keyed.groupBy("mask", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        small = keyed.join(sizes.where(F.col("n") <= block_rows), ["mask", "block"])
-        grouped = small.groupBy("mask", "block").agg(F.collect_list("fp").alias("fps")).select("fps")
-        part = settle(_forests(grouped, distance).distinct())
+        seen = settle(_compare(keyed, distance, block_rows))
+        part = seen.where("b is not null").select("a", "b")
         found = part if found is None else found.unionByName(part)
-        large = sizes.where(F.col("n") > block_rows)
+        large = seen.where("b is null").select("mask", F.col("a").alias("fp"))
         wide = [r[0] for r in large.select("mask").distinct().collect()]  # as many as masks of one depth
         if not wide:
-            return found.distinct()
-        rows = settle(keyed.join(large.select("mask", "block"), ["mask", "block"]).select("mask", "fp").distinct())
-        keyed = _keyed(rows, {m: _parts(m & (1 << BITS) - 1, distance + 1) for m in wide})
+            return found
+        keyed = _keyed(large, {m: _parts(m & (1 << BITS) - 1, distance + 1) for m in wide}).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -139,12 +163,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = settle(fingerprints(docs, id_col, text_col, shingle))
     firsts = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = settle(components(links(firsts.select("fp"), distance, block_rows)))
-    grouped = firsts.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = grouped.join(least, "root").select("fp", "component_id")
-    alone = firsts.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    classes = linked.unionByName(alone)
+    roots = components(links(firsts.select("fp"), distance, block_rows))
+    rooted = settle(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

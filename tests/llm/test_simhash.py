@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import types as T
 
-from polyweave.llm import queries, simhash
+from polyweave.llm import components, queries, simhash
 
 SCHEMA = "doc_id long, text string, fp string, mask int"
 
@@ -41,8 +41,9 @@ def test_query_against_all_pairs(spark, small, texts):
     assert all(r["fingerprint"] == f"{fps[r['doc_id']]:016x}" and r["component_id"] == groups[r["doc_id"]] for r in got)
 
 
-@pytest.mark.parametrize("block_rows", [12, 4096])
-def test_blocks_of_any_size_lose_no_link(spark, block_rows):
+@pytest.mark.parametrize("block_rows, task_links", [(12, 10), (4096, 500_000)])
+def test_blocks_of_any_size_lose_no_link(spark, monkeypatch, block_rows, task_links):
+    monkeypatch.setattr(components, "TASK_LINKS", task_links)
     rnd = random.Random(block_rows)
     fps = set()
     for _ in range(12):  # chains and clusters of close fingerprints
