@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, simhash, toxicity
 from .common import read_table
 
 SQL = {}
 
 
+def op1_toxicity(spark, folder):
+    return toxicity.scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op2_simhash(spark, folder):
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
@@ -42,7 +46,7 @@ def op9_bpe(spark, folder):
     return bpe.digests(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op7_decontamination, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op7_decontamination, op9_bpe)}
 
 
 def registered() -> dict:
