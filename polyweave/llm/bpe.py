@@ -2,11 +2,12 @@
 
 A token sequence is what the merges make of a text exactly if they leave every pair of
 neighbouring tokens apart when given the two alone: the first merge across a boundary would
-already happen between the two tokens at it.  So a machine that knows, for the bytes read so
-far, the token sequences that may still go on (a few bytes of an open token after finished ones)
-finds the same tokens as the merges, in one pass.  Finished tokens that all of them share are
-emitted; the lookahead is bounded by the longest token that may still be open.  Sets of
-sequences are the states of the deterministic machine; they are made when first reached.
+already happen between the two tokens at it.  So the tokens of every prefix of a text are those
+of a shorter prefix and one more token, which is unique.  The machine reads a byte and gives
+that last token of the prefix.  It has to know the bytes of the longest token that may still be
+open, and the last token at each place where such a token may have begun: that is a state.
+States and their steps are made when first reached.  A token is certain, and emitted, once all
+places where the next one may begin have it behind them, so the lookahead is bounded.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import text_bytes
 
-#: states and remembered pieces of one task; a full table is emptied, which costs time only
-STATES, PIECES, PIECE_BYTES = 20_000, 400_000, 48
+#: states, pairs and pieces that a task remembers; what goes beyond is worked out again each time
+STATES, PAIRS, PIECES, PIECE_BYTES = 30_000, 300_000, 300_000, 40
+NEVER = 1 << 62
+#: bytes of a piece after which certain tokens are emitted
+FLUSH = 4096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,81 +40,148 @@ def merged(ranks: dict[bytes, int], text: bytes) -> list[int]:
     """Plain merging: always the leftmost pair of least rank."""
     parts = [text[i:i + 1] for i in range(len(text))]
     while len(parts) > 1:
-        rank, i = min((ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if rank == 1 << 62:
+        rank, i = min((ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == NEVER:
             break
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
     return [ranks[p] for p in parts]
 
 
 class State:
-    """``open``: (finished tokens that are not emitted, bytes of the open token) of each sequence;
-    ``last``: the token emitted last, or None; ``end``: tokens to emit if the text ends here."""
+    """``open``: longest end of the text that begins a longer token; ``lasts``: the last token of
+    the text, and of the text less 1, 2, ... bytes, for every place inside ``open``."""
 
-    __slots__ = ("last", "open", "go", "end")
+    __slots__ = ("open", "lasts", "last", "go")
 
-    def __init__(self, last, sequences):
-        self.last, self.open, self.go = last, sequences, {}
-        self.end = next((array("I", done).tobytes() for done, rest in sequences if not rest), None)
+    def __init__(self, open_bytes: bytes, lasts: tuple):
+        self.open, self.lasts, self.last, self.go = open_bytes, lasts, lasts[0], {}
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], states: int = STATES):
         self.ranks, self.limit = ranks, states
-        self.names = {rank: token for token, rank in ranks.items()}
+        self.names = names_of(ranks)
         self.starts = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.pairs: dict[tuple, bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
+        self.pairs: dict[int, bool] = {}
+        self.histories: dict[int, list] = {}
+        self.ends: dict[tuple, tuple] = {}
         self.states: dict[tuple, State] = {}
-        self.start = self._state(None, (((), b""),))
-
-    def _state(self, last, sequences) -> State:
-        key = (last, sequences)
-        if key not in self.states:
-            self.states[key] = State(last, sequences)
-        return self.states[key]
-
-    def _apart(self, left, right: int) -> bool:
-        """Whether the merges leave ``right`` after ``left`` (or alone, without a left one)."""
-        key = (left, right)
-        if key not in self.pairs:
-            if len(self.pairs) > 50 * self.limit:
-                self.pairs.clear()
-            before = b"" if left is None else self.names[left]
-            self.pairs[key] = merged(self.ranks, before + self.names[right]) == ([right] if left is None else [left, right])
-        return self.pairs[key]
-
-    def _step(self, state: State, byte: int) -> tuple[State, bytes]:
-        """The next state, and the tokens that are certain now; remembered in ``state.go``."""
-        sequences = []
-        for done, rest in state.open:
-            grown = rest + bytes((byte,))
-            if grown in self.starts:
-                sequences.append((done, grown))
-            rank = self.ranks.get(grown)
-            if rank is not None and self._apart(done[-1] if done else state.last, rank):
-                sequences.append((done + (rank,), b""))
-        sure, first = 0, sequences[0][0]
-        while sure < len(first) and all(len(done) > sure and done[sure] == first[sure] for done, _ in sequences):
-            sure += 1
-        last = first[sure - 1] if sure else state.last
-        step = self._state(last, tuple(sorted((done[sure:], rest) for done, rest in sequences))), array("I", first[:sure]).tobytes()
-        state.go[byte] = step
-        return step
+        self.start = State(b"", (-1,))
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether the merges leave ``right`` after ``left`` (or alone, after -1)."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self._history(right)[-1][0] == NEVER and (left < 0 or self._meets(left, right))
+        self.pairs[(left + 1) << 32 | right] = found
+        return found
+
+    def _history(self, token: int) -> list[tuple]:
+        """``(rank of the next merge, first part, last part)`` after each merge of a token's bytes.
+        The last rank is ``NEVER``, or 0 if the merges do not end in the one token."""
+        found = self.histories.get(token)
+        if found is None:
+            parts, found = [bytes((b,)) for b in self.names[token]], []
+            while True:
+                rank, i = min(((self.ranks.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))), default=(NEVER, 0))
+                if rank == NEVER:
+                    break
+                found.append((rank, parts[0], parts[-1]))
+                parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            found.append((NEVER if len(parts) == 1 else 0, parts[0], parts[-1]))
+            self.histories[token] = found
+        return found
+
+    def _meets(self, left: int, right: int) -> bool:
+        """Play the merges of both tokens by rank; apart if none across the boundary comes first."""
+        ours, theirs = self._history(left), self._history(right)
+        i = j = 0
+        while True:
+            (mine, _, end), (other, start, _) = ours[i], theirs[j]
+            across = self.ranks.get(end + start, NEVER)
+            if across < mine and across <= other:
+                return False
+            if mine <= other:
+                if mine == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
+    def _ends(self, open_bytes: bytes, byte: int) -> tuple:
+        """Tokens that may end with ``byte`` as (length less one, rank), longest first, and the
+        bytes that stay open after it."""
+        text = open_bytes + bytes((byte,))
+        tokens = tuple((len(text) - i - 1, rank) for i in range(len(text)) if (rank := self.ranks.get(text[i:])) is not None)
+        still = next((text[i:] for i in range(len(text)) if text[i:] in self.starts), b"")
+        if len(self.ends) >= PAIRS:
+            self.ends.clear()
+        self.ends[open_bytes, byte] = tokens, still
+        return tokens, still
+
+    def _step(self, state: State, byte: int) -> State:
+        tokens, still = self.ends.get((state.open, byte)) or self._ends(state.open, byte)
+        lasts, pairs = state.lasts, self.pairs
+        for before, rank in tokens:
+            apart = pairs.get((lasts[before] + 1) << 32 | rank)
+            if apart or apart is None and self._apart(lasts[before], rank):
+                break
+        key = still, (rank, *lasts[:len(still)])
+        new = self.states.get(key)
+        if new is None:
+            new = self.states[key] = State(*key)
+        state.go[byte] = new
+        return new
 
     def encode(self, text: bytes) -> bytes:
         """Ids of one piece as native unsigned 32-bit integers."""
-        if len(self.states) > self.limit:
-            self.reset()
-        state, out = self.start, []
+        state, tails, out, full, i = self.start, [], [], len(self.states) >= self.limit, 0
+        for i, byte in enumerate(text):
+            new = state.go.get(byte)
+            if new is None:
+                if full:
+                    self._on(text[i:], state.open, tails, out)
+                    break
+                new = self._step(state, byte)
+            state = new
+            tails.append(state.last)
+            if len(tails) >= FLUSH:
+                self._flush(tails, len(state.open), out)
+        done, at, names = [], len(tails), self.names
+        while at > 0:
+            done.append(tails[at - 1])
+            at -= len(names[done[-1]])
+        out += reversed(done)
+        return array("I", out).tobytes()
+
+    def _on(self, text: bytes, still: bytes, tails: list[int], out: list[int]) -> None:
+        """Go on without making states, once the table is full: the same steps on plain lists."""
+        ends, pairs = self.ends, self.pairs
         for byte in text:
-            step = state.go.get(byte) or self._step(state, byte)
-            if step[1]:
-                out.append(step[1])
-            state = step[0]
-        return b"".join(out) + state.end
+            tokens, still = ends.get((still, byte)) or self._ends(still, byte)
+            n = len(tails) - 1
+            for before, rank in tokens:
+                left = tails[n - before] if before <= n else out[-1] if out else -1
+                apart = pairs.get((left + 1) << 32 | rank)
+                if apart or apart is None and self._apart(left, rank):
+                    break
+            tails.append(rank)
+            if len(tails) >= FLUSH:
+                self._flush(tails, len(still), out)
+
+    def _flush(self, tails: list[int], still: int, out: list[int]) -> None:
+        """Move tokens that all places where the next token may begin have behind them."""
+        paths, n = [], len(tails)
+        for at in range(n - still, n + 1):
+            path = {}
+            while at > 0:
+                path[at] = tails[at - 1]
+                at -= len(self.names[path[at]])
+            paths.append(path)
+        sure = sorted(set(paths[0]).intersection(*paths[1:]))
+        if sure:
+            out += [paths[0][at] for at in sure]
+            del tails[:sure[-1]]
 
 
 class Pieces(dict):
@@ -124,9 +195,7 @@ class Pieces(dict):
         text = piece.encode()
         rank = self.ranks.get(text)
         ids = self.machine.encode(text) if rank is None else array("I", (rank,)).tobytes()
-        if len(text) <= PIECE_BYTES:
-            if len(self) >= PIECES:
-                self.clear()
+        if len(text) <= PIECE_BYTES and len(self) < PIECES:  # frequent pieces come early
             self[piece] = ids
         return ids
 
@@ -176,7 +245,8 @@ def names_of(ranks: dict[bytes, int]) -> list[bytes]:
     return names
 
 
-RUN = 1 << 16
+#: ids that are decoded at once, and rows that are handed back at once
+RUN, ROWS = 1 << 16, 500
 
 
 def unpacked(ids: bytes) -> array:
@@ -235,8 +305,28 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
     return out.withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``(doc_id, ids, decoded)``: packed ids of whole texts and the bytes they decode to."""
+    def run(batches):
+        ranks = load_ranks(ranks_path)
+        encoder, names = Encoder(ranks, pattern), names_of(ranks)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = [encoder(t) for t in part.column(1).to_pylist()]
+                back = [b"".join(map(names.__getitem__, unpacked(i))) for i in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())],
+                                                 ["doc_id", "ids", "decoded"])
+
+    rows = docs.select("doc_id", text_bytes("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """One row per document: number of tokens, digest of its ids, digest of the decoded bytes."""
-    out = encoded(docs.select("doc_id", "text"), ranks_path, pattern).drop("text")
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-                      F.sha2(decode("ids", ranks_path), 256).alias("decoded_sha256"))
+    """One row per document: number of tokens, digest of its ids, digest of the decoded bytes.
+
+    Null and empty texts have no tokens; repeated rows keep their rows; other columns are ignored.
+    """
+    return round_trip(docs, ranks_path, pattern).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))

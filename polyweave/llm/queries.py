@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, simhash, toxicity
+from . import bpe, decontaminate, simhash, topk, toxicity
 from .common import read_table
 
 SQL = {}
@@ -18,6 +18,20 @@ def op2_simhash(spark, folder):
     return simhash.near_duplicates(read_table(spark, folder, "documents"))
 
 
+def op3_topk(spark, folder):
+    vectors = topk.usable(read_table(spark, folder, "embeddings"))
+    return topk.top_k(vectors, topk.query_rows(vectors).dropDuplicates(["vec_id"]))
+
+
+SQL["op3_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+          FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
 def op7_decontamination(spark, folder):
     return decontaminate.report(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -46,7 +60,7 @@ def op9_bpe(spark, folder):
     return bpe.digests(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op7_decontamination, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_topk, op7_decontamination, op9_bpe)}
 
 
 def registered() -> dict:

@@ -46,11 +46,13 @@ def test_any_ranks(extra, text):
 
 
 def test_full_tables_change_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "PIECES", 3)
+    for name in ("PIECES", "PAIRS", "FLUSH"):
+        monkeypatch.setattr(bpe, name, 30)
     small = bpe.Encoder(RANKS, PATTERN)
     small.pieces.machine.limit = 5
-    text = "The thonth aneable enblea, reation of the thing; unmöglich façade 12345 " * 3
+    text = "The thonth aneable enblea, reation of the thing; unmöglich façade 12345 " * 3 + "Xyzzyabcdéfthing" * 40
     assert small(text) == ENCODER(text)
+    assert ids(text) == PUBLIC.encode_ordinary(text)
 
 
 def test_streams_may_cut_characters():
