@@ -95,11 +95,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, candidate_block: i
     """
     n, m = vectors.count(), queries.count()
     over, across = max(1, -(-n // candidate_block)), max(1, -(-m // query_block))
-    row = F.monotonically_increasing_id()
-    right = vectors.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64(row), F.lit(over)).cast("int").alias("cb"),
-                           F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("qb"))
-    left = queries.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64(row), F.lit(across)).cast("int").alias("qb"),
-                          F.explode(F.sequence(F.lit(0), F.lit(over - 1))).alias("cb"))
+    row = F.xxhash64(F.monotonically_increasing_id())  # of the row as it is read, before any copy of it
+    right = vectors.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(row, F.lit(over)).cast("int").alias("cb"))
+    left = queries.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(row, F.lit(across)).cast("int").alias("qb"))
+    right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("qb"))
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(over - 1))).alias("cb"))
 
     def matrix(table):
         values = table.column("v").combine_chunks()
