@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, simhash, topk, toxicity
+from . import bpe, decontaminate, html_text, simhash, topk, toxicity
 from .common import read_table
 
 SQL = {}
@@ -60,7 +60,11 @@ def op9_bpe(spark, folder):
     return bpe.digests(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_topk, op7_decontamination, op9_bpe)}
+def op10_html(spark, folder):
+    return html_text.extract(read_table(spark, folder, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_topk, op7_decontamination, op9_bpe, op10_html)}
 
 
 def registered() -> dict:

@@ -84,7 +84,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, candidate_block: i
           query_block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k best other vectors by inner product.
 
-    ``vectors`` and ``queries`` are ``(vec_id, v array<long>)``.  Ties go to the smaller vec_id; a
+    ``vectors`` and ``queries`` are ``(vec_id, v array<long>)``, queries with a row for each vec_id.  Ties go to the smaller vec_id; a
     query with fewer candidates gets them all.  vec_id names a vector: rows that repeat the
     query's own id are no candidates of it, other repeated rows count as often as they occur.
     Vectors of different length are not compared.  Scores outside of long are not defined.
@@ -97,7 +97,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, candidate_block: i
     over, across = max(1, -(-n // candidate_block)), max(1, -(-m // query_block))
     row = F.xxhash64(F.monotonically_increasing_id())  # of the row as it is read, before any copy of it
     right = vectors.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(row, F.lit(over)).cast("int").alias("cb"))
-    left = queries.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(row, F.lit(across)).cast("int").alias("qb"))
+    left = queries.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(across)).cast("int").alias("qb"))
     right = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("qb"))
     left = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(over - 1))).alias("cb"))
 
