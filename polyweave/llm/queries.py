@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, html_text, simhash, topk, toxicity
+from . import bpe, decontaminate, html_text, pitman_yor, simhash, topk, toxicity
 from .common import read_table
 
 SQL = {}
@@ -32,6 +32,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
 
+def op4_pitman_yor(spark, folder):
+    return pitman_yor.score(read_table(spark, folder, "documents"))
+
+
 def op7_decontamination(spark, folder):
     return decontaminate.report(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -64,7 +68,7 @@ def op10_html(spark, folder):
     return html_text.extract(read_table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_topk, op7_decontamination, op9_bpe, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_topk, op4_pitman_yor, op7_decontamination, op9_bpe, op10_html)}
 
 
 def registered() -> dict:

@@ -106,7 +106,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, candidate_block: i
         flat = values.flatten().to_numpy(zero_copy_only=False) if len(values) else np.zeros(0, np.int64)
         return flat.reshape(len(values), -1) if len(flat) else np.zeros((len(values), 0), np.int64)
 
-    def search(asked: pa.Table, block: pa.Table) -> pa.Table:
+    def search(asked, block):
         columns = [[], [], []]
         if len(asked) and len(block):
             ids, own = block.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
