@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, html_text, pitman_yor, simhash, topk, toxicity
+from . import bpe, chat, decontaminate, html_text, pitman_yor, quality, secrets, simhash, topk, toxicity
 from .common import read_table
 
 SQL = {}
@@ -36,6 +36,14 @@ def op4_pitman_yor(spark, folder):
     return pitman_yor.score(read_table(spark, folder, "documents"))
 
 
+def op5_quotations(spark, folder):
+    return chat.conversations(read_table(spark, folder, "conversations"))
+
+
+def op6_secrets(spark, folder):
+    return secrets.scan(read_table(spark, folder, "documents"))
+
+
 def op7_decontamination(spark, folder):
     return decontaminate.report(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
 
@@ -60,6 +68,10 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (r) LEFT JOIN names USING (r)"""
 
 
+def op8_quality(spark, folder):
+    return quality.scores(read_table(spark, folder, "documents"))
+
+
 def op9_bpe(spark, folder):
     return bpe.digests(read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -68,7 +80,7 @@ def op10_html(spark, folder):
     return html_text.extract(read_table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_topk, op4_pitman_yor, op7_decontamination, op9_bpe, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_topk, op4_pitman_yor, op5_quotations, op6_secrets, op7_decontamination, op8_quality, op9_bpe, op10_html)}
 
 
 def registered() -> dict:
