@@ -79,7 +79,7 @@ class LabelModel:
                 break
 
     def _votes(self, codes) -> np.ndarray:
-        return np.asarray(codes)[:, None] // 3 ** np.arange(self.n - 1, -1, -1) % 3
+        return np.asarray(codes, np.int64)[:, None] // 3 ** np.arange(self.n - 1, -1, -1) % 3
 
     def posterior(self, codes) -> np.ndarray:
         """Probability of the good class for each pattern."""
