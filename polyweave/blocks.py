@@ -2,7 +2,7 @@
 
 A :class:`Shape` is pure geometry.  A :class:`BlockLibrary` lists the block types (species)
 a family of binding-rule systems may use.  The library is definition-sized, never data-sized;
-its tables are what the Arrow helpers carry in their closures, and ``MAX_SPECIES`` checks it.
+its tables are what the Arrow helpers carry in their closures, and ``MAX_LABELS`` checks it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from types import SimpleNamespace
 
 import numpy as np
 
-MAX_SPECIES = 4096
+MAX_LABELS = 32767
 
 # Slack of the overlap test and tolerance of two faces that coincide.
 OVERLAP_SLACK = 0.1
@@ -159,15 +159,16 @@ class BlockLibrary:
 
     ``face_labels`` is one list for every species, or one list per species; entries are per
     site or per graph vertex.  Sites with equal face labels are indistinguishable when
-    structures are compared.  Without it all sites of a species are distinct.
+    structures are compared.  Without it all sites of a species are distinct.  ``classes`` (one
+    list of site numbers per species) tells sites of one face label apart, see ``split_by_rules``.
     """
 
-    def __init__(self, shapes, face_labels=None):
-        self.shapes = list(shapes)
+    def __init__(self, shapes, face_labels=None, classes=None):
+        self.shapes, self.face_labels = list(shapes), face_labels
         if not self.shapes:
             raise ValueError("a library needs at least one block")
-        if len(self.shapes) > MAX_SPECIES:
-            raise ValueError(f"more than {MAX_SPECIES} block types")
+        if sum(s.n_sites for s in self.shapes) > MAX_LABELS:
+            raise ValueError(f"more than {MAX_LABELS} site labels, the most that SMALLINT columns hold")
         if len({s.dim for s in self.shapes}) != 1:
             raise ValueError("all blocks of a library must have the same dimension")
         self.dim = self.shapes[0].dim
@@ -183,16 +184,49 @@ class BlockLibrary:
                 labels = [c for c, v in zip(labels, shape.site_vertices) for _ in range(v)]
             if len(labels) != shape.n_vertices:
                 raise ValueError(f"species {k + 1} needs {shape.n_sites} or {shape.n_vertices} face labels")
-            colors = [c + last_color for c in labels]
+            dense = {c: i for i, c in enumerate(sorted(set(labels)), last_color + 1)}  # only equality of face labels matters
+            colors = [dense[c] for c in labels]
             firsts = np.cumsum([0, *shape.site_vertices[:-1]])
             self.vertex_colors.append(colors)
             self.site_colors.append([colors[f] for f in firsts])
             self.offsets.append(last_label)
             last_color, last_label = max(colors), last_label + shape.n_sites
         self.n_labels = last_label
+        self.classes = classes or [[0] * s.n_sites for s in self.shapes]
         self.tables = self._tables()
         #: sites are pairwise distinguishable, so a structure's arrays are their own exact key
         self.distinct_sites = all(len(r) == 1 for r in self.tables.roots)
+        flat = [c for row in self.site_colors for c in row]
+        #: face labels name single sites, in the order of the sites
+        self.plain_colors = flat == list(range(1, self.n_labels + 1))
+        alike = self.label_classes()
+        #: sites of one face label are always turned into each other by a symmetry of their block
+        self.colors_are_classes = len(set(flat)) == len(set(alike))
+
+    def label_classes(self) -> list[int]:
+        """Per label, the smallest label of the same species its block's symmetries reach."""
+        t, out = self.tables, []
+        for k, shape in enumerate(self.shapes):
+            for s in range(shape.n_sites):
+                out.append(self.offsets[k] + min(int(t.canon_site[frame, s]) for frame in t.roots[k]) + 1)
+        return out
+
+    def split_by_rules(self, rules) -> "BlockLibrary":
+        """This library, with look-alike sites told apart where the rules treat them differently.
+
+        Sites stay alike only while each can bind the same kinds of sites: kinds are split until
+        all labels of a kind have partners of the same kinds.  ``rules`` are label pairs, both ways.
+        """
+        library = self
+        while True:
+            kinds = library.label_classes()
+            met = [sorted({kinds[j - 1] for i, j in rules if i == label}) for label in range(1, self.n_labels + 1)]
+            names = {}
+            signs = [names.setdefault((kind, *near), len(names)) for kind, near in zip(kinds, met)]
+            if len(names) == len(set(kinds)):
+                return library
+            classes = [signs[at:at + s.n_sites] for at, s in zip(self.offsets, self.shapes)]
+            library = BlockLibrary(self.shapes, self.face_labels, classes)
 
     @classmethod
     def uniform(cls, shape: Shape, n_species: int, face_labels=None) -> "BlockLibrary":
@@ -212,7 +246,7 @@ class BlockLibrary:
         t = SimpleNamespace(stride=m, width=max(s.n_vertices for s in self.shapes),
                             fan=max(max(s.site_vertices) for s in self.shapes), dim=self.dim)
         t.sites, t.refs, t.turns = np.zeros((k, m, 3)), np.zeros((k, m, 4)), np.zeros((k, m, 4))
-        t.label, t.color = np.zeros((k, m), np.int16), np.zeros((k, m), np.int16)
+        t.label, t.color = np.zeros((k, m), np.int16), np.zeros((k, m), np.int16)  # colours as dense numbers
         t.r_min, t.r_max = np.zeros(k), np.zeros(k)
         t.first, t.fan_of = np.zeros((k, m), int), np.zeros((k, m), int)
         t.species_of, t.site_of = np.zeros(self.n_labels + 1, int), np.zeros(self.n_labels + 1, int)
@@ -241,7 +275,7 @@ class BlockLibrary:
         for i, s in enumerate(self.shapes):
             if s not in cache:
                 cache[s] = graph_symmetries(s.n_vertices, s.edges)
-            colors = self.vertex_colors[i]
+            colors = list(zip(self.vertex_colors[i], np.repeat(self.classes[i], s.site_vertices).tolist()))
             group = [h for h in cache[s] if all(colors[v] == colors[h[v]] for v in range(s.n_vertices))]
             site_of = np.repeat(np.arange(s.n_sites), s.site_vertices)
             base = len(canon_vertex)

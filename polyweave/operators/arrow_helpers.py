@@ -132,8 +132,14 @@ def contacts(lib, k, partner, x, q, parent, slot, label):
     return kept[free], hit[free]
 
 
-def attach_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array, wanted: pa.Array) -> pa.ListArray:
-    """Per structure, the sterically possible attachments among ``wanted`` (slot, label) pairs."""
+def attach_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array, wanted: pa.Array,
+                 by_site: bool = False) -> pa.ListArray:
+    """Per structure, the sterically possible attachments among ``wanted`` (slot, label) pairs.
+
+    Every contact is listed with the face labels of its two sites, or ``by_site`` with their
+    site labels.
+    """
+    names = lib.label if by_site else lib.color
     total, m = len(species), lib.stride
     counts = np.diff(wanted.offsets.to_numpy())
     starts = np.concatenate([[0], np.cumsum(counts)])
@@ -150,7 +156,7 @@ def attach_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array, wan
         for lo in range(0, len(parent), CHUNK):
             part, cand = parent[lo:lo + CHUNK], which[lo:lo + CHUNK]
             kept, hit = contacts(lib, k, pt, x, q, part, all_slots[cand], all_labels[cand])
-            got.append((rows[part[kept]], cand[kept], hit, lib.color[k[part[kept]]].reshape(len(kept), -1)))
+            got.append((rows[part[kept]], cand[kept], hit, names[k[part[kept]]].reshape(len(kept), -1)))
     row = np.concatenate([g[0] for g in got] or [np.zeros(0, np.int64)])
     cand = np.concatenate([g[1] for g in got] or [np.zeros(0, np.int64)])
     turn = np.argsort(cand, kind="stable") if len(got) > 1 else np.arange(len(row))
@@ -162,7 +168,7 @@ def attach_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array, wan
         here = rank[base:base + len(hit)]
         hits.append((here, hit.astype(np.int16)))
         c, s = np.nonzero(hit)
-        touch.append((here[c], s + 1, color[c, s], lib.color[kj[base + c], hit[c, s] - 1]))
+        touch.append((here[c], s + 1, color[c, s], names[kj[base + c], hit[c, s] - 1]))
         base += len(hit)
     owner, t_slot, t_here, t_there = (np.concatenate([t[i] for t in touch] or [np.zeros(0, np.int64)]) for i in range(4))
     order = np.argsort(owner, kind="stable")

@@ -33,12 +33,12 @@ def place(library: BlockLibrary, species, partner) -> Column:
     return _udf(partial(arrow_helpers.place_batch, library.tables), f"struct<{schema}>")(species, partner)
 
 
-def attach(library: BlockLibrary, species, partner, wanted) -> Column:
+def attach(library: BlockLibrary, species, partner, wanted, contact_rule: str = "color") -> Column:
     """Array of possible attachments of a structure, with everything each one touches."""
-    tables = library.tables
+    tables, by_site = library.tables, contact_rule == "site"
 
     def call(species: pa.Array, partner: pa.Array, wanted: pa.Array) -> pa.Array:
-        return arrow_helpers.attach_batch(tables, species, partner, wanted)
+        return arrow_helpers.attach_batch(tables, species, partner, wanted, by_site)
     touch = "array<struct<slot: smallint, here: smallint, there: smallint>>"
     return arrow_udf(call, "array<struct<slot: smallint, label_j: smallint, species_j: smallint, "
                            f"hit: array<smallint>, touch: {touch}>>")(species, partner, wanted)
@@ -67,9 +67,13 @@ def monomers(catalog: SystemCatalog) -> DataFrame:
     widest = lib.stride
     open_sites = F.array_repeat(F.lit(0).cast("smallint"), widest)
     cols = [packed_rules(F.col("rules")).alias("allowed")]
-    if not lib.distinct_sites:
+    if judged_by(catalog) == "allowed_colors":
         cols.append(packed_colors(lib, F.col("rules")).alias("allowed_colors"))
-    return (catalog.rows.select("sys", *cols, F.explode(F.sequence(F.lit(1), "n_species")).alias("k"))
+    rows = catalog.rows
+    if not lib.distinct_sites:
+        rows = rows.withColumn("rules", F.when(treats_alike(lib, F.col("rules")), F.col("rules")).otherwise(F.raise_error(F.lit(
+            "rules differ between look-alike sites: use an AssemblySystem, or a library split by these rules"))))
+    return (rows.select("sys", *cols, F.explode(F.sequence(F.lit(1), "n_species")).alias("k"))
             .drop("n_species")
             .withColumn("species", F.array(F.col("k").cast("smallint"))).drop("k")
             .withColumn("partner", open_sites))
@@ -87,48 +91,63 @@ def slot_labels(library: BlockLibrary, n: int) -> str:
 
 def open_bonds(library: BlockLibrary, n: int) -> str:
     """SQL: all (slot, partner label) pairs of the open sites of a structure and its rules."""
-    each = (f"transform(filter(allowed, r -> r DIV {PACK} = l), "
+    once = ""
+    if not library.distinct_sites:  # labels of one symmetry class give the same structures: the least will do
+        kind = "array(" + ",".join(map(str, library.label_classes())) + ")"
+        once = (f" AND NOT exists(allowed, q -> q DIV {PACK} = l AND q % {PACK} < r % {PACK} "
+                f"AND {kind}[q % {PACK} - 1] = {kind}[r % {PACK} - 1])")
+    each = (f"transform(filter(allowed, r -> r DIV {PACK} = l{once}), "
             f"r -> named_struct('slot', CAST(i + 1 AS SMALLINT), 'label', CAST(r % {PACK} AS SMALLINT)))")
     none = "CAST(array() AS ARRAY<STRUCT<slot: SMALLINT, label: SMALLINT>>)"
     return f"flatten(transform({slot_labels(library, n)}, (l, i) -> IF(l > 0 AND partner[i] = 0, {each}, {none})))"
 
 
-def candidates(frontier: DataFrame, library: BlockLibrary, n: int) -> DataFrame:
+def candidates(frontier: DataFrame, library: BlockLibrary, n: int, contact_rule: str = "color") -> DataFrame:
     """One row per attachment without overlap: ``new`` holds slot, label, species and contacts."""
     wanted = frontier.selectExpr("*", f"{open_bonds(library, n)} AS wanted")
-    return wanted.withColumn("new", F.explode(attach(library, "species", "partner", "wanted"))).drop("wanted")
+    return wanted.withColumn("new", F.explode(attach(library, "species", "partner", "wanted", contact_rule))).drop("wanted")
+
+
+def judged_by(catalog: SystemCatalog) -> str:
+    """The column that contacts are looked up in: pairs of site labels, or of face labels."""
+    return "allowed" if catalog.contact_rule == "site" or catalog.library.plain_colors else "allowed_colors"
+
 
+def permitted(catalog: SystemCatalog) -> str:
+    """SQL: every face pair the new block makes is one the catalog's contact rule allows."""
+    return f"NOT exists(new.touch, t -> NOT array_contains({judged_by(catalog)}, t.here * {PACK} + t.there))"
 
-def permitted(library: BlockLibrary) -> str:
-    """SQL: every face pair the new block makes is one the rules allow."""
-    allowed = "allowed" if library.distinct_sites else "allowed_colors"
-    return f"NOT exists(new.touch, t -> NOT array_contains({allowed}, t.here * {PACK} + t.there))"
 
+def treats_alike(library: BlockLibrary, rules: Column) -> Column:
+    """Whether labels of one symmetry class have partners of the same classes."""
+    kind = F.array(*[F.lit(c) for c in library.label_classes()])
+    of = lambda label: F.element_at(kind, label.cast("int"))
+    met = lambda label: F.array_sort(F.array_distinct(F.transform(
+        F.filter(rules, lambda r: r["i"] == label), lambda r: of(r["j"]))))
+    labels = F.array(*[F.lit(i) for i in range(1, library.n_labels + 1)])
+    return F.forall(labels, lambda label: met(label) == met(of(label)))
 
-def one_per_placement(library: BlockLibrary, once: str) -> str:
+
+def one_per_placement(library: BlockLibrary, once: str, n: int) -> str:
     """SQL: drop candidates that reach a placement another candidate of the row reaches too.
 
     ``"first"`` keeps the lowest touched slot, ``"orbit"`` one placement per symmetry class of
-    the structure (lowest slot orbit, then lowest class of the touching site).
+    the structure (lowest slot orbit, then lowest class of the touching site).  Only contacts
+    that are candidates themselves count: a face label may allow contacts no rule starts from.
     """
-    if once == "first":
-        return "new.touch[0].slot = new.slot" if library.distinct_sites else "true"
-    classes = "array(" + ",".join(map(str, label_classes(library))) + ")"
+    classes = "array(" + ",".join(map(str, library.label_classes())) + ")"
     offsets = "array(" + ",".join(map(str, library.offsets)) + ")"
-    least = ("array_min(transform(new.touch, t -> named_struct('o', orbit[t.slot - 1], 'c', "
-             f"{classes}[{offsets}[new.species_j - 1] + new.hit[t.slot - 1] - 1])))")
+    far = f"{classes}[{offsets}[new.species_j - 1] + new.hit[t.slot - 1] - 1]"
+    touch = "new.touch"
+    if not library.colors_are_classes:
+        pairs = f"transform(allowed, r -> {classes}[r DIV {PACK} - 1] * {PACK} + {classes}[r % {PACK} - 1])"
+        touch = f"filter(new.touch, t -> array_contains({pairs}, {classes}[{slot_labels(library, n)}[t.slot - 1] - 1] * {PACK} + {far}))"
+    if once == "first":
+        return f"{touch}[0].slot = new.slot" if library.distinct_sites else "true"
+    least = f"array_min(transform({touch}, t -> named_struct('o', orbit[t.slot - 1], 'c', {far})))"
     return f"{least} = named_struct('o', new.slot, 'c', {classes}[new.label_j - 1])"
 
 
-def label_classes(library: BlockLibrary) -> list[int]:
-    """Per label, the smallest label of the same species its block's symmetries reach."""
-    t, out = library.tables, []
-    for k, shape in enumerate(library.shapes):
-        for s in range(shape.n_sites):
-            out.append(library.offsets[k] + min(int(t.canon_site[frame, s]) for frame in t.roots[k]) + 1)
-    return out
-
-
 def assembled(chosen: DataFrame, library: BlockLibrary, n: int, names) -> DataFrame:
     """Write the new block and all its bonds into the arrays."""
     kept = f"zip_with(partner, new.hit, (p, g) -> CAST(IF(g > 0, g + {n * library.stride}, p) AS SMALLINT))"
@@ -141,7 +160,7 @@ def children(frontier: DataFrame, catalog: SystemCatalog, n: int, once: str = "f
     """All feasible one-block extensions of size-``n`` structures, not yet canonical."""
     lib = catalog.library
     carried = [c for c in ("sys", "allowed", "allowed_colors") if c in frontier.columns]
-    chosen = candidates(frontier, lib, n).where(permitted(lib)).where(one_per_placement(lib, once))
+    chosen = candidates(frontier, lib, n, catalog.contact_rule).where(permitted(catalog)).where(one_per_placement(lib, once, n))
     return assembled(chosen, lib, n, [*carried, *keep])
 
 

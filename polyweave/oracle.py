@@ -49,10 +49,11 @@ def linear(row, cell: str = "e") -> str:
 
 
 class Lattice:
-    """``sites`` faces per block; ``alike`` makes all faces of a block interchangeable."""
+    """``sites`` faces per block; ``alike`` makes all faces of a block interchangeable.  With
+    ``colors``, a face label per site, contacts are allowed by these labels."""
 
-    def __init__(self, shape: str, alike: bool = False):
-        self.shape, self.alike = shape, alike
+    def __init__(self, shape: str, alike: bool = False, colors=None):
+        self.shape, self.alike, self.colors = shape, alike, colors
         self.sites = {"triangle": 3, "square": 4, "hexagon": 6, "cube": 6}[shape]
         self.steps = {"triangle": HEX_STEPS, "hexagon": HEX_STEPS, "square": SQUARE_STEPS, "cube": CUBE_STEPS}[shape]
         self.dim = 3 if shape == "cube" else 2
@@ -126,6 +127,9 @@ class Lattice:
             pairs = ("SELECT DISTINCT sys, (a - 1) * {m} + i AS li, (b - 1) * {m} + j AS lj, a AS si, b AS sj, i AS ti, "
                      "j AS tj FROM (SELECT sys, species_i AS a, site_i AS i, species_j AS b, site_j AS j FROM bonds UNION "
                      "SELECT sys, species_j, site_j, species_i, site_i FROM bonds) p").replace("{m}", str(m))
+        # code of a face for contacts: its label, or its face label where these are given
+        top = max(self.colors or [m])
+        code = lambda species, face: f"(({species}) - 1) * {top} + {f'{list(self.colors)}[{face}]' if self.colors else face}"
         new = [*self.position("r.ti", "c"), self.orientation("r.ti", "r.tj", "c"), "r.sj"]
         if self.alike and self.shape == "triangle":
             open_face = f"(c[{self.k}] + 12 - 2 * (r.ti - 1)) % 6 % 2 = c[{self.k}] % 2"
@@ -138,14 +142,15 @@ class Lattice:
             bad = f"{near} AND NOT list_contains(codes, e[{s}] * 100 + f[{s}])"
         else:
             here, there = self.face("e", delta("f", "e")), self.face("f", delta("e", "f"))
-            bad = (f"{here} IS NOT NULL AND NOT list_contains(codes, ((e[{s}] - 1) * {m} + {here}) * 100 "
-                   f"+ (f[{s}] - 1) * {m} + {there})")
+            bad = (f"{here} IS NOT NULL AND NOT list_contains(codes, ({code(f'e[{s}]', here)}) * 100 "
+                   f"+ {code(f'f[{s}]', there)})")
+        codes = f"({code('si', 'ti')}) * 100 + {code('sj', 'tj')}" if self.colors else "li * 100 + lj"
         zero = "[" + ", ".join(["0"] * (self.dim + 1)) + ", k]"
         return f"""
 bonds AS ({bonds}),
 top AS (SELECT sys, max(greatest(species_i, species_j)) AS n_species FROM bonds GROUP BY sys),
 pairs AS ({pairs}),
-rules AS (SELECT sys, list(DISTINCT li * 100 + lj) AS codes FROM pairs GROUP BY sys),
+rules AS (SELECT sys, list(DISTINCT {codes}) AS codes FROM pairs GROUP BY sys),
 lv(sys, n, cells) AS (
   SELECT sys, 1, [{zero}] FROM (SELECT sys, unnest(range(1, n_species + 1)) AS k FROM top)
   UNION

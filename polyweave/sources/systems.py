@@ -44,13 +44,20 @@ def swapped(pairs: Column) -> Column:
 
 
 class SystemCatalog:
-    def __init__(self, library: BlockLibrary, rows: DataFrame):
-        self.library, self.rows = library, rows
+    """Systems over one library.  ``contact_rule`` says which touching faces are allowed: with
+    ``"color"`` those whose face labels belong to the two ends of some rule, with ``"site"``
+    only those whose sites do.  New blocks are always attached by the rules of sites."""
+
+    def __init__(self, library: BlockLibrary, rows: DataFrame, contact_rule: str = "color"):
+        if contact_rule not in ("color", "site"):
+            raise ValueError("the contact rule is 'color' or 'site'")
+        self.library, self.rows, self.contact_rule = library, rows, contact_rule
 
     # ---------------------------------------------------------------- constructors
 
     @classmethod
-    def from_bonds(cls, library: BlockLibrary, bonds: DataFrame, n_species: int | None = None) -> "SystemCatalog":
+    def from_bonds(cls, library: BlockLibrary, bonds: DataFrame, n_species: int | None = None,
+                   contact_rule: str = "color") -> "SystemCatalog":
         """One system per ``sys`` from rows ``(sys, species_i, site_i, species_j, site_j)``.
 
         Without ``n_species`` a system has all species up to the largest one it mentions.
@@ -62,7 +69,7 @@ class SystemCatalog:
         top = F.max("top") if n_species is None else F.lit(n_species)
         rows = (ends.groupBy("sys").agg(top.cast("int").alias("n_species"), F.collect_set("pair").alias("p"))
                 .select("sys", "n_species", F.array_sort(F.array_union("p", swapped(F.col("p")))).alias("rules")))
-        return cls(library, rows)
+        return cls(library, rows, contact_rule)
 
     @classmethod
     def from_pairs(cls, library: BlockLibrary, pairs: DataFrame, n_species: int | None = None) -> "SystemCatalog":
@@ -119,7 +126,7 @@ class AssemblySystem(SystemCatalog):
     those columns; ``geometry`` is one shape for every species or a list with one per species.
     """
 
-    def __init__(self, spark: SparkSession, bonds, geometry, face_labels=None):
+    def __init__(self, spark: SparkSession, bonds, geometry, face_labels=None, contact_rule: str = "color"):
         table = bond_table(spark, bonds)
         if isinstance(geometry, Shape):
             top = table.agg(F.max(F.greatest("species_i", "species_j"))).first()[0]
@@ -128,10 +135,17 @@ class AssemblySystem(SystemCatalog):
             geometry = [geometry] * int(top)
         library = BlockLibrary(geometry, face_labels)
         catalog = SystemCatalog.from_bonds(library, table.withColumn("sys", F.lit(0).cast("bigint")), library.n_species)
-        super().__init__(library, _at_least_one(spark, catalog.rows, library.n_species))
+        self._set(library, _at_least_one(spark, catalog.rows, library.n_species), contact_rule)
+
+    def _set(self, library: BlockLibrary, rows: DataFrame, contact_rule: str) -> None:
+        """Look-alike sites that the rules tell apart are told apart in structures as well."""
+        if not library.distinct_sites:
+            rules = rows.first()["rules"]  # of one system: at most the squared number of labels
+            library = library.split_by_rules([(r["i"], r["j"]) for r in rules])
+        SystemCatalog.__init__(self, library, rows, contact_rule)
 
     @classmethod
-    def from_matrix(cls, spark: SparkSession, matrix, geometries, face_labels=None) -> "AssemblySystem":
+    def from_matrix(cls, spark: SparkSession, matrix, geometries, face_labels=None, contact_rule: str = "color") -> "AssemblySystem":
         library = BlockLibrary(geometries, face_labels)
         size = len(matrix)
         if size != library.n_labels or any(len(row) != size for row in matrix):
@@ -140,7 +154,7 @@ class AssemblySystem(SystemCatalog):
         table = literal_table(spark, pairs, "sys bigint, label_i int, label_j int")
         out = cls.__new__(cls)
         rows = SystemCatalog.from_pairs(library, table, library.n_species).rows
-        SystemCatalog.__init__(out, library, _at_least_one(spark, rows, library.n_species))
+        out._set(library, _at_least_one(spark, rows, library.n_species), contact_rule)
         return out
 
     def size(self) -> tuple[int, int]:

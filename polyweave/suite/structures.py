@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..blocks import CUBE, SQUARE, TRIANGLE, BlockLibrary
+from ..blocks import CUBE, HEXAGON, SQUARE, TRIANGLE, BlockLibrary
 from ..functions.vertices import block_vertices, first_vertex, site_vertices, vertex_count, vertex_table
 from ..operators import composition as comp
 from ..operators import growth
@@ -54,6 +54,15 @@ polycube = lambda s, f: alike_systems(s, f, "orders", tables.CUSTOMER_BOND, CUBE
 ALIKE = {k: Lattice(k, alike=True) for k in ("square", "triangle", "cube")}
 
 
+#: two faces of each triangle share a label; labels of hexagons with gaps and far from the sites' own
+COARSE = {"coarse": [1, 1, 2], "renumbered": [907, 911, 40000, 17, 60000, 3]}
+coarse = lambda s, f: SystemCatalog.from_bonds(BlockLibrary.uniform(TRIANGLE, 3, COARSE["coarse"]), tables.order_bonds(s, f))
+strict = lambda s, f: SystemCatalog.from_bonds(BlockLibrary.uniform(TRIANGLE, 3, COARSE["coarse"]), tables.order_bonds(s, f), contact_rule="site")
+renumbered = lambda s, f: SystemCatalog.from_bonds(BlockLibrary.uniform(HEXAGON, 2, COARSE["renumbered"]),
+                                             tables.bonds(s, f, "events", tables.DAY_BOND))
+COARSE_ORDER = Lattice("triangle", colors=COARSE["coarse"])
+
+
 def mixed_systems(spark, folder):
     """Triangles and squares together, one system per conversation."""
     bond = {**tables.TALK_BOND, "site_i": "CAST(length(text) % 3 + 1 AS INT)",
@@ -129,10 +138,9 @@ ATTACH_SQL = f"""SELECT sys, li AS label_i, lj AS label_j, sj AS species_j,
 def find_bonds(spark, folder):
     """Attachments to two-block structures: all without overlap, closing ones, permitted ones."""
     catalog = tables.day_systems(spark, folder)
-    lib = catalog.library
     pairs = polygen(catalog, max_size=2).where("n = 2")
-    rows = growth.candidates(pairs, lib, 2).select("sys", F.size("new.touch").alias("t"),
-                                                   F.expr(growth.permitted(lib)).alias("good"))
+    rows = growth.candidates(pairs, catalog.library, 2).select("sys", F.size("new.touch").alias("t"),
+                                                               F.expr(growth.permitted(catalog)).alias("good"))
     return rows.groupBy("sys").agg(F.count(F.lit(1)).alias("candidates"),
                                    F.count(F.when(F.col("t") > 1, 1)).alias("closing"),
                                    F.count(F.when(F.col("good"), 1)).alias("permitted"))
@@ -329,6 +337,12 @@ QUERIES = {
     "polygen_polyomino": (generated(polyomino, 4), recursive(ALIKE["square"], "talk", 4, COUNTS)),
     "polygen_polyiamond": (generated(polyiamond, 4), recursive(ALIKE["triangle"], "order", 4, COUNTS)),
     "polygen_polycube": (generated(polycube, 3), recursive(ALIKE["cube"], "customer", 3, COUNTS)),
+    "polygen_coarse_labels": (generated(coarse, 4), recursive(COARSE_ORDER, "order", 4, COUNTS)),
+    "polyenum_coarse_labels": (searched(coarse, 4), recursive(COARSE_ORDER, "order", 4, SEARCHED)),
+    "polygen_site_rule": (generated(strict, 4), recursive(ORDER, "order", 4, COUNTS)),
+    "polyenum_site_rule": (searched(strict, 4), recursive(ORDER, "order", 4, SEARCHED)),
+    "polygen_renumbered": (generated(renumbered, 3), recursive(DAY, "day", 3, COUNTS)),
+    "polyenum_renumbered": (searched(renumbered, 3), recursive(DAY, "day", 3, SEARCHED)),
     "polygen_mixed": (generated(mixed_systems, 4), None),
     "polyenum_triangles": (searched(tables.order_systems, 4), recursive(ORDER, "order", 4, SEARCHED)),
     "polyenum_squares": (searched(tables.talk_systems, 5), recursive(TALK, "talk", 5, SEARCHED)),

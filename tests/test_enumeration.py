@@ -99,3 +99,94 @@ def test_cube_symmetry_numbers(spark):
     asys = AssemblySystem(spark, same(6), CUBE, [1] * 24)
     rows = comp.with_symmetry(polygen(asys, max_size=3), asys.library).collect()
     assert sorted((r.n, r.sigma) for r in rows) == [(1, 24), (2, 8), (3, 2), (3, 8)]
+
+
+ALIKE = [1, 1, 1, 1]
+
+
+@pytest.mark.parametrize("rule", ["color", "site"])
+@pytest.mark.parametrize("shape, labels, bonds, counts", [
+    (SQUARE, ALIKE, [[1, 2, 1, 2]], [1, 1]),
+    (SQUARE, [1, 2, 1, 2], [[1, 3, 1, 3]], [1, 1]),
+    (TRIANGLE, [1, 1, 2], [[1, 3, 1, 3]], [1, 1]),
+    (TRIANGLE, [5, 6, 7], [[1, 3, 1, 3]], [1, 1]),
+    (TRIANGLE, [70000, 6, 40000], [[1, 3, 1, 3]], [1, 1]),
+    (TRIANGLE, None, [[1, 3, 1, 3]], [1, 1]),
+    (SQUARE, ALIKE, [[1, 1, 1, 2]], None),
+    (SQUARE, [1, 2, 1, 2], [[1, 1, 1, 1], [1, 3, 1, 3], [1, 1, 1, 3]], None),
+    (TRIANGLE, [1, 1, 2], [[1, 1, 1, 3], [1, 2, 1, 2]], None),
+    (HEXAGON, [1, 2, 3, 1, 2, 3], [[1, 1, 1, 1], [1, 2, 1, 5], [1, 3, 1, 4]], None),
+])
+def test_face_labels_and_partial_rules(spark, shape, labels, bonds, counts, rule):
+    asys = AssemblySystem(spark, bonds, shape, labels, contact_rule=rule)
+    a, b = (enumerate_levels(asys, s, 5) for s in ("levels", "reverse_search"))
+    found = [c for _, c in sorted(a.counts.items()) if c]
+    assert found == [c for _, c in sorted(b.counts.items()) if c]
+    assert found == plain_counts(shape.n_sites, labels, bonds, 5, rule)
+    if counts:
+        assert found == counts
+
+
+def plain_counts(m, labels, bonds, size, rule):
+    """Structures of one regular polygon that tiles, by plain growth of cells (x, y, turn).
+
+    Structures are the same if a motion maps cells onto cells and each turn onto a turn of the
+    same kind: turns are of one kind if the block looks the same and binds the same after them.
+    """
+    import cmath
+    rules = {(i - 1, j - 1) for _, i, _, j in bonds} | {(j - 1, i - 1) for _, i, _, j in bonds}
+    labels = labels or list(range(m))
+    seen_as = {(labels[i], labels[j]) for i, j in rules}
+    fits = (lambda i, j: (labels[i], labels[j]) in seen_as) if rule == "color" else (lambda i, j: (i, j) in rules)
+    kinds = {s: labels[s] for s in range(m)}
+    while True:  # symmetries of the block keep labels and, kind by kind, what sites bind
+        turns = [t for t in range(m) if all(kinds[s] == kinds[(s + t) % m] for s in range(m))]
+        orbit = {s: min((s + t) % m for t in turns) for s in range(m)}
+        new = {s: (orbit[s], tuple(sorted({orbit[j] for i, j in rules if i == s}))) for s in range(m)}
+        if len(set(new.values())) == len(set(orbit.values())):
+            break
+        kinds = new
+    r, step = 0.5 / cmath.tan(cmath.pi / m).real, 2 * cmath.pi / m
+    face = lambda turn, s: cmath.exp(1j * (turn - s * step))
+    code = lambda z: (round(z.real, 3) + 0.0, round(z.imag, 3) + 0.0)
+
+    def form(cells):
+        out = []
+        for z0, t0 in cells:
+            for k in turns:
+                back = cmath.exp(-1j * (t0 - k * step))
+                out.append(tuple(sorted((code((z - z0) * back), min(code(cmath.exp(1j * (t - t0 + (k + u) * step))) for u in turns)) for z, t in cells)))
+        return min(out)
+
+    def grown(cells):
+        for z, t in cells:
+            for i, j in rules:
+                z2 = z + 2 * r * face(t, i)
+                t2 = cmath.phase(-face(t, i)) + j * step
+                ok = True
+                for y, u in cells:
+                    gap = abs(y - z2)
+                    if gap < 2 * r - 0.1:
+                        ok = False
+                    elif gap < 2 * r + 1e-6:
+                        here = min(range(m), key=lambda s: abs(face(u, s) * 2 * r - (z2 - y)))
+                        there = min(range(m), key=lambda s: abs(face(t2, s) * 2 * r - (y - z2)))
+                        if abs(face(u, here) * 2 * r - (z2 - y)) < 1e-6 and not fits(here, there):
+                            ok = False
+                if ok:
+                    yield (*cells, (z2, t2))
+
+    level, out = {None: ((0j, 0.0),)}, []
+    while level and len(out) < size:
+        out.append(len(level))
+        level = {form(g): g for cells in level.values() for g in grown(cells)}
+    return out
+
+
+def test_catalogs_refuse_rules_that_tell_alike_sites_apart(spark):
+    from polyweave import BlockLibrary, SystemCatalog
+    bonds = spark.createDataFrame([(0, 1, 2, 1, 2)], "sys long, species_i int, site_i int, species_j int, site_j int")
+    with pytest.raises(Exception, match="differ between look-alike sites"):
+        polygen(SystemCatalog.from_bonds(BlockLibrary([SQUARE], ALIKE), bonds), max_size=2).count()
+    with pytest.raises(ValueError, match="site labels"):
+        BlockLibrary.uniform(HEXAGON, 6000)
