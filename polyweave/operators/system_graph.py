@@ -143,5 +143,8 @@ def system_keys(catalog: SystemCatalog) -> DataFrame:
                for n, rs in zip(n_species.to_pylist(), rules.to_pylist())]
         return pa.array(out, type=pa.string())
 
-    named = catalog.rows.select("sys", arrow_udf(keys, "string")("n_species", "rules").alias("system_key"))
-    return named.withColumn("rhash", F.xxhash64("system_key"))
+    # many systems have the same rules: each distinct list is named once
+    rows = catalog.rows.select("sys", "n_species", "rules")
+    distinct = rows.select("n_species", "rules").distinct()
+    named = distinct.withColumn("system_key", arrow_udf(keys, "string")("n_species", "rules"))
+    return rows.join(named, ["n_species", "rules"]).select("sys", "system_key", F.xxhash64("system_key").alias("rhash"))

@@ -1,4 +1,4 @@
-"""Enumeration drivers: level-by-level with a DISTINCT, and shuffle-free reverse search.
+"""Enumeration drivers: level by level with a DISTINCT, and reverse search without one.
 
 Both run one Spark job per size.  Each level is written once as Parquet under the shared
 checkpoint folder, which cuts the lineage, survives lost executors, and is both the input of
@@ -7,13 +7,18 @@ the next level and part of the result.
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators import growth
 from ..sources.systems import SystemCatalog
@@ -26,21 +31,42 @@ KEEP, LEAF, DROP, STOP = 0, 1, 2, 3
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder for level tables: the session's ``spark.checkpoint.dir`` if it has one."""
+    """New folder for level tables under the session's ``spark.checkpoint.dir``.
+
+    Where executors are other processes that folder has to be one they all share, so it must be
+    set.  A local session may leave it unset and gets a temporary folder that goes when it ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="polyweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/polyweave-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @dataclass
 class Enumeration:
-    """Result of a run: the structures, their number, the largest size, and early-stop flag."""
+    """Result of a run: the structures, their number, the largest size, and early-stop flag.
+
+    ``close`` deletes the written levels; ``structures`` can't be read after that.
+    """
 
     structures: DataFrame
     counts: dict
     stopped: bool = False
+    folder: str | None = None
+
+    def close(self) -> None:
+        if self.folder:
+            delete_folder(self.structures.sparkSession, self.folder)
 
     @property
     def n_structures(self) -> int:
@@ -106,7 +132,7 @@ def enumerate_levels(catalog: SystemCatalog, strategy: str, max_size: int | None
     result = stored.select(*keep)
     if max_strs is not None and sum(counts.values()) > max_strs:
         result, counts = _first_by_size(result, counts, max_strs, at_least=0 if search else counts[1])
-    return Enumeration(result, counts, stopped)
+    return Enumeration(result, counts, stopped, base)
 
 
 def _first_by_size(result: DataFrame, counts: dict, max_strs: int, at_least: int):
@@ -150,6 +176,11 @@ class Summary:
     collected: DataFrame | None = None
     broke: bool = False
     structures: DataFrame | None = None
+    run: Enumeration | None = None
+
+    def close(self) -> None:
+        """Delete the written levels, once nothing more is read from the result."""
+        self.run.close()
 
     def __iter__(self):
         return iter((self.n_structures, self.largest))
@@ -174,7 +205,7 @@ def polyenum(catalog: SystemCatalog, max_size: int | None = None, max_strs: int
     Limits of 0 or None mean no limit.
     """
     run = enumerate_levels(catalog, "reverse_search", max_size or None, max_strs or None, rejector)
-    out = Summary(run.n_structures, run.largest, broke=run.stopped, structures=run.structures)
+    out = Summary(run.n_structures, run.largest, broke=run.stopped, structures=run.structures, run=run)
     if reducer is not None:
         out.reduced = fold(with_empty(run.structures), reducer, reduce_op)
     if aggregator is not None:
@@ -195,7 +226,14 @@ def fold(structures: DataFrame, reducer, reduce_op="+"):
     values = structures.select(reducer(structures).alias("value"))
     if isinstance(reduce_op, str):
         return values.agg(FOLDS[reduce_op]("value")).first()[0]
-    return values.rdd.map(lambda r: r[0]).treeReduce(reduce_op)
+
+    def part(batches):
+        found = [v for b in batches for v in ([functools.reduce(reduce_op, b.column(0).to_pylist())] if b.num_rows else [])]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([functools.reduce(reduce_op, found)], kind)], ["value"])
+
+    kind = to_arrow_type(values.schema["value"].dataType)
+    return functools.reduce(reduce_op, [r[0] for r in values.mapInArrow(part, values.schema).collect()])  # one value a task
 
 
 def counts_by_size(structures: DataFrame, *extra: Column) -> DataFrame:

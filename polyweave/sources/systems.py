@@ -105,6 +105,13 @@ class SystemCatalog:
         return species.join(F.broadcast(site_table(self.spark, self.library)), "species").select(
             "sys", "species", "site", "label", "color")
 
+    def stored(self) -> "SystemCatalog":
+        """The same systems, written to the shared folder once, for uses that read them often."""
+        from ..plans.enumerate import checkpoint_folder
+        path = checkpoint_folder(self.spark)
+        self.rows.write.parquet(path)
+        return SystemCatalog(self.library, self.spark.read.schema(self.rows.schema).parquet(path), self.contact_rule)
+
     @property
     def spark(self) -> SparkSession:
         return self.rows.sparkSession

@@ -23,10 +23,10 @@ def system_graph(spark, folder):
 
 
 def system_hash(spark, folder):
-    """Equivalence classes of systems by size of the class."""
-    keys = order_systems(spark, folder).rhash()
-    return keys.groupBy("system_key").agg(F.count(F.lit(1)).alias("members")).groupBy("members").agg(
-        F.count(F.lit(1)).alias("classes"))
+    """Every system with the smallest one it is equivalent to."""
+    keys = order_systems(spark, folder).stored().rhash()
+    firsts = keys.groupBy("system_key").agg(F.min("sys").alias("first_sys"))
+    return keys.join(firsts, "system_key").select("sys", "first_sys")
 
 
 def _hash_sql() -> str:
@@ -46,22 +46,22 @@ lists AS (SELECT r.sys, n_species, list(struct_pack(i := i, j := j)) AS rs FROM
           WHERE i <= j GROUP BY r.sys, n_species),
 keyed AS (SELECT sys, n_species, min(list_sort([least(m[r.i], m[r.j]) * 10 + greatest(m[r.i], m[r.j]) for r in rs])) AS key
           FROM lists JOIN images ON n = n_species GROUP BY sys, n_species)
-SELECT members, count(*) AS classes FROM (SELECT count(*) AS members FROM keyed GROUP BY n_species, key) GROUP BY members"""
+SELECT sys, min(sys) OVER (PARTITION BY n_species, key) AS first_sys FROM keyed"""
 
 
-def _edges(spark, folder):
-    return system_graph(spark, folder).select(F.col("sys").alias("graph"), "src", "dst")
+def _edges(catalog):
+    return catalog.anatomy().select(F.col("sys").alias("graph"), "src", "dst")
 
 
 def reachability(spark, folder):
     """Can site 1 reach every bond of its system without entering species 2?"""
-    catalog = order_systems(spark, folder)
+    catalog = order_systems(spark, folder).stored()
     rows = catalog.rows.select(F.col("sys").alias("graph"), "n_species", F.expr("size(filter(rules, r -> r.i <= r.j))").alias("k"))
     starts = rows.select("graph", F.lit(1).alias("vertex"))
     targets = rows.select("graph", F.explode(F.sequence(3 * F.col("n_species") + 1, 3 * F.col("n_species") + F.col("k"))).alias("vertex"))
     forbidden = rows.select("graph", F.explode(F.array(F.lit(4), F.lit(5), F.lit(6))).alias("vertex"), "n_species") \
         .where("n_species >= 2").drop("n_species")
-    return connected(_edges(spark, folder), starts, targets, forbidden).withColumnRenamed("graph", "sys")
+    return connected(_edges(catalog), starts, targets, forbidden).withColumnRenamed("graph", "sys")
 
 
 REACH_SQL = f"""WITH RECURSIVE {GRAPH},
@@ -74,9 +74,9 @@ GROUP BY b.sys"""
 
 def simple_path_counts(spark, folder):
     """Simple paths from site 1 of the first block to site 1 of the last."""
-    rows = order_systems(spark, folder).rows
-    ends = rows.select(F.col("sys").alias("graph"), F.lit(1).alias("v"), (3 * F.col("n_species") - 2).alias("w"))
-    found = simple_paths(_edges(spark, folder), ends)
+    catalog = order_systems(spark, folder).stored()
+    ends = catalog.rows.select(F.col("sys").alias("graph"), F.lit(1).alias("v"), (3 * F.col("n_species") - 2).alias("w"))
+    found = simple_paths(_edges(catalog), ends)
     return found.groupBy(F.col("graph").alias("sys")).agg(F.count(F.lit(1)).alias("paths"),
                                                           F.sum(F.size("path")).alias("vertices"))
 

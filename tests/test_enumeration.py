@@ -190,3 +190,15 @@ def test_catalogs_refuse_rules_that_tell_alike_sites_apart(spark):
         polygen(SystemCatalog.from_bonds(BlockLibrary([SQUARE], ALIKE), bonds), max_size=2).count()
     with pytest.raises(ValueError, match="site labels"):
         BlockLibrary.uniform(HEXAGON, 6000)
+
+
+def test_written_levels_go_away(spark):
+    import os
+    run = enumerate_levels(AssemblySystem(spark, SIXTEEN, TRIANGLE), "levels", 2)
+    folder = run.folder.removeprefix("file:")
+    assert os.path.isdir(folder)
+    run.close()
+    assert not os.path.exists(folder)
+    found = polyenum(AssemblySystem(spark, SIXTEEN, TRIANGLE), max_size=2, reducer=lambda df: df["n"], reduce_op=max)
+    assert found.reduced == 2
+    found.close()
