@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import by_slices, text_bytes
 
 #: states, pairs and pieces that a task remembers; what goes beyond is worked out again each time
-STATES, PAIRS, PIECES, PIECE_BYTES = 30_000, 300_000, 300_000, 40
+STATES, PAIRS, PIECES, PIECE_BYTES = 30_000, 250_000, 250_000, 40
 NEVER = 1 << 62
 #: bytes of a piece after which certain tokens are emitted
 FLUSH = 4096
@@ -264,7 +264,7 @@ def encode(text: str | Column, ranks_path: str, pattern: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(load_ranks(ranks_path), pattern)
         for batch in batches:
-            yield pa.array([encoder(t) for t in batch.to_pylist()], pa.binary())
+            yield by_slices(encoder, pa.binary(), batch)
 
     return run(text_bytes(text).cast("string"))
 
@@ -285,16 +285,16 @@ def _decoded(ids, ranks_path, kind):
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = names_of(load_ranks(ranks_path))
+
+        def one(packed):
+            if packed is None:
+                return None
+            stream, values = StreamDecoder(names), unpacked(packed)
+            runs = (values[i:i + RUN] for i in range(0, len(values), RUN))
+            return "".join([*map(stream.feed, runs), stream.end()]) if as_text else b"".join(map(stream.bytes, runs))
+
         for batch in batches:
-            out = []
-            for packed in batch.to_pylist():
-                if packed is None:
-                    out.append(None)
-                    continue
-                stream, values = StreamDecoder(names), unpacked(packed)
-                runs = (values[i:i + RUN] for i in range(0, len(values), RUN))
-                out.append("".join([*map(stream.feed, runs), stream.end()]) if as_text else b"".join(map(stream.bytes, runs)))
-            yield pa.array(out, pa.string() if as_text else pa.binary())
+            yield by_slices(one, pa.string() if as_text else pa.binary(), batch)
 
     return run(F.col(ids) if isinstance(ids, str) else ids)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,11 @@ def text_bytes(column: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("")).cast("binary")
 
 
-def blocks_of(items, size):
-    for start in range(0, len(items), size):
-        yield items[start:start + size]
+def by_slices(convert, kind: pa.DataType, *columns: pa.Array, size: int = 500) -> pa.Array:
+    """``convert`` of every row of the columns as an array.  Only ``size`` rows at a time are
+    Python objects, so long texts in a large batch do not pile up."""
+    parts = []
+    for at in range(0, len(columns[0]), size):
+        rows = zip(*(c.slice(at, size).to_pylist() for c in columns))
+        parts.append(pa.array([convert(*row) for row in rows], kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_bytes
+from .common import by_slices, settle, text_bytes
 
 WINDOW = 10
 #: share of a document's words from which the whole document goes, not only the spans
@@ -245,6 +245,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
 def _cut(text: str, spans: str):
     @F.arrow_udf("string")
     def cut(texts: pa.Array, all_spans: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else without(t.encode(), _merged((s["start"], s["end"]) for s in spans or ())).decode()
-                         for t, spans in zip(texts.to_pylist(), all_spans.to_pylist())], pa.string())
+        def one(t, spans):
+            return t if t is None or not spans else without(t.encode(), _merged((s["start"], s["end"]) for s in spans)).decode()
+        return by_slices(one, pa.string(), texts, all_spans)
     return cut(F.col(text), F.col(spans))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_bytes
+from .common import by_slices, settle, text_bytes
 
 BAD, GOOD, NONE = 0, 1, 2
 #: weights of the scorer; rows of its training sample and the longest text in it; where it keeps a text
@@ -136,12 +136,13 @@ def score(text: str | Column, weights: np.ndarray) -> Column:
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = Hashes()
+
+        def one(t):
+            at, x = values_of(t, hashes)
+            return float(1 / (1 + np.exp(-np.clip(float(weights[at] @ x + weights[-1]), -30, 30))))
+
         for batch in batches:
-            out = []
-            for t in batch.to_pylist():
-                at, x = values_of(t, hashes)
-                out.append(1 / (1 + np.exp(-np.clip(float(weights[at] @ x + weights[-1]), -30, 30))))
-            yield pa.array(out, pa.float64())
+            yield by_slices(one, pa.float64(), batch)
 
     return run(text_bytes(text))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import blocks_of, settle, text_bytes
+from .common import by_slices, settle, text_bytes
 from .components import components
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 3, 42
@@ -42,14 +43,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)`` for every row; whole texts, null as empty."""
+    """``(doc_id, row_key, fp)`` for every row; whole texts, null as empty.  Rows with the same
+    doc_id and text have the same ``row_key``."""
     def run(batches):
         for batch in batches:
-            values = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fp"])
+            values = by_slices(lambda t: fingerprint(t, shingle), pa.int64(), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["doc_id", "row_key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col), text_bytes(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, fp long")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(text_col, F.lit(""))).alias("row_key")
 
 
 # ------------------------------------------------------------------ links between fingerprints
@@ -152,8 +158,18 @@ def links(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK_ROWS
         keyed = _keyed(large, {m: _parts(m & (1 << BITS) - 1, distance + 1) for m in wide}).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+            distance: int = DISTANCE, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, row_key, fp)`` of the rows, and ``(fp, root, first)`` of the distinct fingerprints:
+    the least fingerprint of the component, and the least (is null, doc_id, row_key) of the fingerprint."""
+    marked = settle(fingerprints(docs, id_col, text_col, shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
+    firsts = settle(marked.groupBy("fp").agg(first.alias("first")))
+    roots = components(links(firsts.select("fp"), distance, block_rows))
+    return marked, settle(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row per row of ``docs``.
 
     Fingerprints within ``distance`` bits are linked; ``component_id`` is the smallest doc_id
@@ -161,25 +177,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other.  A null doc_id keeps its row and is never the smallest, unless a component has no
     other.  Repeated rows keep all their rows.  Other columns are ignored.
     """
-    marked = settle(fingerprints(docs, id_col, text_col, shingle))
-    firsts = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(firsts.select("fp"), distance, block_rows))
-    rooted = settle(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    marked, rooted = grouped(docs, **options)
+    least = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (columns unchanged) whose doc_id is the smallest of its group.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` (columns unchanged) of each group: that of the smallest doc_id.
 
-    Rows that repeat the doc_id of a kept row are the same document and are merged; a group
-    without any doc_id keeps its rows.
+    A null doc_id stays only where its group has no other; of texts with the same doc_id in a
+    group one stays, and rows that repeat both doc_id and text are merged.  The texts are
+    shuffled once, by row key, which both the join and the merging use.
     """
-    groups = near_duplicates(docs, **options)
-    gone = groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    _, rooted = grouped(docs, id_col, text_col, **options)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.row_key").alias("__key"), F.coalesce("first.doc_id", F.lit(-1)).alias("__id"))
+    rows = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))
+    once = Window.partitionBy("__key", "__id").orderBy("__key")
+    return (rows.join(kept, ["__key", "__id"], "left_semi").withColumn("__n", F.row_number().over(once))
+            .where("__n = 1").select(*docs.columns))

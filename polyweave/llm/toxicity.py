@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import by_slices, text_bytes
 
 #: words of a window and of its step; longer "words" are cut into pieces of so many bytes
 WINDOW, STEP, WORD_BYTES = 6, 4, 48
@@ -158,7 +158,7 @@ def score(text: str | Column, model: dict) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model["ordinary"], model["toxic"], model["weights"])
         for batch in batches:
-            yield pa.array([scorer(t) for t in batch.to_pylist()], pa.float64())
+            yield by_slices(scorer, pa.float64(), batch)
 
     return run(text_bytes(text))
 
