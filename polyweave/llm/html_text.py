@@ -410,7 +410,8 @@ def fit(pages: DataFrame) -> bytes:
         texts = [t for b in batches for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([packed(fit_pages(texts))], pa.binary())], ["model"])
 
-    return bytes(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(row["model"]) if row else packed(fit_pages([]))
 
 
 # ---------------------------------------------------------------------------- extraction

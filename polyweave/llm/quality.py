@@ -168,7 +168,7 @@ def fit(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([train(texts).tobytes()], pa.binary())], ["weights"])
 
     row = sample.mapInArrow(run, "weights binary").first()
-    return model, np.frombuffer(bytes(row["weights"]), np.float32)
+    return model, np.frombuffer(bytes(row["weights"]), np.float32) if row else train([])
 
 
 def scores(docs: DataFrame) -> DataFrame:

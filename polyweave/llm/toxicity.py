@@ -149,6 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     sample = (docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(picked, "doc_id")
               .select(text_bytes("text").alias("text"), "toxic").repartition(1))
     row = sample.mapInArrow(train, "ordinary binary, toxic binary, weights string").first()
+    if row is None:  # no labelled row, so no task to fit anything
+        return fit_texts([])
     return {"ordinary": bytes(row["ordinary"]), "toxic": bytes(row["toxic"]), "weights": json.loads(row["weights"])}
 
 
