@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 K, QUERY_EVERY, SCALE = 5, 50, 256
 #: vectors of a block of candidates and of a block of queries; queries that are worked on at once
 CANDIDATE_BLOCK, QUERY_BLOCK, AT_ONCE = 8192, 16384, 256
-#: share of each sorted list that has been read after each round
-DEPTHS = (0.05, 0.15, 0.4, 1.0)
+#: share of each sorted list that has been read after each round, and share of (query, candidate)
+#: pairs that may be left to have their scores resolved one by one
+DEPTHS, FEW = (0.25, 0.85, 1.0), 0.02
 EXACT = float(1 << 53)
 
 
@@ -47,28 +48,30 @@ class SortedLists:
             self.kind, self.block, self.rising = object, self.block.astype(np.int64).astype(object), self.rising.astype(np.int64).astype(object)
             self.low, self.high, queries = self.rising[0], self.rising[-1], queries.astype(np.int64).astype(object)
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        order = np.argsort(ids, kind="stable")
+        first, last = (np.searchsorted(ids[order], own, side) for side in ("left", "right"))
+        for share in DEPTHS:  # read on, for all queries at once, while many candidates may still qualify
+            lower, upper = self._bounds(self.block, up, down, max(1, int(self.n * share)))
+            for q in np.flatnonzero(last > first):
+                lower[order[first[q]:last[q]], q] = upper[order[first[q]:last[q]], q] = -np.inf
+            live = (upper >= self._kth(lower, k)) & (upper > -np.inf)
+            if live.mean() <= FEW:
+                break
         out = []
-        depth = max(1, int(self.n * DEPTHS[0]))
-        lower, upper = self._bounds(self.block, up, down, depth)
-        for q in range(len(queries)):
-            other = ids != own[q]
-            live = np.flatnonzero(other & (upper[:, q] >= self._kth(lower[other, q], k)))
-            for share in DEPTHS[1:]:  # outsiders are gone; read on for those that may still qualify
-                if len(live) <= k:
-                    break
-                low, high = self._bounds(self.block[live], up[q:q + 1], down[q:q + 1], max(1, int(self.n * share)))
-                live = live[high[:, 0] >= self._kth(low[:, 0], k)]
-            final = self.block[live] @ queries[q]
-            order = np.lexsort((ids[live], -final))[:k]
-            out += [(q, int(live[i]), int(final[i])) for i in order]
+        at, rows = np.nonzero(live.T)
+        starts = np.searchsorted(at, np.arange(len(queries) + 1))
+        for q in range(len(queries)):  # resolve the scores of those that are left
+            left = rows[starts[q]:starts[q + 1]]
+            final = self.block[left] @ queries[q]
+            out += [(q, int(left[i]), int(final[i])) for i in np.lexsort((ids[left], -final))[:k]]
         return out
 
     @staticmethod
     def _kth(lower, k):
-        """The k-th best lower bound; every candidate qualifies while there are fewer than k."""
+        """The k-th best lower bound of each query; all qualify while there are fewer candidates."""
         if len(lower) <= k:
-            return lower.min() if len(lower) else 0
-        return np.partition(lower, len(lower) - k)[len(lower) - k] if lower.dtype != object else sorted(lower)[-k]
+            return np.full(lower.shape[1], -np.inf)
+        return (np.sort(lower, axis=0) if lower.dtype == object else np.partition(lower, len(lower) - k, axis=0))[len(lower) - k]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
