@@ -40,6 +40,30 @@ def op5_quotations(spark, folder):
     return chat.conversations(read_table(spark, folder, "conversations"))
 
 
+SQL["op5_quotations"] = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn::BIGINT AS turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
+x AS (SELECT r, conv_id, turn, role, list_transform(ls, lambda s: struct_pack(
+        level := len(regexp_extract(s, '^\s*((>\s?)+)', 1)) - len(replace(regexp_extract(s, '^\s*((>\s?)+)', 1), '>', '')),
+        said := regexp_replace(s, '^\s*((>\s?)+)', ''))) AS lines FROM m),
+each_line AS (SELECT r, conv_id, turn, l.level AS level, trim(regexp_replace(lower(l.said), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm
+              FROM (SELECT r, conv_id, turn, unnest(lines) AS l FROM x WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+quoted AS (SELECT r, conv_id, turn, level, norm, count(*) AS n FROM each_line WHERE level > 0 AND norm <> '' GROUP BY ALL),
+linked AS (SELECT q.r, q.level, q.norm, any_value(q.n) AS n, max(o.turn) AS origin FROM quoted q
+           JOIN each_line o ON o.conv_id = q.conv_id AND o.norm = q.norm AND o.level = 0 AND o.turn < q.turn GROUP BY q.r, q.level, q.norm),
+votes AS (SELECT r, origin, row_number() OVER (PARTITION BY r ORDER BY level, n DESC, origin DESC) AS k
+          FROM (SELECT r, level, origin, sum(n) AS n FROM linked GROUP BY r, level, origin)),
+counts AS (SELECT r, sum(n) AS n_linked FROM linked GROUP BY r),
+step AS (SELECT conv_id, turn, max(origin) AS parent FROM x JOIN votes USING (r) WHERE k = 1 GROUP BY conv_id, turn),
+walk AS (SELECT conv_id, turn, parent AS at_turn, 1 AS depth FROM step
+         UNION ALL SELECT w.conv_id, w.turn, s.parent, depth + 1 FROM walk w JOIN step s ON s.conv_id = w.conv_id AND s.turn = w.at_turn),
+ends AS (SELECT conv_id, turn, max(depth) AS depth, arg_max(at_turn, depth) AS thread FROM walk GROUP BY conv_id, turn)
+SELECT x.conv_id, x.turn, role, trim(array_to_string([l.said for l in lines if l.level = 0], chr(10))) AS text,
+       len([1 for l in lines if l.level > 0])::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked, v.origin AS parent_turn,
+       coalesce(depth, 0)::BIGINT AS depth, coalesce(thread, x.turn) AS thread_turn
+FROM x LEFT JOIN (SELECT * FROM votes WHERE k = 1) v USING (r) LEFT JOIN counts c USING (r)
+LEFT JOIN ends e ON e.conv_id = x.conv_id AND e.turn = x.turn"""
+
+
 def op6_secrets(spark, folder):
     return secrets.scan(read_table(spark, folder, "documents"))
 

@@ -1,7 +1,9 @@
 import random
 import re
 
+import duckdb
 import pytest
+from compare import compare
 
 from polyweave.llm import chat, queries
 
@@ -47,6 +49,11 @@ def test_against_plain_loops(spark, monkeypatch, seed, block):
             said += [x for x in lines if ">" not in x]
             rows.append((conv, turn, "user", "\n".join(lines), "x"))
     got = {(r["conv_id"], r["turn"]): r for r in chat.conversations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn INT, role TEXT, text TEXT, depth TEXT)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?, ?)", rows)
+    ok, text = compare(spark, con, "", "chat", lambda *_: chat.conversations(spark.createDataFrame(rows, SCHEMA)), queries.SQL["op5_quotations"])
+    assert ok, text
     parents, linked = plain(rows)
     for row, parent, n in zip(rows, parents, linked):
         r = got[row[0], row[1]]
@@ -58,11 +65,9 @@ def test_against_plain_loops(spark, monkeypatch, seed, block):
         assert (r["depth"], r["thread_turn"]) == (steps, at)
 
 
-def test_query_keeps_every_message(spark, small, con):
-    rows = queries.op5_quotations(spark, small).collect()
-    assert len(rows) == con.execute("SELECT count(*) FROM conversations").fetchall()[0][0]
-    texts = dict(((c, t), x) for c, t, x in con.execute("SELECT conv_id, turn, text FROM conversations").fetchall())
-    assert all(r["text"] == "\n".join(texts[r["conv_id"], r["turn"]].split("\n")).strip(" ") for r in rows)
+def test_query_matches_sql(spark, small, con):
+    ok, text = compare(spark, con, small, "op5_quotations", *queries.registered()["op5_quotations"])
+    assert ok, text
 
 
 def test_odd_rows(spark):
