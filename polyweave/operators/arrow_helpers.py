@@ -18,17 +18,20 @@ from ..blocks import FACE_TOLERANCE, OVERLAP_SLACK, qmul, qrot
 
 # ------------------------------------------------------------------- Arrow plumbing
 
+PIECE_CELLS = 8_000_000
+
+
 def by_size(species: pa.Array, partner: pa.Array, stride: int):
-    """Yield ``(row_numbers, species[B, n], partner[B, n*stride])`` for every size n."""
+    """Yield ``(row_numbers, species[B, n], partner[B, n*stride])`` for every size n, in pieces
+    that keep temporary arrays small whatever the size of the Arrow batch."""
     sizes = np.diff(species.offsets.to_numpy())
     flat_species = species.flatten().to_numpy(zero_copy_only=False)
     flat_partner = partner.flatten().to_numpy(zero_copy_only=False)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     for n in np.unique(sizes):
-        rows = np.flatnonzero(sizes == n)
-        if len(rows) == len(sizes):
-            yield rows, flat_species.reshape(len(rows), n), flat_partner.reshape(len(rows), n * stride)
-        else:
+        alike = np.flatnonzero(sizes == n)
+        step = max(16, PIECE_CELLS // int(max(1, n) * max(n, 24 * stride)))  # bounds what is made per row and start frame
+        for rows in (alike[i:i + step] for i in range(0, len(alike), step)):
             at = starts[rows]
             yield (rows, flat_species[at[:, None] + np.arange(n)],
                    flat_partner[(at * stride)[:, None] + np.arange(n * stride)])
@@ -58,11 +61,12 @@ def scalar_column(parts, n_rows: int, kind) -> pa.Array:
 
 
 def binary_column(parts, n_rows: int) -> pa.Array:
-    out = [b""] * n_rows
-    for rows, values in parts:
-        for row, value in zip(rows, values):
-            out[row] = value.tobytes()
-    return pa.array(out, type=pa.binary())
+    """Arrow binary column of the bytes of each row of ``[(row_numbers, values[B, k]), ...]``."""
+    if not n_rows:
+        return pa.array([], pa.binary())
+    raw = [(rows, np.ascontiguousarray(values).view(np.uint8).reshape(len(rows), -1)) for rows, values in parts]
+    lists = list_column(raw, n_rows, pa.uint8())
+    return pa.Array.from_buffers(pa.binary(), n_rows, [None, lists.buffers()[1], lists.values.buffers()[1]])
 
 
 # -------------------------------------------------------------------------- placing
