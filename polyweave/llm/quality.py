@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from typing import Iterator
 
 import numpy as np
@@ -96,27 +97,29 @@ class LabelModel:
 
 # ------------------------------------------------------------------------------- scorer
 
+#: the first buckets are for last bytes and lengths of words, the others for hashed words
+SHAPES = 256 + 32
+
+
 class Hashes(dict):
-    """Bucket and sign of a word, and of its first and last characters; bounded memory."""
+    """Bucket of a word; bounded memory."""
 
     def __missing__(self, word: bytes) -> int:
-        n = zlib.crc32(word) % BUCKETS
+        n = SHAPES + zlib.crc32(word) % (BUCKETS - SHAPES)
         if len(self) < 200_000:
             self[word] = n
         return n
 
 
-def buckets_of(text: bytes, hashes: Hashes) -> np.ndarray:
-    words = text.lower().split()
-    shapes = [b"<%b>" % w[-1:] for w in words] + [b"#%d" % min(len(w), 30) for w in words]
-    return np.fromiter(map(hashes.__getitem__, words + shapes), np.int64, 3 * len(words))
-
-
 def values_of(text: bytes, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and their weights: square root counts, scaled to length one."""
-    found, n = np.unique(buckets_of(text, hashes), return_counts=True)
-    x = np.sqrt(n)
-    return found, x / max(1e-9, np.sqrt((x * x).sum()))
+    words = Counter(text.lower().split())
+    size, times = len(words), np.fromiter(words.values(), np.float64, len(words))
+    at = np.concatenate([np.fromiter(map(hashes.__getitem__, words), np.int64, size), np.fromiter((w[-1] for w in words), np.int64, size),
+                         256 + np.minimum(np.fromiter(map(len, words), np.int64, size), 31)])
+    counts = np.bincount(at, np.tile(times, 3), BUCKETS)
+    found = np.flatnonzero(counts)
+    return found, np.sqrt(counts[found] / max(1.0, 3 * times.sum()))
 
 
 def train(texts: list[tuple[bytes, float]], rounds: int = 4, rate: float = 2.0) -> np.ndarray:
