@@ -5,6 +5,7 @@ import sys as _sys
 from pyspark.cloudpickle import register_pickle_by_value as _by_value
 
 from .blocks import (CUBE, HEXAGON, PENTAGON, SQUARE, TRIANGLE, BlockLibrary, Shape, cube, polygon, polyhedron)
+from .operators.composition import composition, compositions, isomorphic
 from .plans.enumerate import polyenum, polygen
 from .sources.systems import AssemblySystem, SystemCatalog
 
@@ -12,4 +13,4 @@ from .sources.systems import AssemblySystem, SystemCatalog
 _by_value(_sys.modules[__name__])
 
 __all__ = ["AssemblySystem", "BlockLibrary", "CUBE", "HEXAGON", "PENTAGON", "SQUARE", "Shape", "SystemCatalog",
-           "TRIANGLE", "cube", "polyenum", "polygen", "polygon", "polyhedron"]
+           "TRIANGLE", "composition", "compositions", "cube", "isomorphic", "polyenum", "polygen", "polygon", "polyhedron"]

@@ -55,6 +55,20 @@ FROM (SELECT p_partkey, n, unnest(range(0, n)) AS i, side / (2 * tan(pi() / n))
       FROM (SELECT p_partkey, CAST(p_size % 4 + 3 AS INT) AS n, p_retailprice / 1000 AS side FROM part))"""
 
 
+def shifted_sites(spark, folder):
+    """Face centres of one regular polygon per part, all moved by one step."""
+    delta = rot.point(F.col("p_size") / 4, F.col("p_retailprice") / 500)
+    rows = part_polygons(spark, folder).join(read(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey")
+    rows = rows.select("p_partkey", F.posexplode(rot.shift_points(F.col("g.sites"), delta, 2)).alias("pos", "x"))
+    return rows.select("p_partkey", (F.col("pos") + 1).alias("site"), tidy(F.col("x.x")).alias("x"), tidy(F.col("x.y")).alias("y"))
+
+
+SHIFT_SQL = f"""SELECT p_partkey, i + 1 AS site, {sql_tidy('r_in * cos(pi() * (-2.0 * i / n - 0.5)) + p_size / 4.0')} AS x,
+{sql_tidy('r_in * sin(pi() * (-2.0 * i / n - 0.5)) + p_retailprice / 500')} AS y
+FROM (SELECT *, unnest(range(0, n)) AS i, p_retailprice / 1000 / (2 * tan(pi() / n)) AS r_in
+      FROM (SELECT p_partkey, p_size, p_retailprice, CAST(p_size % 4 + 3 AS INT) AS n FROM part))"""
+
+
 def cube_geometry(spark, folder):
     """Face centres of one cube per part, with the image of each under its reference rotation."""
     rows = read(spark, folder, "part").select("p_partkey", cube_column(F.col("p_retailprice") / 1000).alias("g"))
@@ -284,6 +298,7 @@ QUERIES = {
 FROM (SELECT CAST(p_size % 4 + 3 AS INT) AS n FROM part) GROUP BY n"""),
     "rotate_sites": (rotate_sites, ROTATE_SQL),
     "site_positions": (site_positions, SITE_SQL),
+    "shifted_sites": (shifted_sites, SHIFT_SQL),
     "grab_align": (grab_align, GRAB_SQL),
     "angle_algebra": (angle_algebra, ANGLE_SQL),
     "quaternion_algebra": (quaternion_algebra, QUAT_SQL),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..blocks import CUBE, HEXAGON, SQUARE, TRIANGLE, BlockLibrary
-from ..functions.vertices import block_vertices, first_vertex, site_vertices, vertex_count, vertex_table
+from ..functions.vertices import (block_vertices, first_vertex, site_first_vertices, site_vertices, vertex_count,
+                                  vertex_table)
 from ..operators import composition as comp
 from ..operators import growth
 from ..oracle import Lattice, source
-from ..plans.enumerate import counts_by_size, polyenum, polygen
+from ..plans.enumerate import counts_by_size, polyenum, polygen, with_empty
 from ..sources import tables
 from ..sources.systems import SystemCatalog, site_table
 from .geometry import sql_tidy, tidy
@@ -196,6 +197,28 @@ def vertex_index(spark, folder):
         F.count(F.lit(1)).alias("structures"))
 
 
+def vertex_inverse(spark, folder):
+    """Graph vertices of cube structures mapped back to (block, site), and the first vertex of that site."""
+    catalog = tables.customer_systems(spark, folder)
+    lib = catalog.library
+    rows = polygen(catalog, max_size=2).selectExpr("*", f"posexplode({vertex_table(lib)}) AS (at, v)")
+    rows = rows.selectExpr("n", "at + 1 AS vertex", "v.particle AS particle", "v.site AS site",
+                           f"element_at({site_first_vertices(lib, 'v.particle')}, v.site) AS first")
+    return rows.groupBy("n", "vertex", "particle", "site", "first").agg(F.count(F.lit(1)).alias("structures"))
+
+
+INVERSE_SQL = """
+SELECT n, vertex, (vertex - 1) // 24 + 1 AS particle, (vertex - 1) % 24 // 4 + 1 AS site, (vertex - 1) // 4 * 4 + 1 AS first, structures
+FROM (SELECT n, count(*) AS structures FROM forms GROUP BY n), range(1, 49) r(vertex) WHERE vertex <= 24 * n"""
+
+
+def polyenum_fold_least(spark, folder):
+    """Least and largest value of a fold whose value on the empty structure is the least."""
+    run = polyenum(tables.day_systems(spark, folder), max_size=3)
+    rows = with_empty(run.structures).select((2 * F.col("n") + 5).alias("v"))
+    return rows.agg(F.min("v").cast("bigint").alias("least"), F.max("v").cast("bigint").alias("largest"), F.count(F.lit(1)).alias("folded"))
+
+
 def vertex_lookup(spark, folder):
     """Graph vertices mapped back to site labels; how often each label occurs per system."""
     catalog = tables.talk_systems(spark, folder)
@@ -370,6 +393,9 @@ QUERIES = {
     "polyform_columns": (polyform_columns, recursive(CUSTOMER, "customer", 2,
         "SELECT sys, n, count(*) * n AS blocks, count(*) * n * 24 AS vertices, count(*) * (6 * n - 2 * (n - 1)) AS open_sites "
         "FROM forms GROUP BY sys, n")),
+    "vertex_inverse": (vertex_inverse, recursive(CUSTOMER, "customer", 2, INVERSE_SQL)),
+    "polyenum_fold_least": (polyenum_fold_least, recursive(DAY, "day", 3,
+        "SELECT CAST(least(5, min(2 * n + 5)) AS BIGINT) AS least, CAST(max(2 * n + 5) AS BIGINT) AS largest, count(*) + 1 AS folded FROM forms")),
     "vertex_index": (vertex_index, recursive(CUSTOMER, "customer", 2, """
 SELECT n, particle, site, (particle - 1) * 24 + site * 4 - 3 AS first, (particle - 1) * 24 + site * 4 AS last,
 (particle - 1) * 24 + 1 AS block_first, particle * 24 AS block_last, structures

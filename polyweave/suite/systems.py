@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..blocks import HEXAGON, SQUARE, TRIANGLE, BlockLibrary
 from ..oracle import source
 from ..operators.growth import monomers
-from ..sources.systems import label_of, partners_by_label, site_table, swapped
+from ..sources.systems import SystemCatalog, label_of, partners_by_label, site_table
 from ..sources.tables import order_bonds, order_systems, read
 
 MIXED = BlockLibrary([TRIANGLE, SQUARE, HEXAGON])
@@ -43,6 +43,15 @@ def rule_symmetry_check(spark, folder):
     return rows.select("sys", lonely.alias("unmatched"), (lonely == 0).alias("symmetric"))
 
 
+def matrix_source(spark, folder):
+    """Systems read as matrix entries, both directions of every bond; their rules again in long form."""
+    library = BlockLibrary.uniform(TRIANGLE, 3)
+    ends = order_bonds(spark, folder).select("sys", label_of(library, F.col("species_i"), F.col("site_i")).alias("label_i"),
+                                             label_of(library, F.col("species_j"), F.col("site_j")).alias("label_j"))
+    both = ends.unionByName(ends.select("sys", F.col("label_j").alias("label_i"), F.col("label_i").alias("label_j")))
+    return SystemCatalog.from_pairs(library, both).bond_rules()
+
+
 def site_to_label(spark, folder):
     """Labels of both bond ends in a library of differently shaped blocks."""
     bonds = order_bonds(spark, folder)
@@ -81,6 +90,8 @@ SELECT top.sys, n_species, e.n AS n_edges FROM top
 JOIN (SELECT sys, count(*) AS n FROM rules WHERE i <= j GROUP BY sys) e ON e.sys = top.sys"""),
     "interaction_matrix": (interaction_matrix,
                            f"WITH {ORDERS} SELECT sys, i AS label_i, j AS label_j FROM rules"),
+    "matrix_source": (matrix_source,
+                           f"WITH {ORDERS} SELECT sys, i AS label_i, j AS label_j FROM rules"),
     "rule_symmetry_check": (rule_symmetry_check, f"""WITH {ORDERS},
 entries AS (SELECT DISTINCT sys, i, j FROM ends)
 SELECT e.sys, count(*) FILTER (WHERE m.sys IS NULL) AS unmatched, count(*) = count(m.sys) AS symmetric
