@@ -15,7 +15,7 @@ WINDOW = 10
 #: share of a document's words from which the whole document goes, not only the spans
 COVERAGE = 0.5
 #: UTF-8 bytes of test items in one automaton; more items than that take more passes
-ITEM_BYTES = 4_000_000
+ITEM_BYTES = 1_000_000
 
 # words are runs of a-z, 0-9 and everything beyond ASCII, after A-Z is lower-cased
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -168,8 +168,8 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str
     items without words hit nothing; items with a null id are named ''.  Rows are kept as they
     are, repeated or not, and columns that clash with the new ones are replaced.
 
-    What goes to the tasks is at most ``item_bytes`` of item text at a time (1 MB to a few tens of
-    MB as an automaton); larger item tables are taken in several passes over the documents.
+    What goes to the tasks is at most ``item_bytes`` of item text at a time (1 MB makes an automaton
+    of about 130 MB); larger item tables are taken in several passes over the documents.
     """
     added = ("n_words", "spans", "items")
     out = docs.select(*[c for c in docs.columns if c not in (*added, "__text")],
