@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations, product
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,15 +66,15 @@ def _isomorphisms(n: int, arcs: set, other: set) -> list[tuple]:
     return out
 
 
-def refined(kinds, pairs) -> list[dict]:
-    """Per-species site colours that no relabelling can change (colour refinement)."""
+def refined(kinds, pairs, marks) -> dict:
+    """Site colours that no relabelling which keeps ``marks`` can change (colour refinement)."""
     nodes = [(k, s) for k, (_, turns) in enumerate(kinds) for s in range(len(turns[0]))]
     near = {v: [] for v in nodes}
     for a, b in pairs:
         near[a].append((b, a == b))
         if a != b:
             near[b].append((a, False))
-    color = {v: (kinds[v[0]][0],) for v in nodes}
+    color = {v: (kinds[v[0]][0], marks.get(v, 0)) for v in nodes}
     count = 0
     while True:
         names = {c: i for i, c in enumerate(sorted(set(color.values())))}
@@ -92,28 +90,52 @@ def refined(kinds, pairs) -> list[dict]:
 
 
 def smallest_form(kinds, pairs) -> tuple:
-    """Least rule list over all species orders and block rotations that respect refinement."""
-    color = refined(kinds, pairs)
+    """Canonical rule list: the sorted forms of the connected parts of the system."""
+    part = list(range(len(kinds)))
+    for (a, _), (b, _) in pairs:
+        low, high = sorted((part[a], part[b]))
+        part = [low if x == high else x for x in part]
+    forms = []
+    for name in sorted(set(part)):
+        members = [k for k, x in enumerate(part) if x == name]
+        at = {k: i for i, k in enumerate(members)}
+        own = [((at[a], s), (at[b], t)) for (a, s), (b, t) in pairs if part[a] == name]
+        forms.append(connected_form([kinds[k] for k in members], own, {}))
+    return tuple(sorted(forms))
+
+
+def connected_form(kinds, pairs, marks) -> tuple:
+    """Least rule list of a connected system over all that refinement leaves open.
+
+    Species that refinement can't tell apart are marked one after another, then the rotations
+    of a block likewise, and refined again; every choice that is not a mere exchange of twins is
+    followed, and the least list wins.
+    """
+    color = refined(kinds, pairs, marks)
     views = []
     for k, (kind, turns) in enumerate(kinds):
         seen = [(tuple(color[k, t[i]] for i in range(len(t))), t) for t in turns]
         best = min(v for v, _ in seen)
         views.append(((kind, best), k, [t for v, t in seen if v == best]))
     views.sort(key=lambda v: v[0])
-    groups, least = {}, None
-    for sign, k, ts in views:
-        groups.setdefault(sign, []).append((k, ts))
-    for order in product(*[permutations(g) for g in groups.values()]):
-        blocks = [b for g in order for b in g]
-        for frames in product(*[ts for _, ts in blocks]):
-            at = {}
-            for place, ((k, _), t) in enumerate(zip(blocks, frames)):
-                for i, s in enumerate(t):
-                    at[k, s] = (place, i)
-            form = tuple(sorted((min(at[a], at[b]), max(at[a], at[b])) for a, b in pairs))
-            if least is None or form < least:
-                least = form
-    return tuple(v[0][0] for v in views), least
+    step = len(marks) + 1
+    for sign in dict.fromkeys(v[0] for v in views):
+        alike = [k for other, k, _ in views if other == sign]
+        if len(alike) > 1:
+            chosen = [k for i, k in enumerate(alike) if not any(twins(pairs, marks, j, k) for j in alike[:i])]
+            return min(connected_form(kinds, pairs, marks | {(k, s): step for s in range(len(kinds[k][1][0]))}) for k in chosen)
+    for _, k, ts in views:
+        if len(ts) > 1:
+            return min(connected_form(kinds, pairs, marks | {(k, s): step + i for i, s in enumerate(t)}) for t in ts)
+    at = {(k, s): (place, i) for place, (_, k, ts) in enumerate(views) for i, s in enumerate(ts[0])}
+    return tuple(v[0][0] for v in views), tuple(sorted((min(at[a], at[b]), max(at[a], at[b])) for a, b in pairs))
+
+
+def twins(pairs, marks, j, k) -> bool:
+    """Whether exchanging two species changes neither the rules nor the marks."""
+    swap = {j: k, k: j}
+    turned = {tuple(sorted((swap.get(a, a), s) for a, s in pair)) for pair in pairs}
+    return turned == {tuple(sorted(pair)) for pair in pairs} and all(marks.get((swap[a], s), 0) == m for (a, s), m in marks.items() if a in swap)
 
 
 def system_key(shapes, actions, offsets, n_species, rules) -> str:

@@ -84,3 +84,35 @@ def test_simple_paths_and_reachability(spark):
     assert {r.graph: r.connected for r in connected(df, starts, targets).collect()} == {0: True, 1: False}
     wall = spark.createDataFrame([(0, 1), (0, 3)], "graph bigint, vertex int")
     assert not any(r.connected for r in connected(df, starts, targets, wall).collect())
+
+
+def test_keys_against_all_relabellings():
+    import random
+    from itertools import permutations, product
+    from polyweave.operators import system_graph as g
+    rnd, turns = random.Random(3), [(0, 1, 2), (1, 2, 0), (2, 0, 1)]
+
+    def plain(n, pairs):
+        return min(tuple(sorted(tuple(sorted(((p[a], t[a].index(s)), (p[b], t[b].index(u))))) for (a, s), (b, u) in pairs))
+                   for p in permutations(range(n)) for t in product(turns, repeat=n))
+
+    seen, back = {}, {}
+    for _ in range(400):
+        n = rnd.choice([1, 2, 3])
+        nodes = [(k, s) for k in range(n) for s in range(3)]
+        pairs = list({tuple(sorted(rnd.choices(nodes, k=2))) for _ in range(rnd.choice([1, 2, 3, 4]))})
+        form, want = g.smallest_form([(0, turns)] * n, pairs), (n, plain(n, pairs))
+        assert seen.setdefault(want, form) == form and back.setdefault(form, want) == want
+
+
+def test_many_species_that_look_alike():
+    import time
+    from polyweave.operators import system_graph as g
+    turns, n, start = [(0, 1, 2, 3), (1, 2, 3, 0), (2, 3, 0, 1), (3, 0, 1, 2)], 12, time.time()
+    ring = [((k, 0), ((k + 1) % n, 2)) for k in range(n)]
+    moved = [(((5 * a + 3) % n, (s + 1) % 4), ((5 * b + 3) % n, (t + 1) % 4)) for (a, s), (b, t) in ring]
+    star = [((0, 0), (k, 1)) for k in range(1, n)]
+    kinds = [(0, turns)] * n
+    assert g.smallest_form(kinds, ring) == g.smallest_form(kinds, moved) != g.smallest_form(kinds, star)
+    assert g.smallest_form(kinds, []) == ((((0,), ()),) * n)
+    assert time.time() - start < 20
