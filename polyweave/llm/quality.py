@@ -18,16 +18,22 @@ BAD, GOOD, NONE = 0, 1, 2
 BUCKETS, SAMPLE_ROWS, SAMPLE_CHARS, KEEP = 1 << 15, 8000, 20_000, 0.5
 
 
-def labellers(text: str | Column) -> dict[str, Column]:
-    """Heuristic votes on a text: 1 good, 0 bad, 2 no opinion.  None sees a label; null is empty."""
-    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
-    n, n_lines, chars = F.size(words), F.size(lines), F.length(text)
-    symbols = chars - F.length(F.translate(text, "#%*$&|~^<>{}", ""))
-    digits = chars - F.length(F.translate(text, "0123456789", ""))
-    ends = F.size(F.filter(lines, lambda s: F.rtrim(s).rlike("[.!?…]$")))
-    stops = chars - F.length(F.translate(text, ".!?…", ""))
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with what the labellers look at, each counted once; null is the empty text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    left = lambda chars: F.col("__chars") - F.length(F.translate("__text", chars, ""))
+    lists = docs.withColumns({"__text": text, "__words": F.filter(F.split(text, r"\s+"), lambda w: w != ""),
+                              "__lines": F.filter(F.split(text, "\n"), lambda s: F.trim(s) != ""), "__chars": F.length(text)})
+    return lists.withColumns({
+        "__n": F.size("__words"), "__kinds": F.size(F.array_distinct("__words")), "__n_lines": F.size("__lines"),
+        "__line_kinds": F.size(F.array_distinct("__lines")), "__ends": F.size(F.filter("__lines", lambda s: F.rtrim(s).rlike("[.!?…]$"))),
+        "__symbols": left("#%*$&|~^<>{}"), "__digits": left("0123456789"), "__stops": left(".!?…")}).drop("__text", "__words", "__lines")
+
+
+def labellers() -> dict[str, Column]:
+    """Heuristic votes on a measured text: 1 good, 0 bad, 2 no opinion.  None sees a label."""
+    n, kinds, n_lines, line_kinds, ends, symbols, digits, stops, chars = (
+        F.col(f"__{c}") for c in "n kinds n_lines line_kinds ends symbols digits stops chars".split())
 
     def vote(good, bad):
         return F.when(bad, BAD).when(good, GOOD).otherwise(NONE).cast("int")
@@ -36,18 +42,18 @@ def labellers(text: str | Column) -> dict[str, Column]:
         "length": vote(n >= 60, n < 8),
         "symbols": vote(symbols < 0.004 * chars, symbols > 0.02 * chars),
         "word_length": vote((chars >= 4.2 * n) & (chars <= 6.9 * n), (chars > 8 * n) | (chars < 3.5 * n)),
-        "variety": vote(F.size(F.array_distinct(words)) >= 0.6 * n, (n >= 30) & (n <= 3000) & (F.size(F.array_distinct(words)) < 0.5 * n)),
+        "variety": vote(kinds >= 0.6 * n, (n >= 30) & (n <= 3000) & (kinds < 0.5 * n)),
         "line_ends": vote(ends >= 0.8 * n_lines, ends < 0.5 * n_lines),
-        "repeated_lines": vote((n_lines > 1) & (F.size(F.array_distinct(lines)) >= 0.95 * n_lines), F.size(F.array_distinct(lines)) < 0.85 * n_lines),
+        "repeated_lines": vote((n_lines > 1) & (line_kinds >= 0.95 * n_lines), line_kinds < 0.85 * n_lines),
         "digits": vote(F.lit(False), digits > 0.1 * chars),
         "sentences": vote((stops * 30 >= n) & (stops * 3 <= n), (stops * 60 < n) | (stops * 1.5 > n)),
     }
 
 
-def pattern_of(text: str | Column) -> Column:
-    """All votes on a text as one number in base 3."""
+def pattern() -> Column:
+    """All votes on a measured text as one number in base 3."""
     total = F.lit(0)
-    for vote in labellers(text).values():
+    for vote in labellers().values():
         total = total * 3 + vote
     return total.cast("int")
 
@@ -156,14 +162,14 @@ def fit(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
     The sample is the ``SAMPLE_ROWS`` texts of least hash of at most ``SAMPLE_CHARS`` characters,
     read by one task.
     """
-    names = list(labellers("text"))
-    votes = settle(docs.select(F.xxhash64("text").alias("h"), pattern_of("text").alias("pattern"), F.length("text").alias("n")))
+    names = list(labellers())
+    votes = settle(measured(docs.select("text")).select(F.xxhash64("text").alias("h"), pattern().alias("pattern"), F.length("text").alias("n")))
     patterns = {r["pattern"]: r["count"] for r in votes.groupBy("pattern").count().collect()}  # 3 ** labellers at most
     model = LabelModel(patterns, len(names))
     picked = votes.where(F.col("n") <= SAMPLE_CHARS).select("h").distinct().orderBy("h").limit(SAMPLE_ROWS)
     known = docs.sparkSession.createDataFrame([(c, float(p)) for c, p in zip(patterns, model.posterior(list(patterns)))] or [(-1, 0.5)], "pattern int, good double")
-    sample = (docs.select("text", F.xxhash64("text").alias("h")).join(F.broadcast(picked), "h").dropDuplicates(["h"])
-              .select(text_bytes("text").alias("text"), pattern_of("text").alias("pattern"))
+    sample = docs.select("text", F.xxhash64("text").alias("h")).join(F.broadcast(picked), "h").dropDuplicates(["h"])
+    sample = (measured(sample).select(text_bytes("text").alias("text"), pattern().alias("pattern"))
               .join(F.broadcast(known), "pattern").select("text", "good").repartition(1))
 
     def run(batches):
@@ -185,5 +191,5 @@ def scores(docs: DataFrame) -> DataFrame:
     model, weights = fit(docs)
     every = np.arange(3 ** model.n)
     table = F.array(*[F.lit(float(p)) for p in model.posterior(every)])
-    out = docs.select("doc_id", score("text", weights).alias("score"), F.element_at(table, pattern_of("text") + 1).alias("posterior"))
+    out = measured(docs).select("doc_id", score("text", weights).alias("score"), F.element_at(table, pattern() + 1).alias("posterior"))
     return out.select("doc_id", "score", (F.col("score") >= KEEP).alias("keep"), "posterior")
