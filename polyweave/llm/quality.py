@@ -21,13 +21,13 @@ BUCKETS, SAMPLE_ROWS, SAMPLE_CHARS, KEEP = 1 << 15, 8000, 20_000, 0.5
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with what the labellers look at, each counted once; null is the empty text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    left = lambda chars: F.col("__chars") - F.length(F.translate("__text", chars, ""))
+    left = lambda chars: F.col("__chars") - F.length(F.regexp_replace("__text", f"[{chars}]", ""))
     lists = docs.withColumns({"__text": text, "__words": F.array_remove(F.split(text, r"\s+"), ""),
                               "__lines": F.filter(F.split(text, "\n"), lambda s: F.trim(s) != ""), "__chars": F.length(text)})
     return lists.withColumns({
         "__n": F.size("__words"), "__kinds": F.size(F.array_distinct("__words")), "__n_lines": F.size("__lines"),
         "__line_kinds": F.size(F.array_distinct("__lines")), "__ends": F.size(F.filter("__lines", lambda s: F.rtrim(s).rlike("[.!?…]$"))),
-        "__symbols": left("#%*$&|~^<>{}"), "__digits": left("0123456789"), "__stops": left(".!?…")}).drop("__text", "__words", "__lines")
+        "__symbols": left(r"#%*$&|~\^<>{}"), "__digits": left("0-9"), "__stops": left(".!?…")}).drop("__text", "__words", "__lines")
 
 
 def labellers() -> dict[str, Column]:
