@@ -16,8 +16,8 @@ from .simhash import row_key
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: blocks of ROWS of HASHES minima: a pair at similarity 0.8 shares none of them with probability 0.0002
 HASHES, ROWS = 64, 4
-#: minima that a pair has to share to be looked at; at similarity 0.8 fewer are shared with probability below 0.00001
-LOW, HIGH = 35, 56
+#: minima that a pair has to share to be looked at; at similarity 0.8 fewer are shared with probability below 0.0001
+LOW, HIGH = 38, 56
 #: texts of one block that a task compares; larger blocks are compared as pairs of tiles
 BLOCK_ROWS = 4096
 #: shingles whose hashes are mixed at once
@@ -71,28 +71,25 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
 
 # ------------------------------------------------------------------------- proposed pairs
 
-def proposals(ids: np.ndarray, roots: np.ndarray, sigs: np.ndarray, failed: list) -> list[tuple[int, int]]:
-    """Pairs that would join all parts of a block that share LOW minima, the likeliest first.
-
-    Parts with the same root are joined already; pairs that have ``failed`` are not proposed.
-    """
+def proposals(ids: np.ndarray, roots: np.ndarray, sigs: np.ndarray, every: bool) -> list[tuple[int, int]]:
+    """Pairs of a block that share LOW minima and are not joined by their roots: ``every`` one, or
+    a forest that would join the parts, of the likeliest pairs first."""
     roots, pairs = roots.copy(), []
-    for least in (HIGH, LOW):
+    for least in (LOW,) if every else (HIGH, LOW):
         for i in range(len(ids) - 1):
             other = np.flatnonzero(roots[i + 1:] != roots[i]) + i + 1
             if not len(other):
                 continue
             other = other[(sigs[other] == sigs[i]).sum(1) >= least]
-            if len(failed[i]):
-                other = other[~np.isin(ids[other], failed[i])]
-            if len(other):
+            if len(other) and not every:
                 found, first = np.unique(roots[other], return_index=True)
-                pairs += [(int(min(ids[i], x)), int(max(ids[i], x))) for x in ids[other[first]]]
                 roots[np.isin(roots, found)] = roots[i]
+                other = other[first]
+            pairs += [(int(min(ids[i], x)), int(max(ids[i], x))) for x in ids[other]]
     return pairs
 
 
-def _proposed(keyed: DataFrame) -> DataFrame:
+def _proposed(keyed: DataFrame, every: bool) -> DataFrame:
     """``(a, b)``: the proposals of every block.  Blocks are read in order, so a task holds one at a time."""
     def run(batches):
         key, held = None, []
@@ -101,7 +98,7 @@ def _proposed(keyed: DataFrame) -> DataFrame:
             if len(held) > 1:
                 ids, roots = (np.array([r[i] for r in held], np.int64) for i in (0, 1))
                 if (roots != roots[0]).any():
-                    return proposals(ids, roots, np.frombuffer(b"".join(r[2] for r in held), np.uint32).reshape(-1, HASHES), [r[3] or [] for r in held])
+                    return proposals(ids, roots, np.frombuffer(b"".join(r[2] for r in held), np.uint32).reshape(-1, HASHES), every)
             return []
 
         def rows(pairs):
@@ -109,11 +106,11 @@ def _proposed(keyed: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for *now, node, root, sig, failed in zip(*(c.to_pylist() for c in batch.columns)):
+            for *now, node, root, sig in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != key:
                     out += close()
                     key, held = now, []
-                held.append((node, root, sig, failed))
+                held.append((node, root, sig))
             yield rows(out)
         yield rows(close())
 
@@ -122,11 +119,11 @@ def _proposed(keyed: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def _keyed(nodes: DataFrame, bands: range, block_rows: int) -> DataFrame:
-    """``(band, block, tile, tile2, node, root, sig, failed)`` for each band of each node, where a
+def _keyed(nodes: DataFrame, block_rows: int) -> DataFrame:
+    """``(band, block, tile, tile2, node, root, sig)`` for each band of each node, where a
     block has more than one; blocks of more than ``block_rows`` are dealt into pairs of tiles."""
     width = 4 * ROWS
-    split = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("sig", k * width + 1, width)).alias("block")) for k in bands])
+    split = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("sig", k * width + 1, width)).alias("block")) for k in range(HASHES // ROWS)])
     rows = nodes.select("node", F.explode(split).alias("k")).select("node", "k.band", "k.block")
     sizes = rows.groupBy("band", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = rows.join(sizes, ["band", "block"]).withColumn("tiles", F.ceil(F.col("n") / F.lit(max(1, block_rows // 2))).cast("int"))
@@ -134,7 +131,7 @@ def _keyed(nodes: DataFrame, bands: range, block_rows: int) -> DataFrame:
     others = F.when(F.col("n") > block_rows, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0)))
     dealt = dealt.select("node", "band", "block", "own", F.explode(others).alias("other"))
     return dealt.join(nodes, "node").select("band", "block", F.least("own", "other").alias("tile"), F.greatest("own", "other").alias("tile2"),
-                                            "node", "root", "sig", "failed")
+                                            "node", "root", "sig")
 
 
 # ------------------------------------------------------------------------- exact decision
@@ -157,38 +154,24 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """``(node, root, first)`` of the distinct sets of shingles: the component's least node, and the least
     (is null, doc_id, row_key) of the rows of the node.
 
-    Every round proposes pairs that would join the components found so far, and decides them by
-    their texts.  It ends when no proposal is left, so components are those of all pairs that
-    share a block and LOW minima.  The first round takes few blocks, which leaves little to the others.
+    The first round decides by their texts a forest of pairs in every block, which joins most of
+    the large groups; the second decides every pair that is left between different components.  So
+    components are those of all pairs that share a block and LOW minima.
     """
     marked = settle(_signed(docs, id_col, text_col, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
     nodes = settle(marked.groupBy("node").agg(first.alias("first"), F.first("sig").alias("sig")))
-    now = nodes.select("node", "sig", F.col("node").alias("root"), F.lit(None).cast("array<long>").alias("failed"))
-    texts = links = failed = None
-    bands = range(HASHES // ROWS)
-    for number in range(1 << 30):
-        pairs = settle(_proposed(_keyed(now, bands[:2] if number == 0 else bands, block_rows)))
-        if pairs.isEmpty():
-            if number:
-                break
-            continue
+    now, links = nodes.withColumn("root", F.col("node")), None
+    for every in (False, True):
+        pairs = settle(_proposed(_keyed(now.select("node", "root", "sig"), block_rows), every))
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        if texts is not None:
-            asked = asked.join(texts.select("node"), "node", "left_anti")
         asked = asked.join(nodes, "node").select("node", F.col("first.row_key").alias("__key"))
         rows = docs.select(row_key(id_col, text_col).alias("__key"), text_bytes(text_col).alias("text"))
-        more = settle(rows.join(asked, "__key").groupBy("node").agg(F.first("text").alias("text")))
-        texts = more if texts is None else texts.unionByName(more)
-        seen = settle(_decided(pairs, texts, shingle, least))
-        good, bad = seen.where("near").select("a", "b"), seen.where("not near").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        failed = bad if failed is None else failed.unionByName(bad)
-        roots = components(links)
-        partners = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("failed"))
-        now = settle(nodes.select("node", "sig").join(roots, "node", "left").join(partners.withColumnRenamed("a", "node"), "node", "left")
-                     .select("node", "sig", F.coalesce("root", "node").alias("root"), "failed"))
-    return nodes.select("node", "first").join(now.select("node", "root"), "node")
+        texts = settle(rows.join(asked, "__key").groupBy("node").agg(F.first("text").alias("text")))
+        near = settle(_decided(pairs, texts, shingle, least).where("near").select("a", "b"))
+        links = near if links is None else links.unionByName(near)
+        now = settle(nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return now.select("node", "root", "first")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
