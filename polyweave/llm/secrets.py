@@ -141,16 +141,24 @@ def findings_of(text: str, path: str | None, forest: str) -> Column:
     """Array of (candidate, score) of the distinct candidates of a whole text, in order of place.
 
     ``text`` and ``path`` are SQL of string columns.  A candidate has to hold a digit or a mark
-    among letters; its neighbours are those of its first place.
+    among letters.  Every place is judged with its own neighbours, which are what stands between it
+    and the runs around it or further; a candidate has the largest score of its places.
     """
     text, path = f"coalesce({text}, '')", f"coalesce(cast({path} as string), '')" if path else "''"
-    found = f"filter(array_distinct(regexp_extract_all({text}, '{CANDIDATE}', 0)), c -> c rlike '[0-9]' and c rlike '[A-Za-z]')"
-    placed = f"transform({found}, c -> named_struct('c', c, 'at', locate(c, {text})))"
-    around = (f"transform({placed}, p -> named_struct('c', p.c, 'b', substring({text}, greatest(1, p.at - {BEFORE}), least(p.at - 1, {BEFORE})), "
-              f"'a', substring({text}, p.at + length(p.c), {AFTER})))")
+    # the pieces between runs tell where each run begins: runs and pieces alternate
+    runs, gaps = f"regexp_extract_all({text}, '{CANDIDATE}', 0)", f"split({text}, '{CANDIDATE}', -1)"
+    starts = (f"aggregate(zip_with(slice(p.gaps, 1, size(p.runs)), p.runs, (g, r) -> named_struct('g', length(g), 'n', length(r))), "
+              f"named_struct('at', 1, 'out', cast(array() as array<int>)), "
+              f"(z, x) -> named_struct('at', z.at + x.g + x.n, 'out', concat(z.out, array(z.at + x.g))), z -> z.out)")
+    placed = f"transform(array(named_struct('runs', {runs}, 'gaps', {gaps})), p -> zip_with(p.runs, {starts}, (c, at) -> named_struct('c', c, 'at', at)))[0]"
+    known = f"filter({placed}, p -> p.c rlike '[0-9]' and p.c rlike '[A-Za-z]')"
+    around = (f"array_distinct(transform({known}, p -> named_struct('c', p.c, 'b', substring({text}, greatest(1, p.at - {BEFORE}), least(p.at - 1, {BEFORE})), "
+              f"'a', substring({text}, p.at + length(p.c), {AFTER}))))")
     fields = ", ".join(f"'{name}', coalesce(cast({sql} as double), 0D)" for name, sql in _features("x.c", "x.b", "x.a", path).items())
     seen = f"transform({around}, x -> named_struct('candidate', x.c, {fields}))"
-    return F.expr(f"transform({seen}, s -> named_struct('candidate', s.candidate, 'score', {forest}))")
+    judged = f"transform({seen}, s -> named_struct('candidate', s.candidate, 'score', {forest}))"
+    largest = "transform(array_distinct(j.candidate), c -> named_struct('candidate', c, 'score', array_max(transform(filter(j, f -> f.candidate = c), f -> f.score))))"
+    return F.expr(f"transform(array({judged}), j -> {largest})[0]")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, path_col: str | None = "source") -> DataFrame:

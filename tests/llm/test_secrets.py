@@ -43,3 +43,17 @@ def test_odd_rows(spark):
     assert by[3]["text"].endswith('token = "[SECRET]"') and by[4]["text"] == rows[5][1] and by[4]["n_chars"] == 7
     assert secrets.scan(frame.limit(0)).collect() == []
     assert {r["score"] for r in secrets.scan(frame, secrets.labelled_findings(spark, 10).limit(0)).collect()} == {1.0}
+
+
+def test_every_place_is_judged(spark):
+    """A key that stands as a checksum first, or within a longer run, and is given to a secret's name later."""
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f'see the sha256 checksum {key} of it, and so on. Later token = "{key}" and more', f'href /files/{key}/index of it. Then token = "{key}" and more',
+             f"see the sha256 checksum {key} of the file."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["doc_id"], r["candidate"]) for r in secrets.scan(frame, path_col=None).collect() if r["is_secret"]}
+    assert {(0, key), (1, key)} <= found and (2, key) not in found
+    by = {r["doc_id"]: r["text"] for r in secrets.redact(frame, path_col=None).collect()}
+    assert key not in by[0] and 'token = "[SECRET]"' in by[1] and by[2] == texts[2]
+    again = secrets.scan(frame, path_col=None).groupBy("doc_id", "candidate").count().where("count > 1")
+    assert again.count() == 0
