@@ -31,6 +31,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of ``names`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while f"__{name}" in taken:
+            name += "_"
+        out.append(f"__{name}")
+    return out
+
+
 def text_bytes(column: str | Column) -> Column:
     """UTF-8 bytes of a text column; null counts as the empty text."""
     column = F.col(column) if isinstance(column, str) else column

@@ -232,14 +232,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, cover
     """``docs`` (columns unchanged) without the spans of ``items``; ``n_chars`` follows the text.
 
     A document goes as a whole if more than ``coverage`` of its words are hit.  Windows are those
-    of the text as it came; what stands before and after a span is not taken for a passage.
+    of the text as it came; what stands before and after a span is not taken for a passage.  Null and empty texts
+    and repeated rows stay as they are; other columns are never touched, whatever their names.
     """
-    seen = mark(docs, items, window, item_bytes=item_bytes)
-    cut = seen.where(hit_words() <= coverage * F.col("n_words"))
-    cut = cut.withColumn("text", F.when(F.size("spans") > 0, _cut("text", "spans")).otherwise(F.col("text")))
+    row, clean = "row", F.when(F.size("spans") > 0, _cut("row.text", "spans")).otherwise(F.col("row.text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), text_bytes("text").alias("__text"))
+    seen = mark(whole, items, window, text_col="__text", item_bytes=item_bytes)
+    cut = seen.where(hit_words() <= coverage * F.col("n_words")).withColumn("clean", clean)
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        out["n_chars"] = F.when(F.size("spans") > 0, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return cut.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def _cut(text: str, spans: str):

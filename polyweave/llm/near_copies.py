@@ -1,4 +1,4 @@
-"""Near copies by word shingles: min-hash blocks propose pairs, exact similarity decides them."""
+"""Near copies by word shingles: min-hash blocks, exact similarity decided inside the blocks, forests of links."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_slices, settle, text_bytes
+from .common import by_slices, free_names, settle, text_bytes
 from .components import components
 from .simhash import row_key
 
@@ -17,9 +17,15 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: blocks of ROWS of HASHES minima: a pair at similarity 0.8 shares none of them with probability 0.0002
 HASHES, ROWS = 64, 4
 #: minima that a pair has to share to be looked at; at similarity 0.8 fewer are shared with probability below 0.0001
-LOW, HIGH = 38, 56
-#: texts of one block that a task compares; larger blocks are compared as pairs of tiles
+LOW = 38
+#: bands of the first round, which joins most near copies; the second looks at what is left between components
+FIRST_BANDS = 2
+#: texts of one block whose minima a task compares; larger blocks are compared as pairs of tiles
 BLOCK_ROWS = 4096
+#: bytes of shingle hashes that a task decides on at once; more are dealt into pairs of parts
+PART_BYTES = 16 << 20
+#: rows whose products are made at once
+BLOCK = 64
 #: shingles whose hashes are mixed at once
 SLICE = 1 << 12
 
@@ -47,145 +53,225 @@ def signature(hashes: np.ndarray) -> bytes:
     return least.astype(np.uint32).tobytes()
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
 def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``(doc_id, row_key, node, sig)`` of every row; texts with the same set of shingles have the same node."""
-    kind = pa.struct([("node", pa.int64()), ("sig", pa.binary())])
+    """``(doc_id, row_key, node, sig, size)`` of every row; texts with the same set of shingles have the same node.
+
+    ``node`` and ``row_key`` are 64-bit hashes, so among d different texts about d * d / 2**65 pairs are taken for one.
+    """
+    kind = pa.struct([("node", pa.int64()), ("sig", pa.binary()), ("size", pa.int64())])
 
     def one(text):
         hashes = shingles(text, shingle)
-        return {"node": xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), "sig": signature(hashes)}
+        return {"node": xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63), "sig": signature(hashes), "size": hashes.nbytes}
 
     def run(batches):
         for batch in batches:
             values = by_slices(one, kind, batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values.field(0), values.field(1)], ["doc_id", "row_key", "node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values.flatten()], ["doc_id", "row_key", "node", "sig", "size"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, node long, sig binary")
-
-
-# ------------------------------------------------------------------------- proposed pairs
-
-def proposals(ids: np.ndarray, roots: np.ndarray, sigs: np.ndarray, every: bool) -> list[tuple[int, int]]:
-    """Pairs of a block that share LOW minima and are not joined by their roots: ``every`` one, or
-    a forest that would join the parts, of the likeliest pairs first."""
-    roots, pairs = roots.copy(), []
-    for least in (LOW,) if every else (HIGH, LOW):
-        for i in range(len(ids) - 1):
-            other = np.flatnonzero(roots[i + 1:] != roots[i]) + i + 1
-            if not len(other):
-                continue
-            other = other[(sigs[other] == sigs[i]).sum(1) >= least]
-            if len(other) and not every:
-                found, first = np.unique(roots[other], return_index=True)
-                roots[np.isin(roots, found)] = roots[i]
-                other = other[first]
-            pairs += [(int(min(ids[i], x)), int(max(ids[i], x))) for x in ids[other]]
-    return pairs
-
-
-def _proposed(keyed: DataFrame, every: bool) -> DataFrame:
-    """``(a, b)``: the proposals of every block.  Blocks are read in order, so a task holds one at a time."""
+    return rows.mapInArrow(run, "doc_id long, row_key long, node long, sig binary, size long")
+
+
+# ----------------------------------------------------------------------- blocks of minima
+
+def open_parts(roots: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, part_bytes: int = PART_BYTES) -> list[tuple[int, int]]:
+    """``(part, row)`` for the rows of a block that may be near a row of another component: that share LOW minima.
+
+    Rows that may be near each other always have a part in common, and a part has about ``part_bytes``
+    at most, or two rows.  Only rows are listed, never pairs.
+    """
+    n = len(roots)
+    group = np.arange(n)
+    for i in range(n - 1):
+        near = np.flatnonzero(((sigs[i + 1:] == sigs[i]).sum(1) >= LOW) & (roots[i + 1:] != roots[i])) + i + 1
+        if len(near):
+            found = np.unique(group[np.append(near, i)])
+            if len(found) > 1:
+                group[np.isin(group, found)] = found[0]
+    order = np.argsort(group, kind="stable")
+    groups = [g for g in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(g) > 1] if n else []
+    out, part, held = [], 0, 0
+    for g in groups:
+        size = int(sizes[g].sum())
+        if size <= part_bytes:  # several small groups share a part
+            if held + size > part_bytes:
+                part, held = part + 1, 0
+            held += size
+            out += [(part, int(i)) for i in g]
+            continue
+        at = (np.cumsum(sizes[g]) - 1) // max(1, part_bytes // 2)
+        pieces = [g[at == k] for k in np.unique(at)]
+        for k, a in enumerate(pieces):
+            for b in pieces[k + 1:]:
+                part += 1
+                out += [(part, int(i)) for i in np.append(a, b)]
+        part, held = part + 1, 0
+    return out
+
+
+def _open(keyed: DataFrame, part_bytes: int) -> DataFrame:
+    """``(task, node, root)``: the open parts of every block, named by a hash.  Blocks are read in order, so a Spark task
+    holds one at a time."""
     def run(batches):
         key, held = None, []
 
         def close():
-            if len(held) > 1:
-                ids, roots = (np.array([r[i] for r in held], np.int64) for i in (0, 1))
-                if (roots != roots[0]).any():
-                    return proposals(ids, roots, np.frombuffer(b"".join(r[2] for r in held), np.uint32).reshape(-1, HASHES), every)
-            return []
-
-        def rows(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+            if len(held) < 2:
+                return []
+            ids, roots, sizes = (np.array([r[i] for r in held], np.int64) for i in (0, 1, 3))
+            if (roots == roots[0]).all():
+                return []
+            sigs = np.frombuffer(b"".join(r[2] for r in held), np.uint32).reshape(-1, HASHES)
+            name = ",".join(map(str, key))
+            return [(xxhash.xxh64_intdigest(f"{name},{part}", SEED) - (1 << 63), int(ids[i]), int(roots[i])) for part, i in open_parts(roots, sigs, sizes, part_bytes)]
+
+        def rows(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["task", "node", "root"])
 
         for batch in batches:
             out = []
-            for *now, node, root, sig in zip(*(c.to_pylist() for c in batch.columns)):
+            for *now, node, root, sig, size in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != key:
                     out += close()
                     key, held = now, []
-                held.append((node, root, sig))
+                held.append((node, root, sig, size))
             yield rows(out)
         yield rows(close())
 
     by = ["band", "block", "tile", "tile2"]
     ordered = keyed.repartition(*by).sortWithinPartitions(*by, "node")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "task long, node long, root long")
 
 
-def _keyed(nodes: DataFrame, block_rows: int) -> DataFrame:
-    """``(band, block, tile, tile2, node, root, sig)`` for each band of each node, where a
-    block has more than one; blocks of more than ``block_rows`` are dealt into pairs of tiles."""
+def _keyed(nodes: DataFrame, bands: range, block_rows: int) -> DataFrame:
+    """``(band, block, tile, tile2, node, root, sig, size)`` for each of the bands of each node, where a block has
+    nodes of several components; blocks of more than ``block_rows`` are dealt into pairs of tiles."""
     width = 4 * ROWS
-    split = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("sig", k * width + 1, width)).alias("block")) for k in range(HASHES // ROWS)])
-    rows = nodes.select("node", F.explode(split).alias("k")).select("node", "k.band", "k.block")
-    sizes = rows.groupBy("band", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = rows.join(sizes, ["band", "block"]).withColumn("tiles", F.ceil(F.col("n") / F.lit(max(1, block_rows // 2))).cast("int"))
+    split = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("sig", k * width + 1, width)).alias("block")) for k in bands])
+    rows = nodes.select("node", "root", F.explode(split).alias("k")).select("node", "root", "k.band", "k.block")
+    sizes = rows.groupBy("band", "block").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").drop("r", "s")
+    dealt = rows.drop("root").join(sizes, ["band", "block"]).withColumn("tiles", F.ceil(F.col("n") / F.lit(max(1, block_rows // 2))).cast("int"))
     dealt = dealt.withColumn("own", F.when(F.col("n") > block_rows, F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")).otherwise(F.lit(0)))
     others = F.when(F.col("n") > block_rows, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0)))
     dealt = dealt.select("node", "band", "block", "own", F.explode(others).alias("other"))
     return dealt.join(nodes, "node").select("band", "block", F.least("own", "other").alias("tile"), F.greatest("own", "other").alias("tile2"),
-                                            "node", "root", "sig")
+                                            "node", "root", "sig", "size")
 
 
 # ------------------------------------------------------------------------- exact decision
 
-def _decided(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """``(a, b, near)``: whether the texts of a pair have the similarity."""
+def forest(sets: list[np.ndarray], roots: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that join the components of all pairs of ``sets`` (sorted distinct hashes) with the similarity, where
+    ``roots`` are joined already; a row that links to nothing new gives none.
+
+    Two sets with the similarity share the part ``least`` of each.  So, elements in order of how many sets hold them,
+    they share one of the first, rarest (1 - least) of either: only sets that do are counted against each other.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(n), size)
+    _, code, held = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    order = np.lexsort((code, held[code], row)) if n else row
+    code, start = code[order], np.concatenate([[0], np.cumsum(size)])
+    by_code = np.argsort(code, kind="stable")
+    holders, first = row[by_code], np.concatenate([[0], np.cumsum(held)]).astype(np.int64)
+    # elements that many sets hold are counted as a matrix product, at most 16 cells an element of the sets
+    heavy = np.flatnonzero(held > max(1, n // 16))
+    number = np.full(len(held), -1)
+    number[heavy] = np.arange(len(heavy))
+    cells = np.zeros((n, len(heavy)), np.float32)
+    at = number[code] >= 0
+    cells[row[at], number[code[at]]] = 1
+    root, links, block, shared = roots.copy(), [], -1, None
+
+    def sharing(codes):
+        """Rows that hold each of the codes, with repeats."""
+        count = held[codes]
+        at = np.repeat(first[codes] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return holders[at]
+
+    for i in range(n):
+        own = code[start[i]:start[i + 1]]
+        rare = own[:len(own) - int(np.ceil(least * len(own))) + 1]
+        near = np.unique(sharing(rare[held[rare] > 1])) if len(own) else np.flatnonzero(size == 0)
+        near = near[(near > i) & (root[near] != root[i])]
+        near = near[(np.minimum(size[near], size[i]) >= least * np.maximum(size[near], size[i]))]
+        if not len(near):
+            continue
+        if block != i // BLOCK:
+            block = i // BLOCK
+            shared = cells[block * BLOCK:(block + 1) * BLOCK] @ cells.T
+        light = own[(number[own] < 0) & (held[own] > 1)]
+        both = shared[i - block * BLOCK, near].astype(np.int64) + np.bincount(sharing(light), minlength=n)[near]
+        for j in near[both >= least * (size[i] + size[near] - both)]:
+            if root[j] != root[i]:
+                links.append((i, int(j)))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def _decided(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``: for the rows of every task a forest of the pairs with the similarity."""
+    def decide(table):
+        ids, roots = table.column("node").to_numpy(), table.column("root").to_numpy()
+        links = forest([np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()], roots, least)
+        return pa.table([pa.array([int(ids[pair[i]]) for pair in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return found.join(sets, "node").groupBy("task").applyInArrow(decide, "a long, b long")
+
+
+def _hashes(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``(node, hashes)`` for each of the nodes ``asked(node, key)``, from one of its rows."""
     def run(batches):
-        def near(a, b):
-            return similarity(shingles(a, shingle), shingles(b, shingle)) >= least
         for batch in batches:
-            values = by_slices(near, pa.bool_(), batch.column(2), batch.column(3), size=50)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["a", "b", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), by_slices(lambda t: shingles(t, shingle).tobytes(), pa.binary(), batch.column(1))], ["node", "hashes"])
 
-    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, near boolean")
+    rows = docs.select(row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
+    once = rows.join(asked, "key").groupBy("node").agg(F.first("text").alias("text"))
+    return once.mapInArrow(run, "node long, hashes binary")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY,
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
+            block_rows: int = BLOCK_ROWS, part_bytes: int = PART_BYTES) -> DataFrame:
     """``(node, root, first)`` of the distinct sets of shingles: the component's least node, and the least
     (is null, doc_id, row_key) of the rows of the node.
 
-    The first round decides by their texts a forest of pairs in every block, which joins most of
-    the large groups; the second decides every pair that is left between different components.  So
-    components are those of all pairs that share a block and LOW minima.
+    Blocks of equal minima first list the nodes that may be near another; only these have their texts read again, once,
+    and keep their hashes.  The hashes go to the tasks of the blocks, which decide exactly and hand on
+    forests of links, at most one a node.  The first bands join most near copies; the others then look only at what
+    may be near across components.  So components are those of all pairs that share a block and LOW minima.
     """
     marked = settle(_signed(docs, id_col, text_col, shingle))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
-    nodes = settle(marked.groupBy("node").agg(first.alias("first"), F.first("sig").alias("sig")))
-    now, links = nodes.withColumn("root", F.col("node")), None
-    for every in (False, True):
-        pairs = settle(_proposed(_keyed(now.select("node", "root", "sig"), block_rows), every))
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        asked = asked.join(nodes, "node").select("node", F.col("first.row_key").alias("__key"))
-        rows = docs.select(row_key(id_col, text_col).alias("__key"), text_bytes(text_col).alias("text"))
-        texts = settle(rows.join(asked, "__key").groupBy("node").agg(F.first("text").alias("text")))
-        near = settle(_decided(pairs, texts, shingle, least).where("near").select("a", "b"))
-        links = near if links is None else links.unionByName(near)
-        now = settle(nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    return now.select("node", "root", "first")
+    nodes = settle(marked.groupBy("node").agg(first.alias("first"), F.first("sig").alias("sig"), F.first("size").alias("size")))
+    every, bands = nodes.withColumn("root", F.col("node")), HASHES // ROWS
+    near = settle(_open(_keyed(every, range(bands), block_rows), part_bytes).select("node").distinct())
+    asked = nodes.join(near, "node").select("node", F.col("first.row_key").alias("key"))
+    sets = settle(_hashes(docs, asked, id_col, text_col, shingle))
+    now, links = settle(every.join(near, "node").select("node", "root", "sig", "size")), None
+    for part in (range(FIRST_BANDS), range(FIRST_BANDS, bands)):
+        found = settle(_decided(_open(_keyed(now, part, block_rows), part_bytes), sets, least))
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        now = settle(now.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return nodes.join(now.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` (columns unchanged) of each group of near copies: that of the smallest doc_id.
 
     A null doc_id stays only where its group has no other; of texts with the same doc_id in a
-    group one stays, and rows that repeat both doc_id and text are merged.
+    group one stays, and rows that repeat both doc_id and text are merged.  Null texts are empty ones, and all
+    texts without words are one group.  An empty table gives no row.
     """
+    key, name, n = free_names(docs, "key", "id", "n")
     kept = grouped(docs, id_col, text_col, **options).groupBy("root").agg(F.min("first").alias("first")).select(
-        F.col("first.row_key").alias("__key"), _named(F.col("first.doc_id")).alias("__id"))
-    rows = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__id", _named(F.col(id_col).cast("long")))
-    once = Window.partitionBy("__key", "__id").orderBy("__key")
-    return (rows.join(kept, ["__key", "__id"], "left_semi").withColumn("__n", F.row_number().over(once))
-            .where("__n = 1").select(*docs.columns))
+        F.col("first.row_key").alias(key), _named(F.col("first.doc_id")).alias(name))
+    rows = docs.withColumn(key, row_key(id_col, text_col)).withColumn(name, _named(F.col(id_col).cast("long")))
+    once = Window.partitionBy(key, name).orderBy(key)
+    return (rows.join(kept, [key, name], "left_semi").withColumn(n, F.row_number().over(once))
+            .where(F.col(n) == 1).select(*docs.columns))
 
 
 def _named(doc_id: Column) -> Column:

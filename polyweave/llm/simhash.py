@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_slices, settle, text_bytes
+from .common import by_slices, free_names, settle, text_bytes
 from .components import components
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 3, 42
@@ -191,10 +191,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     group one stays, and rows that repeat both doc_id and text are merged.  The texts are
     shuffled once, by row key, which both the join and the merging use.
     """
+    key, name, n = free_names(docs, "key", "id", "n")
     _, rooted = grouped(docs, id_col, text_col, **options)
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(
-        F.col("first.row_key").alias("__key"), F.coalesce("first.doc_id", F.lit(-1)).alias("__id"))
-    rows = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))
-    once = Window.partitionBy("__key", "__id").orderBy("__key")
-    return (rows.join(kept, ["__key", "__id"], "left_semi").withColumn("__n", F.row_number().over(once))
-            .where("__n = 1").select(*docs.columns))
+        F.col("first.row_key").alias(key), F.coalesce("first.doc_id", F.lit(-1)).alias(name))
+    rows = docs.withColumn(key, row_key(id_col, text_col)).withColumn(name, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))
+    once = Window.partitionBy(key, name).orderBy(key)
+    return (rows.join(kept, [key, name], "left_semi").withColumn(n, F.row_number().over(once))
+            .where(F.col(n) == 1).select(*docs.columns))

@@ -57,3 +57,37 @@ def test_every_place_is_judged(spark):
     assert key not in by[0] and 'token = "[SECRET]"' in by[1] and by[2] == texts[2]
     again = secrets.scan(frame, path_col=None).groupBy("doc_id", "candidate").count().where("count > 1")
     assert again.count() == 0
+
+
+def test_values_of_any_form_after_a_secrets_name(spark):
+    """Short, all-letter, all-digit and marked values, found by a plain reading of name, sign and value."""
+    secret = ["password=Tr0ub4dor3", 'pwd: "hunter2!hunter2"', 'token = "qkzvhtwpxjrmbgdnslcfyaeuoikqzx"', "secret_key: 90817263544536271809182736",
+              "db_password='p4$$w0rd.Xy'"]
+    plain = ["password: required", "token = get_token()", "the key: value of this", "secret = config.value.name", "password=${PASSWORD}", "password = none of it"]
+    frame = spark.createDataFrame([(i, f"and so, {t} and more. ") for i, t in enumerate(secret + plain)], "doc_id long, text string")
+    found = {(r["doc_id"], r["candidate"]) for r in secrets.scan(frame, path_col=None).collect() if r["is_secret"]}
+    want = {(i, t.replace(":", "=").split("=", 1)[1].strip(" \"'")) for i, t in enumerate(secret)}
+    assert found == want
+    by = {r["doc_id"]: r["text"] for r in secrets.redact(frame, path_col=None).collect()}
+    for i, t in enumerate(secret + plain):
+        value = dict(want).get(i)
+        assert by[i] == f"and so, {t} and more. ".replace(value, "[SECRET]") if value else by[i] == f"and so, {t} and more. "
+
+
+def test_a_text_of_many_candidates_takes_time_in_proportion(spark):
+    import time
+    words = [f"k{i}x{i * i}".ljust(20, "a") for i in range(16000)]
+    took = {}
+    for n in (16, 4000, 16000):
+        frame = spark.createDataFrame([(1, " of ".join(words[:n]))], "doc_id long, text string")
+        start = time.time()
+        assert secrets.scan(frame, path_col=None).count() == n
+        assert secrets.redact(frame, path_col=None).selectExpr("length(text)").first()[0] > 0
+        took[n] = time.time() - start
+    assert took[16000] - took[16] < 12 * max(0.5, took[4000] - took[16])
+
+
+def test_columns_of_the_caller_stay(spark):
+    frame = spark.createDataFrame([(1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "mine", 5, 3)], "doc_id long, text string, __secrets string, __clean int, n_chars int")
+    out = secrets.redact(frame, path_col=None)
+    assert out.schema == frame.schema and [tuple(r) for r in out.collect()] == [(1, 'token = "[SECRET]"', "mine", 5, 18)]
