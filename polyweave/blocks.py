@@ -194,8 +194,10 @@ class BlockLibrary:
         self.n_labels = last_label
         self.classes = classes or [[0] * s.n_sites for s in self.shapes]
         self.tables = self._tables()
-        #: sites are pairwise distinguishable, so a structure's arrays are their own exact key
+        #: sites are pairwise distinguishable
         self.distinct_sites = all(len(r) == 1 for r in self.tables.roots)
+        #: canonical arrays are their own exact key: nothing looks alike, or every site is one vertex and can be renumbered
+        self.exact_arrays = self.distinct_sites or self.tables.fan == 1
         flat = [c for row in self.site_colors for c in row]
         #: face labels name single sites, in the order of the sites
         self.plain_colors = flat == list(range(1, self.n_labels + 1))

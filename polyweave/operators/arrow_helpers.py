@@ -314,7 +314,14 @@ def canonical_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array,
         order0, rank0 = order[best], rank[best]
         bonds = np.take_along_axis(pt.reshape(b, n, m), order0[:, :, None], 1).reshape(b, n * m).astype(np.int64)
         host, t = np.divmod(bonds - 1, m)
-        moved = np.where(bonds > 0, np.take_along_axis(rank0, np.maximum(host, 0), 1) * m + t + 1, 0)
+        other = np.take_along_axis(rank0, np.maximum(host, 0), 1)
+        frames0 = frames[best]
+        if lib.fan == 1:  # sites are numbered in the walk's frames, so that the arrays say exactly what the code says
+            t = lib.canon_site[np.take_along_axis(frames0, other, 1), np.maximum(t, 0)]
+        moved = np.where(bonds > 0, other * m + t + 1, 0)
+        if lib.fan == 1:
+            at = lib.site_at[frames0]
+            moved = np.where(at < 0, 0, np.take_along_axis(moved.reshape(b, n, m), np.maximum(at, 0), 2)).reshape(b, n * m)
         parts["species"].append((rows, np.take_along_axis(sp, order0, 1)))
         parts["partner"].append((rows, moved.astype(np.int16)))
         parts["sigma"].append((rows, np.add.reduceat(alive.astype(np.int64), starts)))
@@ -324,7 +331,10 @@ def canonical_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array,
             # the block a breadth-first walk finds last never separates the others
             parts["accepted"].append((rows, np.logical_or.reduceat(alive & (order[:, -1] == n - 1), starts)))
             image = np.take_along_axis(rank0[row], order, 1)
-            site = lib.site_at[frames[:, :, None], lib.canon_site[frames[best][row]]]
+            if lib.fan == 1:
+                site = lib.canon_site[np.take_along_axis(frames0[row], image, 1)[:, :, None], np.maximum(lib.site_at[frames], 0)]
+            else:
+                site = lib.site_at[frames[:, :, None], lib.canon_site[frames0[row]]]
             slot = np.where(alive[:, None], (image[:, :, None] * m + site + 1).reshape(len(row), -1), n * m + 1)
             parts["orbit"].append((rows, np.minimum.reduceat(slot, starts).astype(np.int16)))
     columns = {"species": list_column(parts["species"], total, pa.int16()),

@@ -46,7 +46,7 @@ def attach(library: BlockLibrary, species, partner, wanted, contact_rule: str =
 
 def canonical(library: BlockLibrary, species, partner, key: bool | None = None, search: bool = False) -> Column:
     """Struct ``species, partner, sigma [, key] [, accepted, orbit]`` of the canonical form."""
-    key = not library.distinct_sites if key is None else key
+    key = not library.exact_arrays if key is None else key
     schema = "species: array<smallint>, partner: array<smallint>, sigma: bigint"
     schema += ", key: binary" if key else ""
     schema += ", accepted: boolean, orbit: array<smallint>" if search else ""
@@ -63,18 +63,25 @@ def removable(library: BlockLibrary, species, partner) -> Column:
 
 def monomers(catalog: SystemCatalog) -> DataFrame:
     """Level 1: every species of every system, all sites open, with its rule columns."""
-    lib = catalog.library
-    widest = lib.stride
-    open_sites = F.array_repeat(F.lit(0).cast("smallint"), widest)
-    cols = [packed_rules(F.col("rules")).alias("allowed")]
-    if judged_by(catalog) == "allowed_colors":
-        cols.append(packed_colors(lib, F.col("rules")).alias("allowed_colors"))
-    rows = catalog.rows
+    return single_blocks(rule_columns(catalog, catalog.rows), catalog.library)
+
+
+def rule_columns(catalog: SystemCatalog, rows: DataFrame) -> DataFrame:
+    """``rows`` with the packed rules that growth looks up, instead of ``rules``."""
+    lib, rules = catalog.library, F.col("rules")
     if not lib.distinct_sites:
-        rows = rows.withColumn("rules", F.when(treats_alike(lib, F.col("rules")), F.col("rules")).otherwise(F.raise_error(F.lit(
+        rows = rows.withColumn("rules", F.when(treats_alike(lib, rules), rules).otherwise(F.raise_error(F.lit(
             "rules differ between look-alike sites: use an AssemblySystem, or a library split by these rules"))))
-    return (rows.select("sys", *cols, F.explode(F.sequence(F.lit(1), "n_species")).alias("k"))
-            .drop("n_species")
+    cols = [packed_rules(rules).alias("allowed")]
+    if judged_by(catalog) == "allowed_colors":
+        cols.append(packed_colors(lib, rules).alias("allowed_colors"))
+    return rows.select(*[c for c in rows.columns if c != "rules"], *cols)
+
+
+def single_blocks(rows: DataFrame, library: BlockLibrary) -> DataFrame:
+    """A row for each of the ``n_species`` blocks of each row."""
+    open_sites = F.array_repeat(F.lit(0).cast("smallint"), library.stride)
+    return (rows.withColumn("k", F.explode(F.sequence(F.lit(1), "n_species"))).drop("n_species")
             .withColumn("species", F.array(F.col("k").cast("smallint"))).drop("k")
             .withColumn("partner", open_sites))
 
@@ -157,18 +164,20 @@ def assembled(chosen: DataFrame, library: BlockLibrary, n: int, names) -> DataFr
 
 
 def children(frontier: DataFrame, catalog: SystemCatalog, n: int, once: str = "first", keep=()) -> DataFrame:
-    """All feasible one-block extensions of size-``n`` structures, not yet canonical."""
+    """All feasible one-block extensions ``(sys, species, partner)`` of size-``n`` structures, not yet canonical.
+
+    ``frontier`` has the rule columns; children don't carry them, unless they are named in ``keep``.
+    """
     lib = catalog.library
-    carried = [c for c in ("sys", "allowed", "allowed_colors") if c in frontier.columns]
     chosen = candidates(frontier, lib, n, catalog.contact_rule).where(permitted(catalog)).where(one_per_placement(lib, once, n))
-    return assembled(chosen, lib, n, [*carried, *keep])
+    return assembled(chosen, lib, n, ["sys", *keep])
 
 
 def named(structures: DataFrame, library: BlockLibrary, search: bool = False) -> DataFrame:
     """Replace ``species, partner`` by the canonical form and add its other columns."""
     rest = [c for c in structures.columns if c not in ("species", "partner")]
     df = structures.select(*rest, canonical(library, F.col("species"), F.col("partner"), search=search).alias("c"))
-    extra = [] if library.distinct_sites else ["key"]
+    extra = [] if library.exact_arrays else ["key"]
     if search:
         # a generator instead of a filter: the named row is computed once and not pushed around
         df = df.select(*rest, F.explode(F.filter(F.array("c"), lambda c: c["accepted"])).alias("c"))
@@ -177,7 +186,7 @@ def named(structures: DataFrame, library: BlockLibrary, search: bool = False) ->
 
 
 def distinct_structures(structures: DataFrame, library: BlockLibrary) -> DataFrame:
-    """Exact DISTINCT. The canonical arrays are the key unless some sites look alike."""
-    if library.distinct_sites:
+    """Exact DISTINCT. The canonical arrays are the key, unless faces of cubes look alike."""
+    if library.exact_arrays:
         return structures.distinct()
     return structures.dropDuplicates(["sys", "key"])

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators import growth
-from ..sources.systems import SystemCatalog
+from ..sources.systems import PACK, AssemblySystem, SystemCatalog
 
 #: rows of a level one growth task should handle; growing costs far more than reading
 ROWS_PER_TASK = 20_000
@@ -84,36 +84,222 @@ def spread(level: DataFrame, rows: int) -> DataFrame:
     return level.repartition(wanted) if wanted > 1 else level
 
 
+#: bytes of a rule dictionary, and rows of a table of systems, that may be broadcast
+BROADCAST_BYTES, BROADCAST_SYSTEMS = 48 << 20, 500_000
+
+
+class RuleDictionary:
+    """The different rule lists of a catalog, and the systems that share each.
+
+    Structures carry only the number ``sys`` of their rule list and the number ``w`` of systems that have it.  A list is
+    grown once, whatever the number of its systems; :meth:`of_systems` gives each of them its structures.  With
+    ``shared=False`` every system is a list of its own.  The rules of a single system stand in the plan.
+    """
+
+    def __init__(self, catalog: SystemCatalog, base: str, shared: bool = True):
+        self.catalog, self.literal, self.different = catalog, None, 1
+        spark, rows = catalog.spark, growth.rule_columns(catalog, catalog.rows)
+        self.columns = [c for c in rows.columns if c.startswith("allowed")]
+        if isinstance(catalog, AssemblySystem):
+            row = rows.first()
+            self.number, self.literal = row["sys"], {c: F.array(*map(F.lit, row[c])).cast("array<int>") for c in self.columns}
+            self.lists = spark.range(1).select(F.col("id").alias("sys"), F.lit(1).cast("long").alias("w"), F.lit(row["n_species"]).alias("n_species"))
+            return
+        for seed in range(8):
+            name = F.xxhash64(F.lit(seed), "n_species", "allowed") if shared else F.col("sys")
+            path = f"{base}/systems-{seed}"
+            named = rows.withColumn("list", name)
+            named.write.parquet(path)
+            self.members = spark.read.schema(named.schema).parquet(path)
+            if shared:
+                lists = self.members.groupBy("list", "n_species", *self.columns).agg(F.count(F.lit(1)).alias("w"))
+            else:
+                lists = self.members.select("list", "n_species", *self.columns, F.lit(1).cast("long").alias("w"))
+            lists = lists.withColumnRenamed("list", "sys")
+            lists.write.parquet(f"{base}/rules-{seed}")
+            self.lists = spark.read.schema(lists.schema).parquet(f"{base}/rules-{seed}")
+            size = sum(F.size(c) for c in self.columns) * 4 + 64
+            self.different, names, self.bytes, self.systems = self.lists.agg(F.count(F.lit(1)), F.count_distinct("sys"), F.sum(size), F.sum("w")).first()
+            if self.different == names or not shared:  # else two lists have one number: name them anew
+                return
+        raise ValueError("rule lists could not be numbered")
+
+    def blocks(self) -> DataFrame:
+        """``(sys, w, species, partner)`` of the single blocks of every list."""
+        return growth.single_blocks(self.lists.select("sys", "w", "n_species"), self.catalog.library)
+
+    def attached(self, frontier: DataFrame) -> DataFrame:
+        """``frontier`` with the rule columns of its lists."""
+        if self.literal:
+            return frontier.withColumns(self.literal)
+        lists = self.lists.select("sys", *self.columns)
+        return frontier.join(F.broadcast(lists) if (self.bytes or 0) <= BROADCAST_BYTES else lists, "sys")
+
+    def of_systems(self, structures: DataFrame) -> DataFrame:
+        """The structures of each system, with its packed rules."""
+        if self.literal:
+            return structures.drop("w").withColumn("sys", F.lit(self.number)).withColumns({"allowed": self.literal["allowed"]})
+        members = self.members.select("sys", "list", "allowed")
+        members = F.broadcast(members) if self.systems and self.systems <= BROADCAST_SYSTEMS and self.bytes <= BROADCAST_BYTES else members
+        return structures.drop("w").withColumnRenamed("sys", "list").join(members, "list").drop("list")
+
+
+#: different rule lists from which their structures are grown together; fewer take less time one by one
+SHARED_LISTS = 2000
+#: pairs of labels that the systems of a catalog may use together, to have their structures grown as one
+UNION_PAIRS = 4096
+
+
+class SharedShapes:
+    """The different structures of all systems of a catalog, each placed, tested for contacts and named once.
+
+    A structure belongs to a system if the rules allow its contacts, whatever else they allow.  So the structures of a
+    size are grown under the rules of all systems together, and every growth step is an edge ``(parent, sid, need, touch)``
+    with the bond it starts from and the contacts it makes.  The systems then walk along the edges with two numbers a
+    row, the rule list and the structure, and one look at the list for each edge.
+    """
+
+    def __init__(self, rules: RuleDictionary, base: str, search: bool, seed: int = 0):
+        self.rules, self.base, self.search, self.seed = rules, f"{base}/{seed}", search, seed
+        self.catalog, self.library = rules.catalog, rules.catalog.library
+        #: of edges that lead from one structure to another, one is enough only if contacts that may touch may also start
+        self.one_edge = search and self.library.colors_are_classes
+        self.total, self.exact = 0, ["species", "partner"] if self.library.exact_arrays else ["key"]
+        self.pairs = [r[0] for r in rules.lists.select(F.explode("allowed")).distinct().limit(UNION_PAIRS + 1).collect()]
+
+    @property
+    def fits(self) -> bool:
+        return len(self.pairs) <= UNION_PAIRS
+
+    def united(self) -> dict:
+        allowed = F.array(*map(F.lit, sorted(self.pairs))).cast("array<int>")
+        if "allowed_colors" not in self.rules.columns:
+            return {"allowed": allowed}
+        color = [c for row in self.library.site_colors for c in row]
+        colors = sorted({color[p // PACK - 1] * PACK + color[p % PACK - 1] for p in self.pairs})
+        return {"allowed": allowed, "allowed_colors": F.array(*map(F.lit, colors)).cast("array<int>")}
+
+    def written(self, df: DataFrame, name: str, n: int) -> tuple[DataFrame, int]:
+        """``df`` read back from its table for size ``n``, and its number of rows."""
+        path, seen = f"{self.base}/{name}/n={n}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+    def numbered(self, named: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """``named`` with the number ``sid`` of each structure, and the different structures ``(sid, species, partner, ...)``.
+
+        Numbers are hashes of the exact form; :meth:`unique` checks that no two structures of a size have the same one.
+        """
+        rows, self.steps = self.written(named.withColumn("sid", F.xxhash64(F.lit(self.seed), *self.exact)), "grown", n)
+        own = rows.select("sid", *[c for c in ("species", "partner", "key", "orbit") if c in rows.columns])
+        shapes, self.count = self.written(own.distinct() if self.library.exact_arrays else own.dropDuplicates(["sid", "key"]), "shapes", n)
+        self.total += self.count
+        return rows, shapes
+
+    def unique(self, kept: DataFrame) -> bool:
+        return not kept.groupBy("n", "sid").count().where("count > 1").take(1)
+
+    def first(self) -> tuple[DataFrame, DataFrame]:
+        """``(sys, w, sid)`` of the single blocks of every list, and the blocks."""
+        blocks = self.rules.blocks()
+        if self.search or not self.library.exact_arrays:
+            blocks = growth.named(blocks, self.library, self.search)
+        rows, shapes = self.numbered(blocks, 1)
+        return rows.select("sys", "w", "sid"), shapes
+
+    def edges(self, shapes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """The growth steps from the structures of size ``n``, and the structures they lead to."""
+        lib, catalog = self.library, self.catalog
+        rows = growth.candidates(spread(shapes, self.count).drop("key").withColumns(self.united()), lib, n, catalog.contact_rule)
+        rows = rows.where(growth.permitted(catalog))
+        if self.one_edge:
+            rows = rows.where(growth.one_per_placement(lib, "orbit", n))
+        label = f"{growth.slot_labels(lib, n)}[new.slot - 1]"
+        rows = rows.selectExpr("*", f"CAST({label} * {PACK} + new.label_j AS INT) AS need",
+                               f"array_sort(array_distinct(transform(new.touch, t -> CAST(t.here * {PACK} + t.there AS INT)))) AS contacts")
+        grown = growth.assembled(rows.withColumnRenamed("sid", "parent"), lib, n, ["parent", "need", "contacts"])
+        rows, found = self.numbered(growth.named(grown, lib, self.search), n + 1)
+        return rows.select("parent", "sid", "need", "contacts").distinct(), found
+
+    def step(self, frontier: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+        """The rows ``(sys, w, sid)`` that the lists of ``frontier`` allow."""
+        judged = growth.judged_by(self.catalog)
+        small = self.steps * 64 <= BROADCAST_BYTES
+        steps = self.rules.attached(frontier).withColumnRenamed("sid", "parent").join(F.broadcast(edges) if small else edges, "parent")
+        fits = F.expr(f"array_contains(allowed, need) AND forall(contacts, c -> array_contains({judged}, c))")
+        rows = steps.where(fits).select("sys", "w", "sid")
+        return rows if self.one_edge else rows.distinct()
+
+
+def _shared_levels(shapes: SharedShapes, max_size: int | None, max_strs: int | None) -> tuple[DataFrame, dict, bool] | None:
+    """``(sys, n, species, partner, ...)`` of all rule lists, the number of structures of all systems by size,
+    and whether ``max_strs`` ended it.  None if two structures got the same number."""
+    base, spark, counts, n, stopped = f"{shapes.base}/levels", shapes.catalog.spark, {}, 1, False
+    level, found = shapes.first()
+    sizes = F.lit(1).alias("n")
+    kept = found.drop("orbit").select("*", sizes)
+    while True:
+        seen = Observation()
+        level.observe(seen, F.sum("w").alias("structures"), F.count(F.lit(1)).alias("rows")).write.parquet(f"{base}/n={n}")
+        got = seen.get
+        counts[n] = got["structures"] or 0
+        if max_strs is not None and sum(counts.values()) >= max_strs and (shapes.search or got["rows"]):
+            stopped = True
+            break
+        if not got["rows"] or (max_size is not None and n >= max_size):
+            break
+        edges, found = shapes.edges(found, n)
+        level = shapes.step(spark.read.schema(level.schema).parquet(f"{base}/n={n}"), edges, n)
+        n += 1
+        kept = kept.unionByName(found.drop("orbit").select("*", F.lit(n).alias("n")))
+    schema = T.StructType([*level.schema.fields, T.StructField("n", T.IntegerType())])
+    levels = spark.read.schema(schema).option("basePath", base).parquet(base)
+    if not shapes.unique(kept):
+        return None
+    small = shapes.total <= BROADCAST_SYSTEMS // 4
+    return levels.join(F.broadcast(kept) if small else kept, ["n", "sid"]).drop("sid"), counts, stopped
+
+
 def enumerate_levels(catalog: SystemCatalog, strategy: str, max_size: int | None = None,
                      max_strs: int | None = None, rejector=None) -> Enumeration:
     """Grow sizes 1, 2, ... until nothing is left or a limit is hit.
 
     ``rejector`` maps a DataFrame of structures to an integer column: 0 keep, 1 keep but do
-    not grow, 2 drop, 3 keep and stop after this size.
+    not grow, 2 drop, 3 keep and stop after this size.  In a catalog systems with the same rules are grown once and
+    structures that several systems have are placed and named once, see ``SharedShapes``; not with a rejector,
+    which may look at ``sys``, nor with very many different rules.
     """
     spark, lib = catalog.spark, catalog.library
     search = strategy == "reverse_search"
     base = checkpoint_folder(spark)
+    rules = RuleDictionary(catalog, base, shared=rejector is None)
+    if rejector is None and rules.different > SHARED_LISTS:
+        for seed in range(8):
+            shapes = SharedShapes(rules, base, search, seed)
+            found = _shared_levels(shapes, max_size, max_strs) if shapes.fits else None
+            if found:
+                return _result(rules, *found, base, max_strs, search)
+            if not shapes.fits:
+                break
     counts, schema, stopped, n = {}, None, False, 1
-    level = growth.monomers(catalog)
-    if search:
-        level = growth.named(level, lib, search=True)
-    elif not lib.distinct_sites:
-        level = growth.named(level, lib)
+    levels = f"{base}/levels"
+    level = rules.blocks()
+    if search or not lib.exact_arrays:
+        level = growth.named(level, lib, search)
     while True:
         if rejector is not None:
-            sized = level.withColumn("n", F.lit(n))
-            level = sized.withColumn("verdict", rejector(sized)).where(F.col("verdict") != DROP).drop("n")
+            sized = rules.attached(level).withColumn("n", F.lit(n))
+            level = sized.withColumn("verdict", rejector(sized)).where(F.col("verdict") != DROP).drop("n", *rules.columns)
         else:
             level = level.withColumn("verdict", F.lit(KEEP))
         seen = Observation()
-        level = level.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("verdict").alias("worst"),
+        level = level.observe(seen, F.sum("w").alias("structures"), F.max("verdict").alias("worst"),
                               F.count(F.when(F.col("verdict") == KEEP, 1)).alias("growing"))
-        path = f"{base}/n={n}"
+        path = f"{levels}/n={n}"
         level.write.parquet(path)
         schema = schema or level.schema
         got = seen.get
-        counts[n] = got["rows"]
+        counts[n] = got["structures"] or 0
         total = sum(counts.values())
         if (got["worst"] or 0) >= STOP or (max_strs is not None and total >= max_strs and (search or got["growing"])):
             stopped = True
@@ -121,22 +307,26 @@ def enumerate_levels(catalog: SystemCatalog, strategy: str, max_size: int | None
         if not got["growing"] or (max_size is not None and n >= max_size):
             break
         frontier = spark.read.schema(schema).parquet(path).where(F.col("verdict") == KEEP).drop("verdict", "key")
-        frontier = spread(frontier, got["growing"])
-        grown = growth.children(frontier, catalog, n, once="orbit" if search else "first")
-        level = growth.named(grown, lib, search)
+        frontier = rules.attached(spread(frontier, got["growing"]))
+        level = growth.named(growth.children(frontier, catalog, n, once="orbit" if search else "first", keep=["w"]), lib, search)
         if not search:
             level = growth.distinct_structures(level, lib)
         n += 1
-    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("n", T.IntegerType())])).option("basePath", base).parquet(base)
-    keep = ["sys", "n", "species", "partner", "allowed"] + (["key"] if not lib.distinct_sites else [])
-    result = stored.select(*keep)
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("n", T.IntegerType())])).option("basePath", levels).parquet(levels)
+    return _result(rules, stored, counts, stopped, base, max_strs, search)
+
+
+def _result(rules: RuleDictionary, stored: DataFrame, counts: dict, stopped: bool, base: str, max_strs: int | None, search: bool) -> Enumeration:
+    key = [] if rules.catalog.library.exact_arrays else ["key"]
+    result = rules.of_systems(stored.select("sys", "n", "species", "partner", *key)).select("sys", "n", "species", "partner", "allowed", *key)
     if max_strs is not None and sum(counts.values()) > max_strs:
         result, counts = _first_by_size(result, counts, max_strs, at_least=0 if search else counts[1])
     return Enumeration(result, counts, stopped, base)
 
 
 def _first_by_size(result: DataFrame, counts: dict, max_strs: int, at_least: int):
-    """The limit feature: whole smaller sizes, then part of the size that crosses the limit."""
+    """The limit feature: whole smaller sizes, then the first structures, in order of system and canonical
+    arrays, of the size that crosses the limit."""
     room, kept, parts = max(max_strs, at_least), {}, []
     for n, c in sorted(counts.items()):
         take = min(c, room)
@@ -144,7 +334,7 @@ def _first_by_size(result: DataFrame, counts: dict, max_strs: int, at_least: int
         if take:
             kept[n] = take
             rows = result.where(F.col("n") == n)
-            parts.append(rows if take == c else rows.limit(take))
+            parts.append(rows if take == c else rows.orderBy("sys", "species", "partner").limit(take))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -202,3 +202,42 @@ def test_written_levels_go_away(spark):
     found = polyenum(AssemblySystem(spark, SIXTEEN, TRIANGLE), max_size=2, reducer=lambda df: df["n"], reduce_op=max)
     assert found.reduced == 2
     found.close()
+
+
+# ----------------------------------------------------------------- structures shared by many systems
+
+@pytest.mark.parametrize("name", ["polygen_triangles", "polyenum_triangles", "polygen_polyomino", "polyenum_polycube", "polygen_cubes", "polyenum_coarse_labels",
+                                  "polygen_site_rule", "polyenum_renumbered", "polygen_mixed"])
+def test_shared_structures_are_those_of_each_system(spark, monkeypatch, name):
+    """The same rows whether structures are grown for every rule list or once for all of them; also with shuffled dictionaries."""
+    from polyweave.plans import enumerate as plans
+    from polyweave.suite import registered
+    if name not in registered():
+        pytest.skip("not registered")
+    rows = {}
+    for limit, bound in ((1 << 40, 1 << 40), (0, 1 << 40), (0, -1)):
+        monkeypatch.setattr(plans, "SHARED_LISTS", limit)
+        monkeypatch.setattr(plans, "BROADCAST_BYTES", bound)
+        monkeypatch.setattr(plans, "BROADCAST_SYSTEMS", bound)
+        rows[limit, bound] = sorted(map(tuple, registered()[name][0](spark, "/root/testdata/sf0.001").collect()))
+    assert len({str(r) for r in rows.values()}) == 1 and rows[0, -1]
+
+
+def test_systems_with_equal_rules_are_grown_once_and_numbered_again_on_a_clash(spark, monkeypatch):
+    from polyweave import TRIANGLE, SystemCatalog
+    from polyweave.blocks import BlockLibrary
+    from polyweave.plans import enumerate as plans
+    rows = [(s, 1, 1 + s % 2, 2, 2) for s in range(6)] + [(s, 1, 3, 1, 3) for s in range(6)]
+    catalog = SystemCatalog.from_bonds(BlockLibrary.uniform(TRIANGLE, 2), spark.createDataFrame(
+        rows, "sys long, species_i int, site_i int, species_j int, site_j int"))
+    monkeypatch.setattr(plans, "SHARED_LISTS", 0)
+    clash = plans.SharedShapes.unique
+    monkeypatch.setattr(plans.SharedShapes, "unique", lambda self, kept: self.seed > 0 and clash(self, kept))
+    run = plans.enumerate_levels(catalog, "levels", 4)
+    assert plans.RuleDictionary(catalog, plans.checkpoint_folder(spark)).different == 2
+    per = {}
+    for r in run.structures.collect():
+        per.setdefault(r["sys"], []).append((r["n"], tuple(r["species"]), tuple(r["partner"]), tuple(r["allowed"])))
+    assert set(per) == set(range(6)) and sorted(per[0]) == sorted(per[2]) == sorted(per[4]) and sorted(per[1]) == sorted(per[5])
+    assert run.n_structures == sum(map(len, per.values()))
+    run.close()
