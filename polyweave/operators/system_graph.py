@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from itertools import permutations, product
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,16 +158,106 @@ def system_key(shapes, actions, offsets, n_species, rules) -> str:
     return repr(sorted(forms))
 
 
+#: images of a rule list under all exchanges of species and turns of blocks, up to which the least is taken of all of them
+IMAGES = 4096
+
+
+class ImageKeys:
+    """Least image of rule lists of ``n_species`` blocks, whole batches at a time.
+
+    A list is a set of unordered label pairs, one bit each.  The order of species of one shape, the turns of every
+    block and a mirror image of everything move the bits; each of these images is looked up byte by byte in tables.
+    """
+
+    def __init__(self, shapes, actions, offsets, n_species: int):
+        # species in order of their shapes, so that the order of a library does not matter
+        order = sorted(range(n_species), key=lambda k: (shapes[k].name, shapes[k].n_sites))
+        self.names = ",".join(shapes[k].name for k in order)
+        start, at = np.cumsum([0, *[shapes[k].n_sites for k in order]]), {}
+        self.place = np.zeros(offsets[n_species - 1] + shapes[n_species - 1].n_sites + 1, np.int64)
+        for i, k in enumerate(order):
+            at[k] = int(start[i])
+            self.place[offsets[k] + 1:offsets[k] + shapes[k].n_sites + 1] = start[i] + np.arange(shapes[k].n_sites)
+        self.labels = int(start[-1])
+        rows, columns = np.triu_indices(self.labels)
+        self.number = np.zeros((self.labels, self.labels), np.int64)
+        self.number[rows, columns] = self.number[columns, rows] = np.arange(len(rows))
+        self.bytes = -(-len(rows) // 8)
+        self.words = -(-self.bytes // 8)
+        self.tables = np.array([self._table(self.number[image[rows], image[columns]]) for image in self._images(shapes, actions, order, at)])
+
+    @staticmethod
+    def count(shapes, actions, n_species: int) -> int:
+        own = shapes[:n_species]
+        orders = math.prod(math.factorial(own.count(s)) for s in set(own))
+        return orders * sum(math.prod(len(actions[s][side]) for s in own) for side in (0, 1))
+
+    def _images(self, shapes, actions, order, at):
+        kinds = list(dict.fromkeys(shapes[k] for k in order))
+        groups = [[k for k in order if shapes[k] == kind] for kind in kinds]
+        found = set()
+        for moved in product(*[permutations(g) for g in groups]):
+            to = {a: b for g, m in zip(groups, moved) for a, b in zip(g, m)}
+            for side in (0, 1):
+                for turns in product(*[actions[shapes[k]][side] for k in order]):
+                    image = np.empty(self.labels, np.int64)
+                    for k, turn in zip(order, turns):
+                        image[at[k]:at[k] + len(turn)] = at[to[k]] + np.array(turn)
+                    found.add(tuple(image.tolist()))
+        return [np.array(i) for i in sorted(found)]
+
+    def _table(self, moved: np.ndarray) -> np.ndarray:
+        """``[byte, value, word]``: the bits that a byte of the list sets in the image."""
+        bit = np.zeros((self.bytes * 8, self.words), np.uint64)
+        bit[np.arange(len(moved)), moved // 64] = np.uint64(1) << (moved % 64).astype(np.uint64)
+        value = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(bool)
+        return np.where(value[None, :, :, None], bit.reshape(self.bytes, 1, 8, self.words), np.uint64(0)).sum(2, dtype=np.uint64)
+
+    def __call__(self, row: np.ndarray, first: np.ndarray, second: np.ndarray, rows: int) -> list[str]:
+        """Keys of ``rows`` lists, given as label pairs with the number of their row."""
+        bits = np.zeros((rows, self.bytes * 8), bool)
+        bits[row, self.number[self.place[first], self.place[second]]] = True
+        packed = np.packbits(bits, axis=1, bitorder="little")
+        best = np.full((rows, self.words), np.iinfo(np.uint64).max, np.uint64)
+        for table in self.tables:
+            image = np.zeros((rows, self.words), np.uint64)
+            for k in range(self.bytes):
+                image |= table[k, packed[:, k]]
+            less, same = np.zeros(rows, bool), np.ones(rows, bool)
+            for w in range(self.words):
+                less |= same & (image[:, w] < best[:, w])
+                same &= image[:, w] == best[:, w]
+            best[less] = image[less]
+        return [f"{self.names}:" + "-".join(f"{x:x}" for x in words) for words in best.tolist()]
+
+
 def system_keys(catalog: SystemCatalog) -> DataFrame:
     """``(sys, system_key, rhash)``: equal keys for systems that differ only by the order of
     species, the rotation of blocks, or a mirror image of everything."""
     shapes, offsets = catalog.library.shapes, catalog.library.offsets
     actions = {s: site_actions(s) for s in dict.fromkeys(shapes)}
 
+    tabled = {}
+
     def keys(n_species: pa.Array, rules: pa.Array) -> pa.Array:
-        out = [system_key(shapes, actions, offsets, n, [(r["i"], r["j"]) for r in rs])
-               for n, rs in zip(n_species.to_pylist(), rules.to_pylist())]
-        return pa.array(out, type=pa.string())
+        sizes, count = n_species.to_numpy(zero_copy_only=False), np.diff(rules.offsets.to_numpy())
+        pairs = rules.flatten()
+        first, second = (pairs.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("i", "j"))
+        row, out = np.repeat(np.arange(len(sizes)), count), np.empty(len(sizes), object)
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            if ImageKeys.count(shapes, actions, n) <= IMAGES:  # the same way for all systems of n species, so keys agree
+                if n not in tabled:
+                    tabled[n] = ImageKeys(shapes, actions, offsets, n)
+                rank = np.full(len(sizes), -1)
+                rank[own] = np.arange(len(own))
+                at = rank[row] >= 0
+                out[own] = tabled[n](rank[row[at]], first[at], second[at], len(own))
+            else:
+                for i in own:
+                    at = row == i
+                    out[i] = system_key(shapes, actions, offsets, n, list(zip(first[at].tolist(), second[at].tolist())))
+        return pa.array(out.tolist(), type=pa.string())
 
     # many systems have the same rules: each distinct list is named once
     rows = catalog.rows.select("sys", "n_species", "rules")

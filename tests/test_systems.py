@@ -116,3 +116,26 @@ def test_many_species_that_look_alike():
     assert g.smallest_form(kinds, ring) == g.smallest_form(kinds, moved) != g.smallest_form(kinds, star)
     assert g.smallest_form(kinds, []) == ((((0,), ()),) * n)
     assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_least_images_agree_with_the_search(seed):
+    """Systems get equal keys by all images exactly when they do by refinement and search."""
+    import random
+
+    import numpy as np
+    from polyweave import SQUARE, TRIANGLE
+    from polyweave.operators import system_graph as g
+    rnd = random.Random(seed)
+    shapes = [[TRIANGLE] * 3, [SQUARE, TRIANGLE, SQUARE], [SQUARE] * 2, [TRIANGLE]][seed]
+    offsets = np.cumsum([0, *[s.n_sites for s in shapes]]).tolist()
+    actions = {s: g.site_actions(s) for s in shapes}
+    n = len(shapes)
+    lists = [sorted({tuple(sorted(rnd.choices(range(1, offsets[n] + 1), k=2))) for _ in range(rnd.randrange(5))}) for _ in range(60)]
+    both = [sorted({*ps, *((j, i) for i, j in ps)}) for ps in lists]
+    row = np.repeat(np.arange(len(both)), [len(b) for b in both])
+    first, second = (np.array([p[k] for b in both for p in b], np.int64) for k in (0, 1))
+    keys = g.ImageKeys(shapes, actions, offsets, n)(row, first, second, len(both))
+    found = [g.system_key(shapes, actions, offsets, n, b) for b in both]
+    assert [[a == b for b in keys] for a in keys] == [[a == b for b in found] for a in found]
+    assert 1 < len(set(keys)) < len(keys)
