@@ -191,24 +191,43 @@ def attach_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array, wan
 # -------------------------------------------------------------------- canonical form
 
 def removable(partner: np.ndarray, n: int, stride: int) -> np.ndarray:
-    """``[B, n]``: deleting this block leaves the others connected."""
-    b = len(partner)
-    linked = np.zeros((b, n, n + 1), bool)
-    other = np.where(partner > 0, (partner.astype(np.int64) - 1) // stride, n).reshape(b, n, stride)
-    np.put_along_axis(linked, other, True, axis=2)
-    linked = linked[:, :, :n]
-    seen = np.zeros((b, n, n), bool)               # [row, deleted block, reached block]
-    gone = np.arange(n)
-    seen[:, gone, np.where(gone == 0, min(1, n - 1), 0)] = True
-    keep = ~np.eye(n, dtype=bool)
-    seen &= keep
-    count = -1
-    while (now := int(seen.sum())) != count:
-        count = now
-        for i in range(n):
-            seen |= seen[:, :, i:i + 1] & linked[:, None, i, :] & keep[:, i:i + 1]
-        seen &= keep
-    return seen.sum(axis=2) == n - 1
+    """``[B, n]``: deleting this block leaves the others of its connected structure connected.
+
+    One depth-first walk a row, all rows of the batch a step at a time: a block separates the others if some block
+    found from it can't reach an earlier one without it, or if it is the start and more than one block was found from it.
+    Steps are at most twice the blocks, so the work is linear in the bonds.
+    """
+    b, every = len(partner), np.arange(len(partner))
+    other = np.where(partner > 0, (partner.astype(np.int64) - 1) // stride, -1).reshape(b, n, stride)
+    found, low = np.full((b, n + 1), n, np.int32), np.full((b, n), n, np.int32)  # column n is where open sites lead
+    parent, cut = np.full((b, n), -1), np.zeros((b, n), bool)
+    at, from_start, clock = np.zeros(b, np.int64), np.zeros(b, np.int64), np.ones(b, np.int32)
+    found[:, 0] = low[:, 0] = 0
+    rows = every
+    while len(rows):
+        here = at[rows]
+        near = other[rows, here]
+        seen = found[rows[:, None], near]  # -1 is the last column
+        fresh = (near >= 0) & (seen == n)
+        down = fresh.any(1)
+        r, v = rows[down], near[down, fresh[down].argmax(1)]
+        parent[r, v], at[r] = here[down], v
+        found[r, v] = low[r, v] = clock[r]
+        clock[r] += 1
+        r, u = rows[~down], here[~down]
+        back = parent[r, u]
+        low[r, u] = np.minimum(low[r, u], np.where(near[~down] == back[:, None], n, seen[~down]).min(1))
+        up = back >= 0
+        r, u, back = r[up], u[up], back[up]
+        low[r, back] = np.minimum(low[r, back], low[r, u])
+        cut[r, back] |= low[r, u] >= found[r, back]
+        from_start[r] += back == 0
+        at[r] = back
+        rows = np.sort(np.concatenate([rows[down], r]))
+    cut[:, 0] = from_start > 1
+    if (clock != n).any():
+        raise ValueError("a structure is not connected")
+    return ~cut
 
 
 def removable_batch(lib: SimpleNamespace, species: pa.Array, partner: pa.Array) -> pa.ListArray:

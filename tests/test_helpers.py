@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from polyweave import CUBE, SQUARE, TRIANGLE, BlockLibrary
@@ -88,3 +89,48 @@ def test_mixed_sizes_in_one_batch():
     assert out.to_pylist() == one
     assert len(H.place_batch(lib.tables, *[out.field(f) for f in ("species", "partner")])) == 5
     assert np.isclose(H.place_batch(lib.tables, *[out.field(f) for f in ("species", "partner")]).to_pylist()[0]["x"][0], 0)
+
+
+def _random_structures(rnd, rows, n, m, extra):
+    """Connected random bonds between n blocks of m sites, as partner slots."""
+    out = np.zeros((rows, n, m), np.int64)
+    for row in out:
+        def link(i, j):
+            a, b = np.flatnonzero(row[i] == 0), np.flatnonzero(row[j] == 0)
+            if len(a) and len(b) and i != j:
+                s, t = rnd.choice(a), rnd.choice(b)
+                row[i, s], row[j, t] = j * m + t + 1, i * m + s + 1
+                return True
+        order = rnd.permutation(n)
+        for k in range(1, n):
+            while not link(order[rnd.integers(max(0, k - 3), k)], order[k]):
+                pass
+        for _ in range(extra):
+            link(*rnd.integers(0, n, 2))
+    return out.reshape(rows, -1).astype(np.int16)
+
+
+@pytest.mark.parametrize("n,m,extra", [(1, 3, 0), (2, 3, 1), (5, 4, 1), (9, 6, 5), (30, 6, 12), (200, 6, 60)])
+def test_removable_blocks_against_deleting_each(n, m, extra):
+    from polyweave.operators.arrow_helpers import removable
+    rnd = np.random.default_rng(n)
+    partner = _random_structures(rnd, 40 if n < 100 else 4, n, m, extra)
+    got = removable(partner, n, m)
+    for row, found in zip(partner, got):
+        near = [{(int(p) - 1) // m for p in row[i * m:(i + 1) * m] if p} for i in range(n)]
+        for gone in range(n):
+            left = set(range(n)) - {gone}
+            seen, todo = set(), list(left)[:1]
+            while todo:
+                i = todo.pop()
+                if i not in seen:
+                    seen.add(i)
+                    todo += [j for j in near[i] if j != gone]
+            assert found[gone] == (seen == left)
+    assert n < 3 or (0 < got.sum() < got.size)
+
+
+def test_a_structure_in_pieces_is_refused():
+    from polyweave.operators.arrow_helpers import removable
+    with pytest.raises(ValueError):
+        removable(np.zeros((1, 6), np.int16), 2, 3)
