@@ -8,7 +8,6 @@ the next level and part of the result.
 from __future__ import annotations
 
 import atexit
-import functools
 import shutil
 import tempfile
 import uuid
@@ -19,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from ..operators import growth
 from ..sources.systems import PACK, AssemblySystem, SystemCatalog
@@ -231,7 +231,16 @@ class SharedShapes:
         return rows if self.one_edge else rows.distinct()
 
 
-def _shared_levels(shapes: SharedShapes, max_size: int | None, max_strs: int | None) -> tuple[DataFrame, dict, bool] | None:
+def _unfinished(frontier: DataFrame, levels: str, schema: T.StructType, each: int | None) -> DataFrame:
+    """``frontier`` without the systems (or rule lists) that have ``each`` structures in the written levels already."""
+    if each is None:
+        return frontier
+    rows = frontier.sparkSession.read.schema(schema).option("basePath", levels).parquet(levels)
+    done = rows.groupBy("sys").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= each).select("sys")
+    return frontier.join(done, "sys", "left_anti")
+
+
+def _shared_levels(shapes: SharedShapes, max_size: int | None, max_strs: int | None, each: int | None = None) -> tuple[DataFrame, dict, bool] | None:
     """``(sys, n, species, partner, ...)`` of all rule lists, the number of structures of all systems by size,
     and whether ``max_strs`` ended it.  None if two structures got the same number."""
     base, spark, counts, n, stopped = f"{shapes.base}/levels", shapes.catalog.spark, {}, 1, False
@@ -249,7 +258,8 @@ def _shared_levels(shapes: SharedShapes, max_size: int | None, max_strs: int | N
         if not got["rows"] or (max_size is not None and n >= max_size):
             break
         edges, found = shapes.edges(found, n)
-        level = shapes.step(spark.read.schema(level.schema).parquet(f"{base}/n={n}"), edges, n)
+        frontier = _unfinished(spark.read.schema(level.schema).parquet(f"{base}/n={n}"), base, level.schema, each)
+        level = shapes.step(frontier, edges, n)
         n += 1
         kept = kept.unionByName(found.drop("orbit").select("*", F.lit(n).alias("n")))
     schema = T.StructType([*level.schema.fields, T.StructField("n", T.IntegerType())])
@@ -261,11 +271,13 @@ def _shared_levels(shapes: SharedShapes, max_size: int | None, max_strs: int | N
 
 
 def enumerate_levels(catalog: SystemCatalog, strategy: str, max_size: int | None = None,
-                     max_strs: int | None = None, rejector=None) -> Enumeration:
+                     max_strs: int | None = None, rejector=None, each_system: int | None = None) -> Enumeration:
     """Grow sizes 1, 2, ... until nothing is left or a limit is hit.
 
     ``rejector`` maps a DataFrame of structures to an integer column: 0 keep, 1 keep but do
-    not grow, 2 drop, 3 keep and stop after this size.  In a catalog systems with the same rules are grown once and
+    not grow, 2 drop, 3 keep and stop after this size.  ``max_strs`` counts the structures of all systems together,
+    ``each_system`` those of every system by itself: a system that has as many grows no further, and the smallest of its
+    structures stay, those of one size in order of their canonical arrays.  In a catalog systems with the same rules are grown once and
     structures that several systems have are placed and named once, see ``SharedShapes``; not with a rejector,
     which may look at ``sys``, nor with very many different rules.
     """
@@ -276,9 +288,9 @@ def enumerate_levels(catalog: SystemCatalog, strategy: str, max_size: int | None
     if rejector is None and rules.different > SHARED_LISTS:
         for seed in range(8):
             shapes = SharedShapes(rules, base, search, seed)
-            found = _shared_levels(shapes, max_size, max_strs) if shapes.fits else None
+            found = _shared_levels(shapes, max_size, max_strs, each_system) if shapes.fits else None
             if found:
-                return _result(rules, *found, base, max_strs, search)
+                return _result(rules, *found, base, max_strs, search, each_system)
             if not shapes.fits:
                 break
     counts, schema, stopped, n = {}, None, False, 1
@@ -307,18 +319,25 @@ def enumerate_levels(catalog: SystemCatalog, strategy: str, max_size: int | None
         if not got["growing"] or (max_size is not None and n >= max_size):
             break
         frontier = spark.read.schema(schema).parquet(path).where(F.col("verdict") == KEEP).drop("verdict", "key")
-        frontier = rules.attached(spread(frontier, got["growing"]))
+        frontier = rules.attached(spread(_unfinished(frontier, levels, schema, each_system), got["growing"]))
         level = growth.named(growth.children(frontier, catalog, n, once="orbit" if search else "first", keep=["w"]), lib, search)
         if not search:
             level = growth.distinct_structures(level, lib)
         n += 1
     stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("n", T.IntegerType())])).option("basePath", levels).parquet(levels)
-    return _result(rules, stored, counts, stopped, base, max_strs, search)
+    return _result(rules, stored, counts, stopped, base, max_strs, search, each_system)
 
 
-def _result(rules: RuleDictionary, stored: DataFrame, counts: dict, stopped: bool, base: str, max_strs: int | None, search: bool) -> Enumeration:
+def _result(rules: RuleDictionary, stored: DataFrame, counts: dict, stopped: bool, base: str, max_strs: int | None, search: bool,
+            each: int | None = None) -> Enumeration:
     key = [] if rules.catalog.library.exact_arrays else ["key"]
     result = rules.of_systems(stored.select("sys", "n", "species", "partner", *key)).select("sys", "n", "species", "partner", "allowed", *key)
+    if each is not None:
+        order = Window.partitionBy("sys").orderBy("n", "species", "partner")
+        blocks = 0 if search else rules.catalog.library.n_species  # generation always returns the blocks
+        ranked = result.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(each, blocks))
+        result = ranked.where((F.col("place") <= each) | (F.lit(not search) & (F.col("n") == 1))).drop("place")
+        counts = {r["n"]: r["count"] for r in result.groupBy("n").count().collect()}
     if max_strs is not None and sum(counts.values()) > max_strs:
         result, counts = _first_by_size(result, counts, max_strs, at_least=0 if search else counts[1])
     return Enumeration(result, counts, stopped, base)
@@ -344,15 +363,15 @@ def _first_by_size(result: DataFrame, counts: dict, max_strs: int, at_least: int
 # ----------------------------------------------------------------------- public calls
 
 def polygen(catalog: SystemCatalog, callback=None, max_size: int | None = UNBOUNDED,
-            max_strs: int | None = UNBOUNDED) -> DataFrame:
+            max_strs: int | None = UNBOUNDED, each_system: int | None = UNBOUNDED) -> DataFrame:
     """All structures as a DataFrame ``(sys, n, species, partner, ...)``, blocks first.
 
     ``callback`` maps the DataFrame of structures to the DataFrame to return.  The blocks are
     always part of the result, whatever the limits.  For a catalog ``max_strs`` counts the
-    structures of all its systems together.
+    structures of all its systems together and ``each_system`` those of each.
     """
     bound = max(max_size, 1) if max_size is not None else None
-    out = enumerate_levels(catalog, "levels", bound, max_strs).structures
+    out = enumerate_levels(catalog, "levels", bound, max_strs, each_system=each_system).structures
     return callback(out) if callback else out
 
 
@@ -384,46 +403,76 @@ FOLDS = {"+": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "*": F.product,
 
 
 def polyenum(catalog: SystemCatalog, max_size: int | None = None, max_strs: int | None = None,
-             reducer=None, reduce_op="+", aggregator=None, rejector=None) -> Summary:
+             reducer=None, reduce_op="+", aggregator=None, rejector=None, fold_by: tuple | None = None,
+             each_system: int | None = None) -> Summary:
     """Count, fold, filter and collect structures by reverse search.
 
     * ``reducer(df)`` gives the column to fold with ``reduce_op`` (a name in ``FOLDS`` or an
-      associative, commutative Python function); its value on the empty structure is the start.
+      associative, commutative Python function); its value on the empty structure is the start.  With ``fold_by``,
+      ``()`` or ``("sys",)``, ``reduced`` is the table of :func:`fold_table` instead of one value.
     * ``aggregator(df)`` gives ``(keep, value)`` columns; kept values are collected.
     * ``rejector(df)`` gives the code 0, 1, 2 or 3 (see :func:`enumerate_levels`).
 
     Limits of 0 or None mean no limit.
     """
-    run = enumerate_levels(catalog, "reverse_search", max_size or None, max_strs or None, rejector)
+    run = enumerate_levels(catalog, "reverse_search", max_size or None, max_strs or None, rejector, each_system or None)
     out = Summary(run.n_structures, run.largest, broke=run.stopped, structures=run.structures, run=run)
     if reducer is not None:
-        out.reduced = fold(with_empty(run.structures), reducer, reduce_op)
+        table = fold_table(run.structures, reducer, reduce_op, fold_by or ())
+        out.reduced = table if fold_by is not None else table.first()["value"]
     if aggregator is not None:
         keep, value = aggregator(run.structures)
         out.collected = run.structures.where(keep).select("sys", value.alias("value"))
     return out
 
 
-def with_empty(structures: DataFrame) -> DataFrame:
-    """Add the empty structure, on which every fold starts."""
-    cols = [F.lit(0).cast(f.dataType).alias(f.name) if f.name in ("sys", "n")
+def with_empty(structures: DataFrame, by: tuple = ()) -> DataFrame:
+    """Add the empty structure, on which every fold starts; with ``by`` the one of each group."""
+    cols = [F.col(f.name) if f.name in by else F.lit(0).cast(f.dataType).alias(f.name) if f.name in ("sys", "n")
             else F.array().cast(f.dataType).alias(f.name) if f.dataType.typeName() == "array"
             else F.lit(None).cast(f.dataType).alias(f.name) for f in structures.schema]
-    return structures.unionByName(structures.sparkSession.range(1).select(*cols))
+    groups = structures.select(*by).distinct() if by else structures.sparkSession.range(1)
+    return structures.unionByName(groups.select(*cols))
+
+
+#: groups whose values a task holds before it hands them on
+FOLDED = 100_000
+
 
+def fold_table(structures: DataFrame, reducer, reduce_op="+", by: tuple = ("sys",)) -> DataFrame:
+    """``(*by, value)``: the fold over all structures (``by=()``, one row) or over those of each system.
 
-def fold(structures: DataFrame, reducer, reduce_op="+"):
-    values = structures.select(reducer(structures).alias("value"))
+    A named fold is an aggregation.  Any other associative, commutative function first folds the rows of each task by
+    group and then the partial values of each group, at most one a task and ``FOLDED`` groups of it.
+    """
+    whole = with_empty(structures, by)
+    values = whole.select(*by, reducer(whole).alias("value"))
     if isinstance(reduce_op, str):
-        return values.agg(FOLDS[reduce_op]("value")).first()[0]
+        return values.groupBy(*by).agg(FOLDS[reduce_op]("value").alias("value"))
+    kinds, names = [to_arrow_type(f.dataType) for f in values.schema], values.columns
+
+    def table(held):
+        rows = [(*k, v) for k, v in held.items()]
+        return [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+
+    def folded(held, columns):
+        for *k, v in zip(*(c.to_pylist() for c in columns)):
+            k = tuple(k)
+            held[k] = reduce_op(held[k], v) if k in held else v
+        return held
 
     def part(batches):
-        found = [v for b in batches for v in ([functools.reduce(reduce_op, b.column(0).to_pylist())] if b.num_rows else [])]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([functools.reduce(reduce_op, found)], kind)], ["value"])
+        held = {}
+        for batch in batches:
+            if len(folded(held, batch.columns)) > FOLDED:
+                yield pa.RecordBatch.from_arrays(table(held), names)
+                held = {}
+        yield pa.RecordBatch.from_arrays(table(held), names)
+
+    def total(group: pa.Table) -> pa.Table:
+        return pa.Table.from_arrays(table(folded({}, group.columns)), names)
 
-    kind = to_arrow_type(values.schema["value"].dataType)
-    return functools.reduce(reduce_op, [r[0] for r in values.mapInArrow(part, values.schema).collect()])  # one value a task
+    return values.mapInArrow(part, values.schema).groupBy(*by).applyInArrow(total, values.schema)
 
 
 def counts_by_size(structures: DataFrame, *extra: Column) -> DataFrame:

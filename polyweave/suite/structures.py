@@ -77,8 +77,15 @@ def mixed_systems(spark, folder):
 def polyenum_reduce(spark, folder):
     """Fold over all structures: total number of blocks of species 1."""
     out = polyenum(tables.day_systems(spark, folder), max_size=3,
-                   reducer=lambda df: F.size(F.filter("species", lambda s: s == 1)))
-    return spark.range(1).select(F.lit(int(out.reduced)).alias("species_one_blocks"))
+                   reducer=lambda df: F.size(F.filter("species", lambda s: s == 1)), fold_by=())
+    return out.reduced.select(F.col("value").cast("bigint").alias("species_one_blocks"))
+
+
+def polyenum_fold_systems(spark, folder):
+    """Fold over the structures of each system with a function of the caller's, here the exclusive or."""
+    out = polyenum(tables.day_systems(spark, folder), max_size=3, fold_by=("sys",), reduce_op=lambda a, b: a ^ b,
+                   reducer=lambda df: (F.col("n") * 8 + F.size(F.filter("species", lambda s: s == 1))).cast("bigint"))
+    return out.reduced.withColumnRenamed("value", "folded")
 
 
 def polyenum_collect(spark, folder):
@@ -106,6 +113,17 @@ def polygen_max_strs(spark, folder):
         F.count(F.lit(1)).alias("structures"))
 
 
+def polygen_limit_each(spark, folder):
+    """At most 25 structures of every system, of which the blocks always stay."""
+    found = polygen(tables.day_systems(spark, folder), max_size=3, each_system=25)
+    return found.groupBy("sys").agg(F.count(F.lit(1)).alias("structures"), F.max("n").alias("largest"))
+
+
+def polyenum_limit_each(spark, folder):
+    """The sizes of the first 40 structures of every system, by reverse search."""
+    return counts_by_size(polyenum(tables.order_systems(spark, folder), max_size=3, each_system=40).structures)
+
+
 # ------------------------------------------------------------------------- growth steps
 
 def open_bonds(spark, folder):
@@ -375,6 +393,8 @@ QUERIES = {
     "polyenum_mixed": (searched(mixed_systems, 4), None),
     "polyenum_reduce": (polyenum_reduce, recursive(DAY, "day", 3,
         "SELECT CAST(sum(len([1 for e in cells if e[4] = 1])) AS BIGINT) AS species_one_blocks FROM forms")),
+    "polyenum_fold_systems": (polyenum_fold_systems, recursive(DAY, "day", 3,
+        "SELECT sys, bit_xor(CAST(n * 8 + len([1 for e in cells if e[4] = 1]) AS BIGINT)) AS folded FROM forms GROUP BY sys")),
     "polyenum_collect": (polyenum_collect, recursive(DAY, "day", 3,
         FILTERED.format("len([1 for e in cells if e[4] = 2]) = 0"))),
     "polyenum_reject": (polyenum_reject, recursive(TALK, "talk", 4,
@@ -384,6 +404,12 @@ QUERIES = {
         f"{CONTACTS.format([list(s) for s in DAY.steps])} AS open_sites FROM forms) GROUP BY sys, open_sites")),
     "polygen_max_strs": (polygen_max_strs, recursive(TALK, "talk", 4,
         "SELECT greatest(count(*) FILTER (WHERE n = 1), least(count(*), 1000)) AS structures FROM forms")),
+    "polygen_limit_each": (polygen_limit_each, recursive(DAY, "day", 3, """
+SELECT sys, count(*) AS structures, max(n) AS largest FROM (SELECT sys, n, row_number() OVER (PARTITION BY sys ORDER BY n) AS k FROM forms)
+WHERE k <= 25 OR n = 1 GROUP BY sys""")),
+    "polyenum_limit_each": (polyenum_limit_each, recursive(ORDER, "order", 3, """
+SELECT sys, n, count(*) AS structures FROM (SELECT sys, n, row_number() OVER (PARTITION BY sys ORDER BY n) AS k FROM forms)
+WHERE k <= 40 GROUP BY sys, n""")),
     "open_bonds": (open_bonds, recursive(ORDER, "order", 1,
         "SELECT sys, si AS species, ti AS slot, lj AS partner_label FROM pairs")),
     "attach_candidates": (attach_candidates, recursive(ORDER, "order", 1, ATTACH_SQL)),

@@ -241,3 +241,33 @@ def test_systems_with_equal_rules_are_grown_once_and_numbered_again_on_a_clash(s
     assert set(per) == set(range(6)) and sorted(per[0]) == sorted(per[2]) == sorted(per[4]) and sorted(per[1]) == sorted(per[5])
     assert run.n_structures == sum(map(len, per.values()))
     run.close()
+
+
+def test_limit_of_each_system_is_the_head_of_its_structures(spark, monkeypatch):
+    """Both ways of growing, and two reads of one run, give the same rows: the first in order of size and arrays."""
+    from polyweave.plans import enumerate as plans
+    from polyweave.sources import tables
+    catalog = tables.talk_systems(spark, "/root/testdata/sf0.001")
+    flat = lambda df: sorted((r["sys"], r["n"], tuple(r["species"]), tuple(r["partner"])) for r in df.collect())
+    whole = {}
+    for row in flat(polygen(catalog, max_size=4)):
+        whole.setdefault(row[0], []).append(row)
+    assert max(map(len, whole.values())) > 20
+    want = sorted(r for rows in whole.values() for k, r in enumerate(rows) if k < 20 or r[1] == 1)
+    for limit in (0, 1 << 40):
+        monkeypatch.setattr(plans, "SHARED_LISTS", limit)
+        run = plans.enumerate_levels(catalog, "levels", 4, each_system=20)
+        assert flat(run.structures) == flat(run.structures) == want and run.n_structures == len(want)
+        few = plans.enumerate_levels(catalog, "levels", 4, each_system=1)
+        assert few.largest == 1 and few.n_structures == sum(r[1] == 1 for rows in whole.values() for r in rows)
+
+
+def test_folds_of_any_function_by_system(spark, monkeypatch):
+    from polyweave.plans import enumerate as plans
+    frame = spark.createDataFrame([(s, n, [1] * n, [0] * 3 * n, [1]) for s in range(40) for n in (1, 2, 3)],
+                                  "sys long, n int, species array<smallint>, partner array<smallint>, allowed array<int>")
+    monkeypatch.setattr(plans, "FOLDED", 3)
+    got = plans.fold_table(frame, lambda df: F.col("sys") * 10 + F.col("n"), lambda a, b: a ^ b).collect()
+    assert {r["sys"]: r["value"] for r in got} == {s: (s * 10 + 1) ^ (s * 10 + 2) ^ (s * 10 + 3) ^ (s * 10) for s in range(40)}
+    assert plans.fold_table(frame, lambda df: F.col("n"), "max", ()).first()["value"] == 3
+    assert plans.fold_table(frame.limit(0), lambda df: F.col("n") + 7, lambda a, b: a + b, ()).first()["value"] == 7
