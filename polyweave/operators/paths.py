@@ -2,7 +2,7 @@
 
 Edges are ``(graph, src, dst)``.  Work is keyed by (graph, vertex), never by graph alone, so
 one very large graph is spread like any other data.  Each round is written to the shared
-checkpoint folder to cut the lineage.
+checkpoint folder to cut the lineage, and deleted when the rounds after it no longer read it.
 """
 
 from __future__ import annotations
@@ -10,42 +10,117 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..plans.enumerate import checkpoint_folder
+from ..plans.enumerate import checkpoint_folder, delete_folder
+
+#: steps of a search made edge by edge before the part of the graph that is left is contracted
+PLAIN_STEPS = 4
 
 
 class Rounds:
     """Numbered Parquet tables of an iteration."""
 
     def __init__(self, spark):
-        self.spark, self.base = spark, checkpoint_folder(spark)
+        self.spark, self.base, self.count = spark, checkpoint_folder(spark), 0
         self.schema = None
 
-    def save(self, df: DataFrame, i: int) -> tuple[DataFrame, int]:
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.base}/round={i}")
+    def save(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """``df`` read back from the table of the next round, and its number of rows."""
+        seen, path = Observation(), f"{self.base}/round={self.count}"
+        self.count += 1
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         self.schema = self.schema or df.schema
-        return self.spark.read.schema(self.schema).parquet(f"{self.base}/round={i}"), seen.get["rows"]
+        return self.spark.read.schema(self.schema).parquet(path), seen.get["rows"]
+
+    def forget(self) -> None:
+        """Delete the table of the round before the last one."""
+        delete_folder(self.spark, f"{self.base}/round={self.count - 2}")
 
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).option("basePath", self.base).parquet(self.base).select(
             *self.schema.names)
 
+    def close(self) -> None:
+        delete_folder(self.spark, self.base)
+
+
+def _same_fate(edges: DataFrame, i: int) -> DataFrame:
+    """``(graph, vertex, to)``: vertices that are reached if and only if ``to`` is, which stays.
+
+    A vertex shares the fate of its only predecessor, and of a neighbour with edges both ways.  Of these it takes
+    the one that comes first in the order of round ``i``, if that comes before itself, so that no cycles arise; up to
+    four of such steps are followed, and who would have to go further stays for the next round.
+    """
+    def place(v):
+        return F.struct(F.xxhash64(F.lit(i), v), F.col(v))
+
+    single = (edges.groupBy("graph", F.col("dst").alias("vertex")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("to"))
+              .where("n = 1").select("graph", "vertex", "to"))
+    both = (edges.groupBy("graph", F.least("src", "dst").alias("vertex"), F.greatest("src", "dst").alias("to"))
+            .agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("graph", "vertex", "to"))
+    either = both.unionByName(both.select("graph", F.col("to").alias("vertex"), F.col("vertex").alias("to")))
+    moves = (single.unionByName(either).where(place("to") < place("vertex"))
+             .groupBy("graph", "vertex").agg(F.min(place("to"))["to"].alias("to")))
+    for _ in range(2):
+        moves = moves.join(moves.select("graph", F.col("vertex").alias("to"), F.col("to").alias("next")), ["graph", "to"], "left") \
+            .select("graph", "vertex", F.coalesce("next", "to").alias("to"))
+    return moves.join(moves.select("graph", F.col("vertex").alias("to")), ["graph", "to"], "left_anti").select("graph", "vertex", "to")
+
+
+def _relabelled(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """``edges`` between the vertices that stay."""
+    for end in ("src", "dst"):
+        edges = edges.join(moves.select("graph", F.col("vertex").alias(end), "to"), ["graph", end], "left") \
+            .withColumn(end, F.coalesce("to", end)).drop("to")
+    return edges.where("src <> dst").select("graph", "src", "dst").distinct()
+
 
 def reachable(edges: DataFrame, starts: DataFrame, forbidden: DataFrame | None = None) -> DataFrame:
-    """``(graph, vertex)`` reached from ``starts (graph, vertex)`` without entering ``forbidden``."""
-    rounds = Rounds(edges.sparkSession)
-    steps = edges.select("graph", F.col("src").alias("vertex"), "dst").distinct()
+    """``(graph, vertex)`` reached from ``starts (graph, vertex)`` without entering ``forbidden``.
+
+    The first ``PLAIN_STEPS`` steps follow the edges.  After them each round also contracts the part that is not
+    reached yet, by vertices that share the fate of another: paths, trees and graphs with edges both ways shrink by a
+    constant factor a round, so rounds grow with the logarithm of the distance there.  Graphs in which no vertex has such
+    another take one round a step.  Rows with a null take no part.
+    """
+    spark = edges.sparkSession
+    steps, fates, left = Rounds(spark), Rounds(spark), Rounds(spark)
+    edges = edges.select("graph", "src", "dst").where("src <> dst").dropna().distinct()
     if forbidden is not None:
-        steps = steps.join(forbidden.select("graph", F.col("vertex").alias("dst")), ["graph", "dst"], "left_anti")
-    steps, _ = Rounds(edges.sparkSession).save(steps, 0)
-    seen, count = rounds.save(starts.select("graph", "vertex").distinct(), 0)
-    frontier, i = seen, 0
+        edges = edges.join(forbidden.select("graph", F.col("vertex").alias("dst")), ["graph", "dst"], "left_anti")
+    edges, _ = left.save(edges.select("graph", "src", "dst"))
+    frontier, count = steps.save(starts.select("graph", "vertex").dropna().distinct())
+
+    def entered():
+        return edges.join(frontier.withColumnRenamed("vertex", "src"), ["graph", "src"], "left_semi").select("graph", F.col("dst").alias("vertex")).distinct()
+
+    def without(vertices):
+        return edges.join(vertices.withColumnRenamed("vertex", "dst"), ["graph", "dst"], "left_anti").select("graph", "src", "dst")
+
+    while count and steps.count <= PLAIN_STEPS:
+        frontier, count = steps.save(entered().join(steps.all(), ["graph", "vertex"], "left_anti"))
+    if count:
+        edges, _ = left.save(without(steps.all()))
+        left.forget()
     while count:
-        i += 1
-        found = frontier.join(steps, ["graph", "vertex"]).select("graph", F.col("dst").alias("vertex")).distinct()
-        frontier, count = rounds.save(found.join(seen, ["graph", "vertex"], "left_anti"), i)
-        seen = rounds.all()
-    return seen
+        frontier, count = steps.save(entered())
+        if not count:
+            break
+        edges = without(frontier)
+        moves, moved = fates.save(_same_fate(edges, steps.count))
+        edges, _ = left.save(_relabelled(edges, moves) if moved else edges)
+        left.forget()
+    seen, moves, depth = steps.all(), fates, 1
+    if fates.count:  # a vertex moves once, to one that moves later or never: follow these moves, twice as far each time
+        moves = fates.all()
+        while depth < fates.count:
+            moves = moves.join(moves.select("graph", F.col("vertex").alias("to"), F.col("to").alias("next")), ["graph", "to"], "left") \
+                .select("graph", "vertex", F.coalesce("next", "to").alias("to"))
+            depth *= 2
+        seen = seen.unionByName(moves.join(seen.withColumnRenamed("vertex", "to"), ["graph", "to"], "left_semi").select("graph", "vertex"))
+    found, _ = Rounds(spark).save(seen)
+    for used in (steps, fates, left):
+        used.close()
+    return found
 
 
 def connected(edges: DataFrame, starts: DataFrame, targets: DataFrame,
@@ -64,19 +139,46 @@ def connected(edges: DataFrame, starts: DataFrame, targets: DataFrame,
 
 
 def simple_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
-    """All simple paths: ``(graph, path)`` for every ``(graph, v, w)`` of ``ends``."""
+    """All simple paths: ``(graph, path)`` for every ``(graph, v, w)`` of ``ends``.
+
+    Only edges that may lie on such a path are followed: see :func:`_leading`.
+    """
     spark = edges.sparkSession
-    steps, _ = Rounds(spark).save(edges.select("graph", F.col("src").alias("at"), "dst").distinct(), 0)
-    rounds = Rounds(spark)
-    start = ends.select("graph", F.col("v").alias("at"), "w", F.array("v").alias("path"),
+    ends = ends.select("graph", "v", "w")
+    steps, rounds = _leading(edges, ends), Rounds(spark)
+    start = ends.select("graph", "v", "w", F.col("v").alias("at"), F.array("v").alias("path"),
                         (F.col("v") == F.col("w")).alias("done"))
-    frontier, count = rounds.save(start, 0)
-    i = 0
+    frontier, count = rounds.save(start)
     while count:
-        i += 1
-        grown = (frontier.where("NOT done").join(steps, ["graph", "at"])
+        grown = (frontier.where("NOT done").join(steps.withColumnRenamed("src", "at"), ["graph", "v", "w", "at"])
                  .where("NOT array_contains(path, dst)")
-                 .select("graph", F.col("dst").alias("at"), "w", F.concat("path", F.array("dst")).alias("path"),
+                 .select("graph", "v", "w", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"),
                          (F.col("dst") == F.col("w")).alias("done")))
-        frontier, count = rounds.save(grown, i)
+        frontier, count = rounds.save(grown)
     return rounds.all().where("done").select("graph", "path")
+
+
+def _leading(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """``(graph, v, w, src, dst)``: the edges that a simple path from ``v`` to ``w`` may use.
+
+    No path enters ``v`` or leaves ``w``; edges to vertices that ``w`` can't be reached from go, and then, again and
+    again, edges that can only be gone back on, so that no path is grown into dead ends of these kinds.
+    """
+    spark, pair = edges.sparkSession, ["graph", "v", "w"]
+    kept = Rounds(spark)
+    steps, _ = kept.save(edges.select("graph", "src", "dst").distinct().join(ends.distinct(), "graph")
+                         .where("src <> dst AND dst <> v AND src <> w").select(*pair, "src", "dst"))
+    named = steps.select(F.struct(*pair).alias("graph"), F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = reachable(named, ends.select(F.struct(*pair).alias("graph"), F.col("w").alias("vertex")))
+    useful = back.select("graph.*", F.col("vertex").alias("dst"))
+    steps, count = kept.save(steps.join(useful, [*pair, "dst"], "left_semi").select(*pair, "src", "dst"))
+    before = None
+    while count and count != before:
+        before = count
+        for here, there, end in (("dst", "src", "w"), ("src", "dst", "v")):
+            on = steps.groupBy(*pair, F.col(there).alias(here)).agg(F.min(here).alias("least"), F.max(here).alias("most"))
+            # a path goes on from ``here`` (or came to it) by another vertex than the one at the other end
+            steps = steps.join(on, [*pair, here], "left").where(f"{here} = {end} OR least <> {there} OR most <> {there}").select(*pair, "src", "dst")
+        steps, count = kept.save(steps)
+        kept.forget()
+    return steps

@@ -139,3 +139,71 @@ def test_least_images_agree_with_the_search(seed):
     found = [g.system_key(shapes, actions, offsets, n, b) for b in both]
     assert [[a == b for b in keys] for a in keys] == [[a == b for b in found] for a in found]
     assert 1 < len(set(keys)) < len(keys)
+
+
+def _reached(edges, starts, walls=()):
+    out, todo = set(starts), list(starts)
+    nexts = {}
+    for g, a, b in edges:
+        nexts.setdefault((g, a), []).append((g, b))
+    while todo:
+        for v in nexts.get(todo.pop(), ()):
+            if v not in out and v not in walls:
+                out.add(v)
+                todo.append(v)
+    return out
+
+
+def test_long_paths_are_reached_in_few_rounds(spark, monkeypatch):
+    from polyweave.operators import paths
+    made = []
+
+    class Counted(paths.Rounds):
+        def save(self, df):
+            made.append(1)
+            return super().save(df)
+
+    monkeypatch.setattr(paths, "Rounds", Counted)
+    line = [(g, k, k + 1) for g in (0, 1) for k in range(1000)]
+    edges = line + [(0, b, a) for g, a, b in line if g == 0] + [(2, k, (k + 1) % 50) for k in range(50)]
+    df = spark.createDataFrame(edges, "graph bigint, src int, dst int")
+    starts = [(0, 500), (1, 3), (2, 7)]
+    walls = [(0, 900), (1, 990)]
+    got = paths.reachable(df, spark.createDataFrame(starts, "graph bigint, vertex int"), spark.createDataFrame(walls, "graph bigint, vertex int")).collect()
+    assert len(got) == len(set(got))
+    assert {(r.graph, r.vertex) for r in got} == _reached(edges, starts, set(walls))
+    assert len(made) < 60  # three tables a round
+
+
+def test_reached_vertices_of_random_graphs(spark):
+    import random
+    from polyweave.operators.paths import reachable
+    rnd, edges, starts, walls = random.Random(5), [], [], []
+    for g in range(120):
+        n = rnd.choice([2, 8, 25, 60])
+        for _ in range(int(n * rnd.choice([0.9, 1.1, 1.5]))):
+            a, b = rnd.randrange(n), rnd.randrange(n)
+            edges += [(g, a, b)] * rnd.choice([1, 2]) + [(g, b, a)] * (rnd.random() < rnd.choice([0, 0.9]))
+        starts += [(g, rnd.randrange(n)) for _ in range(rnd.choice([1, 1, 3]))]
+        walls += [(g, rnd.randrange(n)) for _ in range(rnd.choice([0, 2]))]
+    pairs = "graph bigint, vertex int"
+    got = reachable(spark.createDataFrame(edges + [(None, 1, 2), (0, None, 1)], "graph bigint, src int, dst int"),
+                    spark.createDataFrame(starts, pairs), spark.createDataFrame(walls, pairs)).collect()
+    assert len(got) == len(set(got))
+    assert {(r.graph, r.vertex) for r in got} == _reached(edges, starts, set(walls))
+    assert reachable(spark.createDataFrame([], "graph bigint, src int, dst int"), spark.createDataFrame([], pairs)).count() == 0
+
+
+def test_no_path_is_grown_into_dead_ends(spark):
+    from polyweave.operators.paths import _leading, simple_paths
+    both = [(0, 1), (1, 2), (2, 3), (3, 0)]
+    tree = [(1, 10)] + [(k // 2 + 5, k) for k in range(11, 40)]  # hangs on 1
+    hub = [(2, k) for k in range(100, 130)] + [(k, 3) for k in range(100, 130)]
+    one_way = [(0, 500)] + [(k, k + 1) for k in range(500, 520)]
+    edges = [(0, a, b) for a, b in both + tree + hub] + [(0, b, a) for a, b in both + tree] + [(0, a, b) for a, b in one_way]
+    df = spark.createDataFrame(edges, "graph bigint, src int, dst int")
+    ends = spark.createDataFrame([(0, 0, 3), (0, 1, 1)], "graph bigint, v int, w int")
+    used = {(r.src, r.dst) for r in _leading(df, ends).where("v = 0").collect()}
+    assert used == {(0, 1), (1, 2), (2, 3), (0, 3)} | set(hub)
+    want = [(0, 1, 2, 3), (0, 3), (1,)] + [(0, 1, 2, k, 3) for k in range(100, 130)]
+    assert sorted(tuple(r.path) for r in simple_paths(df, ends).collect()) == sorted(want)
