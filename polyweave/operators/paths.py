@@ -14,6 +14,8 @@ from ..plans.enumerate import checkpoint_folder, delete_folder
 
 #: steps of a search made edge by edge before the part of the graph that is left is contracted
 PLAIN_STEPS = 4
+#: share of the edges that a round of pruning has to remove for another one to be made
+WORTH = 0.02
 
 
 class Rounds:
@@ -162,7 +164,7 @@ def _leading(edges: DataFrame, ends: DataFrame) -> DataFrame:
     """``(graph, v, w, src, dst)``: the edges that a simple path from ``v`` to ``w`` may use.
 
     No path enters ``v`` or leaves ``w``; edges to vertices that ``w`` can't be reached from go, and then, again and
-    again, edges that can only be gone back on, so that no path is grown into dead ends of these kinds.
+    again, edges that can only be gone back on, so that paths are not grown into dead ends of these kinds.
     """
     spark, pair = edges.sparkSession, ["graph", "v", "w"]
     kept = Rounds(spark)
@@ -172,8 +174,8 @@ def _leading(edges: DataFrame, ends: DataFrame) -> DataFrame:
     back = reachable(named, ends.select(F.struct(*pair).alias("graph"), F.col("w").alias("vertex")))
     useful = back.select("graph.*", F.col("vertex").alias("dst"))
     steps, count = kept.save(steps.join(useful, [*pair, "dst"], "left_semi").select(*pair, "src", "dst"))
-    before = None
-    while count and count != before:
+    before = 2 * count
+    while count < (1 - WORTH) * before:
         before = count
         for here, there, end in (("dst", "src", "w"), ("src", "dst", "v")):
             on = steps.groupBy(*pair, F.col(there).alias(here)).agg(F.min(here).alias("least"), F.max(here).alias("most"))

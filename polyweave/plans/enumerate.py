@@ -275,7 +275,7 @@ def enumerate_levels(catalog: SystemCatalog, strategy: str, max_size: int | None
     """Grow sizes 1, 2, ... until nothing is left or a limit is hit.
 
     ``rejector`` maps a DataFrame of structures to an integer column: 0 keep, 1 keep but do
-    not grow, 2 drop, 3 keep and stop after this size.  ``max_strs`` counts the structures of all systems together,
+    not grow, 2 drop, 3 keep and grow no more of its system after this size; other systems go on.  ``max_strs`` counts the structures of all systems together,
     ``each_system`` those of every system by itself: a system that has as many grows no further, and the smallest of its
     structures stay, those of one size in order of their canonical arrays.  In a catalog systems with the same rules are grown once and
     structures that several systems have are placed and named once, see ``SharedShapes``; not with a rejector,
@@ -313,12 +313,17 @@ def enumerate_levels(catalog: SystemCatalog, strategy: str, max_size: int | None
         got = seen.get
         counts[n] = got["structures"] or 0
         total = sum(counts.values())
-        if (got["worst"] or 0) >= STOP or (max_strs is not None and total >= max_strs and (search or got["growing"])):
+        ends = (got["worst"] or 0) >= STOP
+        stopped = stopped or ends
+        if max_strs is not None and total >= max_strs and (search or got["growing"]):
             stopped = True
             break
-        if not got["growing"] or (max_size is not None and n >= max_size):
+        if not got["growing"] or (ends and rules.literal) or (max_size is not None and n >= max_size):
             break
-        frontier = spark.read.schema(schema).parquet(path).where(F.col("verdict") == KEEP).drop("verdict", "key")
+        written = spark.read.schema(schema).parquet(path)
+        frontier = written.where(F.col("verdict") == KEEP).drop("verdict", "key")
+        if ends:
+            frontier = frontier.join(written.where(F.col("verdict") == STOP).select("sys").distinct(), "sys", "left_anti")
         frontier = rules.attached(spread(_unfinished(frontier, levels, schema, each_system), got["growing"]))
         level = growth.named(growth.children(frontier, catalog, n, once="orbit" if search else "first", keep=["w"]), lib, search)
         if not search:

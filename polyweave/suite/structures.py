@@ -101,6 +101,18 @@ def polyenum_reject(spark, folder):
     return counts_by_size(polyenum(tables.talk_systems(spark, folder), max_size=4, rejector=twice).structures)
 
 
+def polyenum_leaf(spark, folder):
+    """Count, but do not grow, structures of the largest size that their system is given."""
+    leaf = lambda df: F.when(F.col("n") == F.col("sys") % 3 + 1, 1).otherwise(0)
+    return counts_by_size(polyenum(tables.talk_systems(spark, folder), max_size=4, rejector=leaf).structures)
+
+
+def polyenum_stop(spark, folder):
+    """Each system ends with the first size that has a structure with two blocks of species 1."""
+    twice = lambda df: F.when(F.size(F.filter("species", lambda s: s == 1)) > 1, 3).otherwise(0)
+    return counts_by_size(polyenum(tables.talk_systems(spark, folder), max_size=4, rejector=twice).structures)
+
+
 def polygen_callback(spark, folder):
     """Map every structure to its number of open sites, then count."""
     return polygen(tables.day_systems(spark, folder), max_size=3, callback=lambda df: df.select(
@@ -113,6 +125,11 @@ def polygen_max_strs(spark, folder):
         F.count(F.lit(1)).alias("structures"))
 
 
+def polygen_max_strs_systems(spark, folder):
+    """Which systems the first 1,000 structures belong to, in order of size and system; blocks always stay."""
+    return counts_by_size(polygen(tables.talk_systems(spark, folder), max_size=4, max_strs=1000))
+
+
 def polygen_limit_each(spark, folder):
     """At most 25 structures of every system, of which the blocks always stay."""
     found = polygen(tables.day_systems(spark, folder), max_size=3, each_system=25)
@@ -399,6 +416,15 @@ QUERIES = {
         FILTERED.format("len([1 for e in cells if e[4] = 2]) = 0"))),
     "polyenum_reject": (polyenum_reject, recursive(TALK, "talk", 4,
         FILTERED.format("len([1 for e in cells if e[4] = 1]) < 2"))),
+    "polyenum_leaf": (polyenum_leaf, recursive(TALK, "talk", 4,
+        "SELECT sys, n, count(*) AS structures FROM forms WHERE n <= sys % 3 + 1 GROUP BY sys, n")),
+    "polyenum_stop": (polyenum_stop, recursive(TALK, "talk", 4, """
+SELECT sys, n, count(*) AS structures
+FROM (SELECT sys, n, min(CASE WHEN len([1 for e in cells if e[4] = 1]) > 1 THEN n END) OVER (PARTITION BY sys) AS last FROM forms)
+WHERE n <= coalesce(last, n) GROUP BY sys, n""")),
+    "polygen_max_strs_systems": (polygen_max_strs_systems, recursive(TALK, "talk", 4, """
+SELECT sys, n, count(*) AS structures FROM (SELECT sys, n, row_number() OVER (ORDER BY n, sys) AS k FROM forms)
+WHERE k <= 1000 OR n = 1 GROUP BY sys, n""")),
     "polygen_callback": (polygen_callback, recursive(DAY, "day", 3,
         f"SELECT sys, open_sites, count(*) AS structures FROM (SELECT sys, 6 * n - "
         f"{CONTACTS.format([list(s) for s in DAY.steps])} AS open_sites FROM forms) GROUP BY sys, open_sites")),

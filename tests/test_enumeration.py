@@ -271,3 +271,13 @@ def test_folds_of_any_function_by_system(spark, monkeypatch):
     assert {r["sys"]: r["value"] for r in got} == {s: (s * 10 + 1) ^ (s * 10 + 2) ^ (s * 10 + 3) ^ (s * 10) for s in range(40)}
     assert plans.fold_table(frame, lambda df: F.col("n"), "max", ()).first()["value"] == 3
     assert plans.fold_table(frame.limit(0), lambda df: F.col("n") + 7, lambda a, b: a + b, ()).first()["value"] == 7
+
+
+def test_a_stop_ends_its_own_system(spark):
+    from polyweave.sources import tables
+    catalog = tables.talk_systems(spark, "/root/testdata/sf0.001")
+    count = lambda df: {(r["sys"], r["n"]): r["count"] for r in df.groupBy("sys", "n").count().collect()}
+    whole = count(polyenum(catalog, max_size=4).structures)
+    run = polyenum(catalog, max_size=4, rejector=lambda df: F.when(F.col("n") == F.col("sys") % 4 + 1, 3).otherwise(0))
+    assert run.broke and count(run.structures) == {(s, n): c for (s, n), c in whole.items() if n <= s % 4 + 1}
+    assert {n for _, n in whole} == {1, 2, 3, 4} and run.n_structures < sum(whole.values())
