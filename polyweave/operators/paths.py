@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..plans.enumerate import checkpoint_folder, delete_folder
 
-#: steps of a search made edge by edge before the part of the graph that is left is contracted
-PLAIN_STEPS = 4
+#: steps of a search made edge by edge before the part of the graph that is left is contracted; a round of that costs
+#: about five such steps
+PLAIN_STEPS = 12
 #: share of the edges that a round of pruning has to remove for another one to be made
-WORTH = 0.02
+WORTH = 0.1
 
 
 class Rounds:

@@ -175,9 +175,11 @@ def test_long_paths_are_reached_in_few_rounds(spark, monkeypatch):
     assert len(made) < 60  # three tables a round
 
 
-def test_reached_vertices_of_random_graphs(spark):
+def test_reached_vertices_of_random_graphs(spark, monkeypatch):
     import random
+    from polyweave.operators import paths
     from polyweave.operators.paths import reachable
+    monkeypatch.setattr(paths, "PLAIN_STEPS", 2)  # contract small graphs as well
     rnd, edges, starts, walls = random.Random(5), [], [], []
     for g in range(120):
         n = rnd.choice([2, 8, 25, 60])
@@ -194,8 +196,10 @@ def test_reached_vertices_of_random_graphs(spark):
     assert reachable(spark.createDataFrame([], "graph bigint, src int, dst int"), spark.createDataFrame([], pairs)).count() == 0
 
 
-def test_no_path_is_grown_into_dead_ends(spark):
+def test_no_path_is_grown_into_dead_ends(spark, monkeypatch):
+    from polyweave.operators import paths
     from polyweave.operators.paths import _leading, simple_paths
+    monkeypatch.setattr(paths, "WORTH", 0)  # prune to the end, however little a round removes
     both = [(0, 1), (1, 2), (2, 3), (3, 0)]
     tree = [(1, 10)] + [(k // 2 + 5, k) for k in range(11, 40)]  # hangs on 1
     hub = [(2, k) for k in range(100, 130)] + [(k, 3) for k in range(100, 130)]
@@ -205,5 +209,6 @@ def test_no_path_is_grown_into_dead_ends(spark):
     ends = spark.createDataFrame([(0, 0, 3), (0, 1, 1)], "graph bigint, v int, w int")
     used = {(r.src, r.dst) for r in _leading(df, ends).where("v = 0").collect()}
     assert used == {(0, 1), (1, 2), (2, 3), (0, 3)} | set(hub)
+    monkeypatch.undo()
     want = [(0, 1, 2, 3), (0, 3), (1,)] + [(0, 1, 2, k, 3) for k in range(100, 130)]
     assert sorted(tuple(r.path) for r in simple_paths(df, ends).collect()) == sorted(want)
