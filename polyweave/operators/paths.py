@@ -175,6 +175,7 @@ def _leading(edges: DataFrame, ends: DataFrame) -> DataFrame:
     back = reachable(named, ends.select(F.struct(*pair).alias("graph"), F.col("w").alias("vertex")))
     useful = back.select("graph.*", F.col("vertex").alias("dst"))
     steps, count = kept.save(steps.join(useful, [*pair, "dst"], "left_semi").select(*pair, "src", "dst"))
+    kept.forget()
     before = 2 * count
     while count < (1 - WORTH) * before:
         before = count
