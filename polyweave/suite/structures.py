@@ -338,12 +338,26 @@ def symmetry_number(spark, folder):
     return rows.groupBy("sys", "n", "sigma").agg(F.count(F.lit(1)).alias("structures"))
 
 
+def _contained(few: str, many: str) -> str:
+    """No value stands more often in array ``few`` than in ``many``."""
+    return f"forall({few}, v -> size(filter({few}, x -> x = v)) <= size(filter({many}, x -> x = v)))"
+
+
 def canonical_parent(spark, folder):
-    """Every structure's canonical parent is itself one of the structures, one block smaller."""
+    """Every structure's canonical parent is one of the structures, one block smaller, of its blocks and bonds."""
     catalog = tables.talk_systems(spark, folder)
     found = polygen(catalog, max_size=4).select("sys", "n", "species", "partner")
-    up = comp.parents(found.where("n > 1"), catalog.library)
-    return up.join(found, ["sys", "n", "species", "partner"]).groupBy("sys", "n").agg(
+
+    def label(slot):
+        return f"(species[({slot} - 1) div 4] * 4 + ({slot} - 1) % 4)"
+
+    # each bond as the labels of its two faces, the lesser first
+    bonds = (f"transform(filter(sequence(1, size(partner)), i -> partner[i - 1] > i), "
+             f"i -> least({label('i')}, {label('partner[i - 1]')}) * 1000 + greatest({label('i')}, {label('partner[i - 1]')}))")
+    children = found.where("n > 1").selectExpr("*", "species AS blocks", f"{bonds} AS bonds")
+    up = comp.parents(children, catalog.library).selectExpr("*", f"{bonds} AS kept")
+    parts = up.where(f"{_contained('species', 'blocks')} AND {_contained('kept', 'bonds')} AND size(kept) < size(bonds)")
+    return parts.join(found, ["sys", "n", "species", "partner"]).groupBy("sys", "n").agg(
         F.count(F.lit(1)).alias("children"))
 
 
