@@ -118,6 +118,63 @@ def cube(half_edge: float = 1.0, name: str = "cube") -> Shape:
         edges=tuple(cycles + links))
 
 
+#: relative difference of lengths that still count as equal
+SAME_LENGTH = 1e-6
+
+
+def polygon_of(corners, name: str = "corners") -> Shape:
+    """Convex polygon with the given corners, in either sense of rotation; its centroid becomes the centre.
+
+    Site i is the middle of the edge from corner i to the next.  A block attached there turns its own edge
+    against it, so the middles of the two edges meet; edges of different lengths may be joined.
+    """
+    c = np.array([tuple(p)[:2] for p in corners], float)
+    if len(c) < 3 or not np.isfinite(c).all():
+        raise ValueError(f"shape {name} needs at least three corners with finite coordinates")
+    after = np.roll(c, -1, axis=0)
+    edge, size = after - c, np.abs(c - c.mean(axis=0)).max()
+    bend = edge[:, 0] * np.roll(edge, -1, axis=0)[:, 1] - edge[:, 1] * np.roll(edge, -1, axis=0)[:, 0]
+    sense = np.sign(bend.sum())
+    outer = np.arctan2(edge[:, 1], edge[:, 0]) / pi - sense / 2   # half-turns, direction of the outward normal
+    swept = np.mod(sense * np.diff(outer, append=outer[:1]), 2).sum()
+    if not size or (sense * bend <= SAME_LENGTH * size * size).any() or abs(swept - 2) > 0.5:
+        raise ValueError(f"the corners of shape {name} are not those of a convex polygon, in order")
+    area = c[:, 0] * after[:, 1] - c[:, 1] * after[:, 0]
+    c = c - ((c + after) * area[:, None]).sum(axis=0) / (3 * area.sum())
+    middle, n = (c + np.roll(c, -1, axis=0)) / 2, len(c)
+    spatial = lambda points: tuple((float(x), float(y), 0.0) for x, y in points)
+    forward = [(i, i % n + 1) for i in range(1, n + 1)]
+    return Shape(
+        name, 2, sites=spatial(middle),
+        refs=tuple(turn_z(-0.5 - u) for u in outer),
+        turns=tuple(turn_z(1.5 + u) for u in outer),
+        corners=spatial(c), site_vertices=(1,) * n,
+        edges=tuple(forward if sense < 0 else [(b, a) for a, b in forward]),   # always clockwise
+        r_min=float((middle[:, 0] * np.cos(pi * outer) + middle[:, 1] * np.sin(pi * outer)).min()))
+
+
+def box(half_x: float, half_y: float, half_z: float, name: str = "box") -> Shape:
+    """Axis-aligned box with a binding site on each face, numbered, turned and linked as those of the cube."""
+    half, unit = (float(half_x), float(half_y), float(half_z)), cube()
+    if not all(0 < h < float("inf") for h in half):
+        raise ValueError(f"shape {name} needs positive, finite edges")
+    scaled = lambda points: tuple(tuple(h * c for h, c in zip(half, p)) for p in points)
+    return Shape(name, 3, sites=scaled(unit.sites), refs=unit.refs, turns=unit.turns, corners=scaled(unit.corners),
+                 site_vertices=unit.site_vertices, edges=unit.edges)
+
+
+def box_of(corners, name: str = "corners") -> Shape:
+    """The box with the given eight corners, in any order; its edges must lie along the axes."""
+    c = np.array([tuple(p) for p in corners], float)
+    if c.shape != (8, 3) or not np.isfinite(c).all():
+        raise ValueError(f"shape {name} needs eight corners with finite coordinates")
+    low, high = c.min(axis=0), c.max(axis=0)
+    upper = c > (low + high) / 2
+    if np.abs(c - np.where(upper, high, low)).max() > SAME_LENGTH * (high - low).max() or len(set(map(tuple, upper))) < 8:
+        raise ValueError(f"the corners of shape {name} are not those of a box along the axes")
+    return box(*((high - low) / 2), name=name)
+
+
 def polyhedron(kind: str, size: float = 1.0) -> Shape:
     if kind != "cube":
         raise ValueError(f"shape {kind} is not supported")
@@ -154,6 +211,26 @@ def graph_symmetries(n_vertices: int, edges) -> list[tuple]:
     return found
 
 
+def block_symmetries(shape: Shape) -> list[tuple]:
+    """The symmetries of a block's template graph that a rotation of the block carries out: its rotation group.
+
+    Of a square all four turns of the graph are, of another rectangle two, of an irregular polygon one.
+    """
+    sites, corners = (np.array(p, float)[:, :shape.dim] for p in (shape.sites, shape.corners))
+    owner = np.repeat(np.arange(shape.n_sites), shape.site_vertices)
+    firsts = np.cumsum([0, *shape.site_vertices[:-1]])
+    slack, found = 1e-6 + SAME_LENGTH * shape.r_max, []
+    for h in graph_symmetries(shape.n_vertices, shape.edges):
+        image = sites[owner[np.array(h)[firsts]]]
+        u, _, v = np.linalg.svd(sites.T @ image)
+        u[:, -1] *= np.linalg.det(u @ v)                     # the nearest rotation, never a mirror image
+        moved = corners @ (u @ v)
+        near = np.abs(moved[:, None] - corners[None]).max(axis=2).min(axis=1)
+        if np.abs(sites @ (u @ v) - image).max() < slack and near.max() < slack:
+            found.append(h)
+    return found
+
+
 class BlockLibrary:
     """Ordered block types with their site labels, colours and symmetry tables.
 
@@ -276,7 +353,7 @@ class BlockLibrary:
         cache: dict = {}
         for i, s in enumerate(self.shapes):
             if s not in cache:
-                cache[s] = graph_symmetries(s.n_vertices, s.edges)
+                cache[s] = block_symmetries(s)
             colors = list(zip(self.vertex_colors[i], np.repeat(self.classes[i], s.site_vertices).tolist()))
             group = [h for h in cache[s] if all(colors[v] == colors[h[v]] for v in range(s.n_vertices))]
             site_of = np.repeat(np.arange(s.n_sites), s.site_vertices)

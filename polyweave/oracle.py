@@ -169,6 +169,39 @@ forms AS (SELECT sys, n, cells FROM lv)"""
         return f"len([1 for z in {self.variants()} if z = cells])"
 
 
+def boxes(bonds: str, axis_of_site: list[int], max_size: int) -> str:
+    """CTEs ending in ``forms(sys, n, cells)`` for boxes (rectangles with two axes) whose edges differ and whose
+    opposite faces are alike.  A bond row lets two species touch across the axis of ``site_i``; a cell is
+    ``[a, b, (c,) species]`` and structures are the same up to half-turns of the box and shifts."""
+    dim = max(axis_of_site)
+    steps = [[s * (i == axis) for i in range(dim)] for axis in range(dim) for s in (1, -1)]   # two a axis, in order
+    s = dim + 1
+    delta = ", ".join(f"f[{i + 1}] - e[{i + 1}]" for i in range(dim))
+    axis = f"(list_position({steps}, [{delta}]) + 1) // 2"
+    signs = [(1, 1), (-1, -1)] if dim == 2 else [(1, 1, 1), (-1, -1, 1), (1, -1, -1), (-1, 1, -1)]
+    images = ", ".join(f"list_sort([[{', '.join(f'{v} * e[{i + 1}]' for i, v in enumerate(sg))}, e[{s}]] for e in cells])" for sg in signs)
+    shift = ", ".join(f"e[{i + 1}] - q[1][{i + 1}]" for i in range(dim))
+    moved = ", ".join(f"c[{i + 1}] + {steps}[d][{i + 1}]" for i in range(dim))
+    return f"""
+bonds AS ({bonds}),
+top AS (SELECT sys, max(greatest(species_i, species_j)) AS n_species FROM bonds GROUP BY sys),
+pairs AS (SELECT sys, {axis_of_site}[site_i] AS axis, species_i AS a, species_j AS b FROM bonds
+          UNION SELECT sys, {axis_of_site}[site_i], species_j, species_i FROM bonds),
+rules AS (SELECT sys, list(axis * 10000 + a * 100 + b) AS codes FROM pairs GROUP BY sys),
+lv(sys, n, cells) AS (
+  SELECT sys, 1, [[{', '.join(['0'] * dim)}, k]] FROM (SELECT sys, unnest(range(1, n_species + 1)) AS k FROM top)
+  UNION
+  SELECT sys, n + 1, list_min([[[{shift}, e[{s}]] for e in q] for q in [{images}]]) FROM (
+    SELECT sys, n, list_append(cells, f) AS cells FROM (
+      SELECT o.sys, o.n, o.cells, o.codes, [{moved}, r.b] AS f
+      FROM (SELECT lv.sys, n, cells, codes, unnest(cells) AS c FROM lv JOIN rules ON rules.sys = lv.sys WHERE n < {max_size}) o
+      JOIN pairs r ON r.sys = o.sys AND r.a = o.c[{s}], range(1, {2 * dim + 1}) t(d) WHERE (d + 1) // 2 = r.axis)
+    WHERE len([1 for e in cells if [{delta}] = {[0] * dim}]) = 0
+      AND len([1 for e in cells if list_contains({steps}, [{delta}]) AND NOT list_contains(codes, {axis} * 10000 + e[{s}] * 100 + f[{s}])]) = 0)
+),
+forms AS (SELECT sys, n, cells FROM lv)"""
+
+
 SOURCES = {
     "order": ("lineitem", ORDER_BOND),
     "customer": ("orders", CUSTOMER_BOND),
