@@ -13,7 +13,6 @@ places where the next one may begin have it behind them, so the lookahead is bou
 from __future__ import annotations
 
 import base64
-import codecs
 from array import array
 from typing import Iterator
 
@@ -218,24 +217,88 @@ def little(ids: bytes) -> bytes:
     return values.tobytes()
 
 
+def utf8_steps() -> dict[tuple, dict[int, tuple]]:
+    """Steps of the UTF-8 machine: state -> byte -> state.  A state is the range that the next byte
+    must lie in and the number of bytes after that one; ``START`` is the end of a character."""
+    tail = lambda left: (0x80, 0xBF, left)
+    # fixed values: lead bytes of characters of two to four bytes and the range of their second byte
+    leads = {(0xC2, 0xDF): tail(0), (0xE0, 0xE0): (0xA0, 0xBF, 1), (0xE1, 0xEC): tail(1), (0xED, 0xED): (0x80, 0x9F, 1), (0xEE, 0xEF): tail(1),
+             (0xF0, 0xF0): (0x90, 0xBF, 2), (0xF1, 0xF3): tail(2), (0xF4, 0xF4): (0x80, 0x8F, 2)}
+    steps = {START: {**dict.fromkeys(range(0x80), START), **{b: state for (low, high), state in leads.items() for b in range(low, high + 1)}}}
+    for low, high, left in {*leads.values(), tail(0), tail(1)}:
+        steps[low, high, left] = dict.fromkeys(range(low, high + 1), tail(left - 1) if left else START)
+    return steps
+
+
+START = ()
+STEPS = utf8_steps()
+REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
+
+
+def characters(data: bytes) -> tuple[str, bytes]:
+    """The characters of ``data`` and the bytes at its end that may begin another.  Each longest run
+    of bytes that begins a character but does not end one is U+FFFD, as is a byte that begins none."""
+    out, state, begin, value = [], START, 0, 0
+    for i, byte in enumerate(data):
+        new = STEPS[state].get(byte)
+        if new is None and state != START:
+            out.append(REPLACEMENT)
+            state, new = START, STEPS[START].get(byte)
+        if state == START:
+            begin, value = i, byte if byte < 0x80 else byte & (0x3F >> (new[2] + 1 if new else 0))
+        else:
+            value = value << 6 | byte & 0x3F
+        if new is None:
+            out.append(REPLACEMENT)
+        elif new == START:
+            out.append(chr(value))
+        state = new or START
+    return "".join(out), data[begin:] if state != START else b""
+
+
 class StreamDecoder:
     """Bytes and text of ids that come in runs; a character may be cut by the end of a run.
 
-    The UTF-8 machine keeps the open bytes of a character between runs.  Bytes that are no
-    UTF-8 become U+FFFD in the text; the bytes themselves stay as they are.
+    The machine's state is the open bytes of a character.  What a token adds to the text in a state,
+    and the state after it, is worked out by the UTF-8 steps when first met and kept.  Bytes that are
+    no UTF-8 become U+FFFD in the text; the bytes themselves stay as they are.
     """
 
     def __init__(self, names: list[bytes]):
-        self.names, self.machine = names, codecs.getincrementaldecoder("utf-8")("replace")
+        self.names, self.nodes, self.kept = names, {}, 0
+        self.node = self._node(b"")
+
+    def _node(self, still: bytes) -> dict:
+        """Steps from a state: id -> (text, steps of the next state); -1 -> its open bytes."""
+        return self.nodes.setdefault(still, {-1: still})
+
+    def _step(self, node: dict, token: int) -> tuple[str, dict]:
+        text, still = characters(node[-1] + self.names[token])
+        if self.kept >= PAIRS:  # the node itself is still in use
+            self.nodes, self.kept = {}, 0
+        node[token] = found = text, self._node(still)
+        self.kept += 1
+        return found
 
     def bytes(self, ids) -> bytes:
         return b"".join(map(self.names.__getitem__, ids))
 
     def feed(self, ids) -> str:
-        return self.machine.decode(self.bytes(ids))
+        out, node = [], self.node
+        for token in ids:
+            text, node = node.get(token) or self._step(node, token)
+            out.append(text)
+        self.node = node
+        return "".join(out)
 
     def end(self) -> str:
-        return self.machine.decode(b"", True)
+        """What is left of a cut character; the decoder is then at the start of another text."""
+        cut, self.node = self.node[-1], self._node(b"")
+        return REPLACEMENT if cut else ""
+
+    def text(self, ids: array) -> str:
+        """Text of all ids, ``RUN`` at a time."""
+        return "".join([*(self.feed(ids[i:i + RUN]) for i in range(0, len(ids), RUN)), self.end()])
 
 
 def names_of(ranks: dict[bytes, int]) -> list[bytes]:
@@ -284,14 +347,10 @@ def _decoded(ids, ranks_path, kind):
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = names_of(load_ranks(ranks_path))
+        stream = StreamDecoder(names_of(load_ranks(ranks_path)))
 
         def one(packed):
-            if packed is None:
-                return None
-            stream, values = StreamDecoder(names), unpacked(packed)
-            runs = (values[i:i + RUN] for i in range(0, len(values), RUN))
-            return "".join([*map(stream.feed, runs), stream.end()]) if as_text else b"".join(map(stream.bytes, runs))
+            return None if packed is None else stream.text(unpacked(packed)) if as_text else stream.bytes(unpacked(packed))
 
         for batch in batches:
             yield by_slices(one, pa.string() if as_text else pa.binary(), batch)
@@ -306,15 +365,16 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """``(doc_id, ids, decoded)``: packed ids of whole texts and the bytes they decode to."""
+    """``(doc_id, ids, decoded)``: packed ids of whole texts and the bytes of the text that the stream
+    machine reads from the ids."""
     def run(batches):
         ranks = load_ranks(ranks_path)
-        encoder, names = Encoder(ranks, pattern), names_of(ranks)
+        encoder, stream = Encoder(ranks, pattern), StreamDecoder(names_of(ranks))
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 ids = [encoder(t) for t in part.column(1).to_pylist()]
-                back = [b"".join(map(names.__getitem__, unpacked(i))) for i in ids]
+                back = [stream.text(unpacked(i)).encode() for i in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())],
                                                  ["doc_id", "ids", "decoded"])
 

@@ -1,3 +1,4 @@
+import codecs
 import hashlib
 import random
 import struct
@@ -64,6 +65,19 @@ def test_streams_may_cut_characters():
     assert broken.feed([RANKS[b"\xe4"]]) + broken.end() == "�"
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.binary(max_size=40) | st.lists(st.sampled_from([b"\xe0", b"\xed", b"\xf0", b"\xf4", b"\xf5", b"\xc1", b"\xc2", b"\x80", b"\x9f", b"\xa0", b"\x8f",
+                                                       b"\x90", b"\xbf", b"a"]), max_size=12).map(b"".join), st.integers(0, 40), st.booleans())
+def test_stream_machine_reads_any_bytes(data, cut, few):
+    """As the standard library does, in two runs and with or without kept steps."""
+    stream = bpe.StreamDecoder([bytes([b]) for b in range(256)])
+    stream.kept = bpe.PAIRS if few else 0
+    for _ in range(2):  # a decoder can be used again
+        assert stream.feed(data[:cut]) + stream.feed(data[cut:]) + stream.end() == data.decode("utf-8", "replace")
+    plain, half = codecs.getincrementaldecoder("utf-8")("replace"), bpe.StreamDecoder([bytes([b]) for b in range(256)])
+    assert half.feed(data[:cut]) == plain.decode(data[:cut])
+
+
 def test_query_against_the_public_library(spark, small, texts):
     got = queries.op9_bpe(spark, small).collect()
     assert len(got) == len(texts)
