@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import by_slices, settle, text_bytes
 
@@ -143,20 +145,28 @@ def without(text: bytes, spans) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _groups(items: DataFrame, item_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """Items in groups of at most ``item_bytes`` (one longer item is a group of its own).
+#: bounds of item text that a task sorts to deal items to groups
+DEALT = 4
 
-    A prefix sum over groups of items, made where the items are, gives every item its group; each
-    group is fetched alone, so the driver never holds more than one bound of text at a time.
+
+def _groups(items: DataFrame, item_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """Number of groups of items, and the groups, each fetched when it is asked for.
+
+    A group has less than ``item_bytes`` of text before its last item.  Repeated rows count once.  Items are dealt by hash to
+    parts of a few bounds; within a part, running sums give every item its group.  Only the groups' numbers and the
+    text of one group at a time are in the driver.
     """
-    rows = items.select(F.col("item_id").cast("string").alias("item"), text_bytes("text").alias("text"))
-    total = rows.agg(F.sum(F.length("text") + 64)).first()[0] or 0
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_bytes("text").alias("text")).distinct()
+    size = F.length("text") + 64
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    read = lambda part: [(r["item"], bytes(r["text"])) for r in part.select("item", "text").toLocalIterator()]
     if total <= item_bytes:
-        return [[(r["item"], bytes(r["text"])) for r in rows.collect()]]
-    n = -(-2 * total // item_bytes)
-    dealt = settle(rows.withColumn("g", F.pmod(F.xxhash64("item", "text"), F.lit(n))))
-    return [[(r["item"], bytes(r["text"])) for r in dealt.where(F.col("g") == g).select("item", "text").toLocalIterator()]
-            for g in range(n)]
+        return 1, iter([read(rows)])
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(-(-total // (DEALT * item_bytes)))))
+    before = F.sum(size).over(Window.partitionBy("part").orderBy("item", "text")) - size
+    dealt = settle(dealt.withColumn("nth", F.floor(before / item_bytes)))
+    names = [tuple(r) for r in dealt.select("part", "nth").distinct().orderBy("part", "nth").collect()]
+    return len(names), (read(dealt.where((F.col("part") == part) & (F.col("nth") == nth))) for part, nth in names)
 
 
 def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text",
@@ -168,7 +178,7 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str
     items without words hit nothing; items with a null id are named ''.  Rows are kept as they
     are, repeated or not, and columns that clash with the new ones are replaced.
 
-    What goes to the tasks is at most ``item_bytes`` of item text at a time (1 MB makes an automaton
+    What goes to the tasks is at most ``item_bytes`` of item text and one item at a time (1 MB makes an automaton
     of about 130 MB); larger item tables are taken in several passes over the documents.
     """
     added = ("n_words", "spans", "items")
@@ -176,10 +186,10 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str
                       (text_bytes(text_col) if text_col != "__text" else F.col("__text")).alias("__text"))
     kinds = {"n_words": "long", "spans": "array<struct<start:int,end:int>>", "items": "array<string>"}
     span_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    groups = _groups(items, item_bytes)
+    n_groups, groups = _groups(items, item_bytes)
     for g, group in enumerate(groups):
-        shared = docs.sparkSession.sparkContext.broadcast([(name or "", text) for name, text in group])
-        kept = [f for f in out.schema if f.name not in added and (f.name != "__text" or g + 1 < len(groups))]
+        shared, group = docs.sparkSession.sparkContext.broadcast(group), None
+        kept = [f for f in out.schema if f.name not in added and (f.name != "__text" or g + 1 < n_groups)]
 
         def run(batches, shared=shared, kept=[f.name for f in kept]):  # noqa: B006
             automaton = ItemAutomaton(shared.value, window)
@@ -198,8 +208,9 @@ def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str
 
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{c} {k}" for c, k in kinds.items()]
         out = out.mapInArrow(run, ", ".join(fields))
-        if g + 1 < len(groups):  # one automaton in a worker at a time
+        if g + 1 < n_groups:  # one automaton in a worker at a time, and no pass is run again
             out = settle(out)
+            shared.destroy()
     return out
 
 

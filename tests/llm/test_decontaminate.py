@@ -68,6 +68,20 @@ def test_odd_rows(spark, item_bytes):
     assert dc.normal_words(kept[4]["text"].encode())[39:42] == [b"w39", b"w60", b"w61"]
 
 
+def test_item_groups_are_bounded_and_whole(spark):
+    """Also where one item is long and a third of all rows are copies of one."""
+    rows = [(k, f"item {k} " + "word " * (k % 9), 0) for k in range(200)] + [(1000, "long " * 400, 0)] + [(7, "copy " * 5, 0)] * 100
+    items = spark.createDataFrame(rows, ITEMS)
+    n, groups = dc._groups(items, 1000)
+    groups = list(groups)
+    assert n == len(groups) and sorted(i for g in groups for i in g) == sorted({(str(k), t.encode()) for k, t, _ in rows})
+    for group in groups:
+        sizes = [len(t) + 64 for _, t in sorted(group)]
+        assert sum(sizes[:-1]) < 1000
+    assert n < 2 * sum(len(t) + 64 for _, t in {(k, t) for k, t, _ in rows}) / 1000
+    assert dc._groups(items, 10 ** 6)[0] == 1
+
+
 def test_empty_tables(spark):
     docs, items = odd(spark)
     no_items = spark.createDataFrame([], T._parse_datatype_string(ITEMS))
