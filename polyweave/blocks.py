@@ -273,6 +273,8 @@ class BlockLibrary:
         self.tables = self._tables()
         #: sites are pairwise distinguishable
         self.distinct_sites = all(len(r) == 1 for r in self.tables.roots)
+        #: two bonds that fill the same place may leave a block in different orientations: in space, unless all look alike
+        self.twists = self.dim == 3 and any(len(r) < s.n_vertices for r, s in zip(self.tables.roots, self.shapes))
         #: canonical arrays are their own exact key: nothing looks alike, or every site is one vertex and can be renumbered
         self.exact_arrays = self.distinct_sites or self.tables.fan == 1
         flat = [c for row in self.site_colors for c in row]

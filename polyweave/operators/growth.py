@@ -141,7 +141,11 @@ def one_per_placement(library: BlockLibrary, once: str, n: int) -> str:
     ``"first"`` keeps the lowest touched slot, ``"orbit"`` one placement per symmetry class of
     the structure (lowest slot orbit, then lowest class of the touching site).  Only contacts
     that are candidates themselves count: a face label may allow contacts no rule starts from.
+    Where blocks can be twisted a place may be filled in several orientations, each reached from a bond
+    of its own; then all candidates stay and the callers keep different structures.
     """
+    if library.twists:
+        return "true"
     classes = "array(" + ",".join(map(str, library.label_classes())) + ")"
     offsets = "array(" + ",".join(map(str, library.offsets)) + ")"
     far = f"{classes}[{offsets}[new.species_j - 1] + new.hit[t.slot - 1] - 1]"

@@ -1,12 +1,13 @@
 """Plain SQL (DuckDB dialect) that recounts structures as sets of lattice cells.
 
-Nothing here is shared with the engine: structures are sorted cell lists on integer lattices
+Nothing here is shared with the engine but fixed values: structures are sorted cell lists on integer lattices
 and two structures are the same when a lattice rotation and a shift make the lists equal.
 A cell is ``[a, b, (c,) orientation, species]``.
 """
 
 from __future__ import annotations
 
+from .blocks import CUBE_REFS, CUBE_TURNS
 from .sources.tables import CUSTOMER_BOND, DAY_BOND, ORDER_BOND, TALK_BOND
 
 HEX_STEPS = [(1, 0), (0, 1), (-1, 1), (-1, 0), (0, -1), (1, -1)]
@@ -169,6 +170,47 @@ forms AS (SELECT sys, n, cells FROM lv)"""
         return f"len([1 for z in {self.variants()} if z = cells])"
 
 
+def rotation_matrix(q) -> tuple:
+    """Integer matrix of a quaternion, of any length, that turns the axes into each other."""
+    w, x, y, z = q
+    n = w * w + x * x + y * y + z * z
+    rows = ((w * w + x * x - y * y - z * z, 2 * (x * y - w * z), 2 * (x * z + w * y)),
+            (2 * (x * y + w * z), w * w - x * x + y * y - z * z, 2 * (y * z - w * x)),
+            (2 * (x * z - w * y), 2 * (y * z + w * x), w * w - x * x - y * y + z * z))
+    return tuple(tuple(v // n for v in row) for row in rows)
+
+
+class TurnedCubes(Lattice):
+    """Cubes whose faces are all different and which may be bound by any two of them, so that a block can stand in
+    any of 24 ways; an orientation is the place of its matrix in :func:`cube_turns`."""
+
+    def __init__(self):
+        super().__init__("cube")
+        times = lambda a, b: tuple(tuple(sum(a[i][k] * b[k][j] for k in range(3)) for j in range(3)) for i in range(3))
+        apply = lambda m, p: tuple(sum(m[i][k] * p[k] for k in range(3)) for i in range(3))
+        one = ((1, 0, 0), (0, 1, 0), (0, 0, 1))
+        self.matrices = all_turns = [one, *[m for m in cube_turns() if m != one]]   # a single block has orientation 0
+        number = {m: k for k, m in enumerate(all_turns)}
+        turned = [[times(rotation_matrix(t), rotation_matrix(r)) for r in CUBE_REFS] for t in CUBE_TURNS]
+        #: step across each face, number of the block bound there, face in each direction, product of turns
+        self.across = [[list(apply(m, p)) for p in self.steps] for m in all_turns]
+        self.bound = [[[number[times(m, d)] for d in row] for row in turned] for m in all_turns]
+        self.facing = [[1 + [apply(m, p) for p in self.steps].index(d) for d in self.steps] for m in all_turns]
+        self.product = [[number[times(g, m)] for m in all_turns] for g in all_turns]
+
+    def position(self, m, cell):
+        return [f"({cell}[{i + 1}] + {self.across}[{cell}[4] + 1][{m}][{i + 1}])" for i in range(3)]
+
+    def orientation(self, i, j, cell):
+        return f"{self.bound}[{cell}[4] + 1][{i}][{j}]"
+
+    def face(self, cell, delta):
+        return f"{self.facing}[{cell}[4] + 1][list_position({[list(p) for p in self.steps]}, [{', '.join(delta)}])]"
+
+    def images(self):
+        return [f"[[{', '.join(linear(r) for r in m)}, {row}[e[4] + 1], e[5]] for e in cells]" for m, row in zip(self.matrices, self.product)]
+
+
 def boxes(bonds: str, axis_of_site: list[int], max_size: int) -> str:
     """CTEs ending in ``forms(sys, n, cells)`` for boxes (rectangles with two axes) whose edges differ and whose
     opposite faces are alike.  A bond row lets two species touch across the axis of ``site_i``; a cell is

@@ -163,7 +163,7 @@ class SharedShapes:
         self.rules, self.base, self.search, self.seed = rules, f"{base}/{seed}", search, seed
         self.catalog, self.library = rules.catalog, rules.catalog.library
         #: of edges that lead from one structure to another, one is enough only if contacts that may touch may also start
-        self.one_edge = search and self.library.colors_are_classes
+        self.one_edge = search and self.library.colors_are_classes and not self.library.twists
         self.total, self.exact = 0, ["species", "partner"] if self.library.exact_arrays else ["key"]
         self.pairs = [r[0] for r in rules.lists.select(F.explode("allowed")).distinct().limit(UNION_PAIRS + 1).collect()]
 
@@ -326,7 +326,7 @@ def enumerate_levels(catalog: SystemCatalog, strategy: str, max_size: int | None
             frontier = frontier.join(written.where(F.col("verdict") == STOP).select("sys").distinct(), "sys", "left_anti")
         frontier = rules.attached(spread(_unfinished(frontier, levels, schema, each_system), got["growing"]))
         level = growth.named(growth.children(frontier, catalog, n, once="orbit" if search else "first", keep=["w"]), lib, search)
-        if not search:
+        if not search or lib.twists:
             level = growth.distinct_structures(level, lib)
         n += 1
     stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("n", T.IntegerType())])).option("basePath", levels).parquet(levels)

@@ -9,7 +9,7 @@ from ..functions.vertices import (block_vertices, first_vertex, site_first_verti
                                   vertex_table)
 from ..operators import composition as comp
 from ..operators import growth
-from ..oracle import Lattice, source
+from ..oracle import Lattice, TurnedCubes, source
 from ..plans.enumerate import counts_by_size, polyenum, polygen, with_empty
 from ..sources import tables
 from ..sources.systems import SystemCatalog, site_table
@@ -64,6 +64,11 @@ renumbered = lambda s, f: SystemCatalog.from_bonds(BlockLibrary.uniform(HEXAGON,
 COARSE_ORDER = Lattice("triangle", colors=COARSE["coarse"])
 
 
+def turned_cubes(spark, folder):
+    """One cube system per user and day of month, one bond of any two faces per event."""
+    return SystemCatalog.from_bonds(BlockLibrary.uniform(CUBE, 2), tables.bonds(spark, folder, "events", tables.DAY_BOND))
+
+
 def mixed_systems(spark, folder):
     """Triangles and squares together, one system per conversation."""
     bond = {**tables.TALK_BOND, "site_i": "CAST(length(text) % 3 + 1 AS INT)",
@@ -399,7 +404,6 @@ FROM forms GROUP BY sys, n"""
 
 FILTERED = "SELECT sys, n, count(*) AS structures FROM forms WHERE {} GROUP BY sys, n"
 CONTACTS = "list_sum([len([1 for f in cells if list_contains({}, [e[1] - f[1], e[2] - f[2]])]) for e in cells])"
-
 QUERIES = {
     "polygen_triangles": (generated(tables.order_systems, 3), recursive(ORDER, "order", 3, COUNTS)),
     "polygen_triangles_4": (generated(tables.order_systems, 4), recursive(ORDER, "order", 4, COUNTS)),
@@ -450,6 +454,8 @@ WHERE k <= 25 OR n = 1 GROUP BY sys""")),
     "polyenum_limit_each": (polyenum_limit_each, recursive(ORDER, "order", 3, """
 SELECT sys, n, count(*) AS structures FROM (SELECT sys, n, row_number() OVER (PARTITION BY sys ORDER BY n) AS k FROM forms)
 WHERE k <= 40 GROUP BY sys, n""")),
+    "polygen_turned_cubes": (generated(turned_cubes, 4), recursive(TurnedCubes(), "day", 4, COUNTS)),
+    "polyenum_turned_cubes": (searched(turned_cubes, 3), recursive(TurnedCubes(), "day", 3, SEARCHED)),
     "open_bonds": (open_bonds, recursive(ORDER, "order", 1,
         "SELECT sys, si AS species, ti AS slot, lj AS partner_label FROM pairs")),
     "attach_candidates": (attach_candidates, recursive(ORDER, "order", 1, ATTACH_SQL)),
