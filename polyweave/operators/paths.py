@@ -3,12 +3,19 @@
 Edges are ``(graph, src, dst)``.  Work is keyed by (graph, vertex), never by graph alone, so
 one very large graph is spread like any other data.  Each round is written to the shared
 checkpoint folder to cut the lineage, and deleted when the rounds after it no longer read it.
+Many small graphs need none of that: where a graph of at most ``SMALL`` edges is one row with its
+edges, it is followed within the row, whole batches at a time, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.enumerate import checkpoint_folder, delete_folder
 
@@ -17,6 +24,10 @@ from ..plans.enumerate import checkpoint_folder, delete_folder
 PLAIN_STEPS = 12
 #: share of the edges that a round of pruning has to remove for another one to be made
 WORTH = 0.1
+#: edges up to which a graph is followed within its row
+SMALL = 128
+#: paths that are grown at once within a task, rows whose paths are grown together, and vertices handed on at once
+GROWN, WALKED, GIVEN = 50_000, 1_000, 2_000_000
 
 
 class Rounds:
@@ -141,6 +152,136 @@ def connected(edges: DataFrame, starts: DataFrame, targets: DataFrame,
             .select("graph", F.coalesce(F.col("all_hit") & F.col("moved"), F.lit(False)).alias("connected")))
 
 
+def connected_rows(rows: DataFrame) -> DataFrame:
+    """:func:`connected` of rows ``(graph, n_edges, edges, start, targets, forbidden)``, one for each graph.
+
+    ``edges`` is an array of ``n_edges`` structs ``src, dst`` of whole numbers, ``targets`` and ``forbidden`` are arrays.  Graphs of more
+    than ``SMALL`` edges go by joins.
+    """
+    own = rows.where(F.col("n_edges") <= SMALL)
+    seen = arrow_udf(_reached_batch, "array<bigint>")("edges", F.col("start").cast("long"), F.col("forbidden").cast("array<bigint>"))
+    all_hit = (F.size("targets") > 0) & (F.size(F.array_except(F.col("targets").cast("array<bigint>"), "seen")) == 0)
+    found = own.withColumn("seen", seen).select("graph", (all_hit & (F.size("seen") > 1)).alias("connected"))
+    rest = rows.where(F.col("n_edges") > SMALL)
+    if rest.isEmpty():
+        return found
+    return found.unionByName(connected(
+        rest.selectExpr("graph", "inline(edges)"), rest.select("graph", F.col("start").alias("vertex")),
+        rest.select("graph", F.explode("targets").alias("vertex")), rest.select("graph", F.explode("forbidden").alias("vertex"))))
+
+
+def simple_paths_rows(rows: DataFrame) -> DataFrame:
+    """:func:`simple_paths` of rows ``(graph, v, w, n_edges, edges)``, with the edges as for :func:`connected_rows`."""
+    kinds = T.StructType([rows.schema["graph"], T.StructField("path", T.ArrayType(rows.schema["v"].dataType))])
+    names, types = kinds.names, [to_arrow_type(f.dataType) for f in kinds]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, WALKED):
+                part = batch.slice(at, WALKED)
+                for row, path in _paths_batch(*part.columns[1:]):
+                    step = max(1, GIVEN // path.shape[1])
+                    for low in range(0, len(row), step):
+                        some = path[low:low + step]
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * some.shape[1]), pa.array(some.ravel()))
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[low:low + step])).cast(types[0]), lists.cast(types[1])], names)
+
+    own = rows.where(F.col("n_edges") <= SMALL).select("graph", F.col("v").cast("long"), F.col("w").cast("long"), "edges")
+    found = own.mapInArrow(run, kinds)
+    rest = rows.where(F.col("n_edges") > SMALL)
+    return found if rest.isEmpty() else found.unionByName(simple_paths(rest.selectExpr("graph", "inline(edges)"), rest.select("graph", "v", "w")))
+
+
+def _flat_edges(edges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of every edge of a column of edge lists."""
+    row = np.repeat(np.arange(len(edges)), np.diff(edges.offsets.to_numpy()))
+    pairs = edges.flatten()
+    src, dst = (pairs.field(f).cast(pa.int64()).to_numpy(zero_copy_only=False) for f in ("src", "dst"))
+    return row, src, dst
+
+
+def _numbered(row: np.ndarray, *vertices: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Rows and values of the different (row, vertex) pairs, in order, and the numbers of the given vertices among them."""
+    values, at = np.unique(np.concatenate(vertices), return_inverse=True)
+    codes, number = np.unique(np.concatenate([row] * len(vertices)) * max(len(values), 1) + at, return_inverse=True)
+    return codes // max(len(values), 1), values[codes % max(len(values), 1)], np.split(number, len(vertices))
+
+
+def _spread(mark: np.ndarray, src: np.ndarray, dst: np.ndarray) -> None:
+    """Mark all that is reached from marked vertices along the edges."""
+    while len(src):
+        on = mark[src] & ~mark[dst]
+        if not on.any():
+            return
+        mark[dst[on]] = True
+        left = ~mark[dst]
+        src, dst = src[left], dst[left]
+
+
+def _reached_batch(edges: pa.Array, start: pa.Array, forbidden: pa.Array) -> pa.Array:
+    row, src, dst = _flat_edges(edges)
+    start = start.to_numpy(zero_copy_only=False)
+    all_rows = np.arange(len(start))
+    walls = np.repeat(all_rows, np.diff(forbidden.offsets.to_numpy())), forbidden.flatten().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([row, all_rows, walls[0]]), np.concatenate([src, start, walls[1]]), np.concatenate([dst, start, walls[1]])
+    of, value, (a, b) = _numbered(*ends)
+    mark, wall = np.zeros(len(of), bool), np.zeros(len(of), bool)
+    mark[a[len(row):len(row) + len(start)]] = True
+    wall[a[len(row) + len(start):]] = True
+    a, b = a[:len(row)], b[:len(row)]
+    open_ = ~wall[b]
+    _spread(mark, a[open_], b[open_])
+    sizes = np.bincount(of[mark], minlength=len(start))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(value[mark], pa.int64()))
+
+
+def _paths_batch(v: pa.Array, w: pa.Array, edges: pa.Array):
+    """``(row, path)`` arrays of simple paths, those of one length together; at most ``GROWN`` are grown at once."""
+    row, src, dst = _flat_edges(edges)
+    v, w = v.to_numpy(zero_copy_only=False), w.to_numpy(zero_copy_only=False)
+    same = np.flatnonzero(v == w)
+    if len(same):
+        yield same, v[same][:, None]
+    use = (src != dst) & (dst != v[row]) & (src != w[row])
+    all_rows = np.arange(len(v))
+    of, value, (a, b) = _numbered(np.concatenate([row[use], all_rows]), np.concatenate([src[use], v]), np.concatenate([dst[use], w]))
+    n = int(use.sum())
+    first, last, a, b = a[n:], b[n:], a[:n], b[:n]
+    leads = np.zeros(len(of), bool)
+    leads[last] = True
+    _spread(leads, b, a)
+    arcs = np.unique((a * len(of) + b)[leads[b]])
+    a, b = np.divmod(arcs, max(len(of), 1))
+    # a bit for each vertex that can be entered; there are no more of these than edges
+    entered = np.unique(b)
+    bit, word = np.zeros(len(of), np.uint64), np.zeros(len(of), np.int64)
+    before = np.searchsorted(of[entered], of[entered], side="left")
+    word[entered], place = np.divmod(np.arange(len(entered)) - before, 64)
+    bit[entered] = np.uint64(1) << place.astype(np.uint64)
+    begin, degree = np.searchsorted(a, np.arange(len(of))), np.bincount(a, minlength=len(of))
+    apart = np.flatnonzero(v != w)
+    open_ = [(first[apart][:, None], np.zeros((len(apart), int(word.max(initial=0)) + 1), np.uint64))]
+    while open_:
+        path, seen = open_.pop()
+        if len(path) > GROWN:
+            open_.append((path[GROWN:], seen[GROWN:]))
+            path, seen = path[:GROWN], seen[:GROWN]
+        here = path[:, -1]
+        fan = degree[here]
+        host = np.repeat(np.arange(len(path)), fan)
+        to = b[np.repeat(begin[here] - np.cumsum(fan) + fan, fan) + np.arange(len(host))]
+        free = (seen[host, word[to]] & bit[to]) == 0
+        host, to = host[free], to[free]
+        path, seen = np.concatenate([path[host], to[:, None]], axis=1), seen[host]
+        seen[np.arange(len(to)), word[to]] |= bit[to]
+        rows = of[to]
+        done = to == last[rows]
+        if done.any():
+            yield rows[done], value[path[done]]
+        if not done.all():
+            open_.append((path[~done], seen[~done]))
+
+
 def simple_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
     """All simple paths: ``(graph, path)`` for every ``(graph, v, w)`` of ``ends``.
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.paths import connected, simple_paths
+from ..operators.paths import connected_rows, simple_paths_rows
+from ..operators.system_graph import graph_rows
+from ..plans.enumerate import spread
+from ..sources.systems import SystemCatalog
 from ..sources.tables import order_systems
 from .systems import ORDERS
 
@@ -49,19 +52,22 @@ keyed AS (SELECT sys, n_species, min(list_sort([least(m[r.i], m[r.j]) * 10 + gre
 SELECT sys, min(sys) OVER (PARTITION BY n_species, key) AS first_sys FROM keyed"""
 
 
-def _edges(catalog):
-    return catalog.anatomy().select(F.col("sys").alias("graph"), "src", "dst")
+def _by_rules(spark, folder, answers):
+    """``answers`` (of ``graph_rows``, by ``graph``) for the system of every order; systems with the same rules have one graph."""
+    catalog = order_systems(spark, folder).stored()
+    lists = SystemCatalog(catalog.library, catalog.rows.groupBy("n_species", "rules").agg(F.min("sys").alias("sys"))).stored()
+    dealt = SystemCatalog(catalog.library, spread(lists.rows, lists.rows.count()))
+    found = answers(graph_rows(dealt).withColumnRenamed("sys", "graph")).withColumnRenamed("graph", "sys")
+    named = lists.rows.join(found, "sys").drop("sys")
+    return catalog.rows.select("sys", "n_species", "rules").join(named, ["n_species", "rules"]).drop("n_species", "rules")
 
 
 def reachability(spark, folder):
     """Can site 1 reach every bond of its system without entering species 2?"""
-    catalog = order_systems(spark, folder).stored()
-    rows = catalog.rows.select(F.col("sys").alias("graph"), "n_species", F.expr("size(filter(rules, r -> r.i <= r.j))").alias("k"))
-    starts = rows.select("graph", F.lit(1).alias("vertex"))
-    targets = rows.select("graph", F.explode(F.sequence(3 * F.col("n_species") + 1, 3 * F.col("n_species") + F.col("k"))).alias("vertex"))
-    forbidden = rows.select("graph", F.explode(F.array(F.lit(4), F.lit(5), F.lit(6))).alias("vertex"), "n_species") \
-        .where("n_species >= 2").drop("n_species")
-    return connected(_edges(catalog), starts, targets, forbidden).withColumnRenamed("graph", "sys")
+    bonds = F.transform(F.sequence(F.lit(1), F.col("n_bonds")), lambda k: 3 * F.col("n_species") + k)
+    walls = F.when(F.col("n_species") >= 2, F.array(F.lit(4), F.lit(5), F.lit(6))).otherwise(F.array().cast("array<int>"))
+    return _by_rules(spark, folder, lambda rows: connected_rows(rows.select(
+        "graph", "n_edges", "edges", F.lit(1).alias("start"), bonds.alias("targets"), walls.alias("forbidden"))))
 
 
 REACH_SQL = f"""WITH RECURSIVE {GRAPH},
@@ -74,11 +80,11 @@ GROUP BY b.sys"""
 
 def simple_path_counts(spark, folder):
     """Simple paths from site 1 of the first block to site 1 of the last."""
-    catalog = order_systems(spark, folder).stored()
-    ends = catalog.rows.select(F.col("sys").alias("graph"), F.lit(1).alias("v"), (3 * F.col("n_species") - 2).alias("w"))
-    found = simple_paths(_edges(catalog), ends)
-    return found.groupBy(F.col("graph").alias("sys")).agg(F.count(F.lit(1)).alias("paths"),
-                                                          F.sum(F.size("path")).alias("vertices"))
+    def counts(rows):
+        found = simple_paths_rows(rows.select("graph", F.lit(1).alias("v"), (3 * F.col("n_species") - 2).alias("w"), "n_edges", "edges"))
+        return found.groupBy("graph").agg(F.count(F.lit(1)).alias("paths"), F.sum(F.size("path")).alias("vertices"))
+
+    return _by_rules(spark, folder, counts)
 
 
 PATHS_SQL = f"""WITH RECURSIVE {GRAPH},

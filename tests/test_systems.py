@@ -212,3 +212,27 @@ def test_no_path_is_grown_into_dead_ends(spark, monkeypatch):
     monkeypatch.undo()
     want = [(0, 1, 2, 3), (0, 3), (1,)] + [(0, 1, 2, k, 3) for k in range(100, 130)]
     assert sorted(tuple(r.path) for r in simple_paths(df, ends).collect()) == sorted(want)
+
+
+def test_graphs_in_rows_as_by_joins(spark, monkeypatch):
+    import random
+    from polyweave.operators import paths
+    monkeypatch.setattr(paths, "SMALL", 90)
+    monkeypatch.setattr(paths, "GROWN", 7)
+    monkeypatch.setattr(paths, "GIVEN", 20)
+    rnd, rows = random.Random(5), []
+    for g in range(24):
+        n = rnd.choice((4, 6, 7))
+        edges = {(rnd.randrange(n) * 10 ** 9, rnd.randrange(n) * 10 ** 9) for _ in range(rnd.randrange(1, 3 * n))}
+        edges |= {(10 ** 9, k) for k in range(100 if g == 3 else 80 if g == 4 else 0)} | {(k, 0) for k in range(100 if g == 3 else 80 if g == 4 else 0) if k}
+        rows.append((g, rnd.choice((0, 10 ** 9)), 0 if g % 8 == 1 else 2 * 10 ** 9, len(edges) + 30 * (g % 6 == 5) * len(edges),
+                     sorted(edges), [0, 10 ** 9][:g % 3], [3 * 10 ** 9] * (g % 2)))
+    df = spark.createDataFrame(rows, "graph bigint, v bigint, w bigint, n_edges int, edges array<struct<src: bigint, dst: bigint>>, "
+                                     "targets array<bigint>, forbidden array<bigint>")
+    edges, ends = df.selectExpr("graph", "inline(edges)"), df.select("graph", "v", "w")
+    got, want = (sorted((r.graph, tuple(r.path)) for r in t.collect()) for t in (paths.simple_paths_rows(df), simple_paths(edges, ends)))
+    assert got == want and len(got) > 100
+    starts = df.select("graph", F.col("v").alias("vertex"))
+    slow = connected(edges, starts, df.selectExpr("graph", "explode(targets) AS vertex"), df.selectExpr("graph", "explode(forbidden) AS vertex"))
+    fast = paths.connected_rows(df.withColumnRenamed("v", "start"))
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect())) and {r.connected for r in fast.collect()} == {True, False}
