@@ -236,3 +236,12 @@ def test_graphs_in_rows_as_by_joins(spark, monkeypatch):
     slow = connected(edges, starts, df.selectExpr("graph", "explode(targets) AS vertex"), df.selectExpr("graph", "explode(forbidden) AS vertex"))
     fast = paths.connected_rows(df.withColumnRenamed("v", "start"))
     assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect())) and {r.connected for r in fast.collect()} == {True, False}
+
+
+def test_vertices_are_listed_for_different_blocks_only(spark):
+    import re
+    from polyweave.suite import structures
+    for query in (structures.vertex_index, structures.vertex_inverse, structures.vertex_lookup):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[:re.search(r"Aggregate \[[^\]]*species#\d+", plan).start()]
+        assert above.count("Generate") >= 1  # the vertices are generated after structures with the same blocks are counted
