@@ -22,7 +22,7 @@ SLANTED = {"w": "CAST(p_size % 3 + 1 AS DOUBLE)", "h": "CAST(p_partkey % 4 + 1 A
 
 def slanted_parts(spark, folder):
     """Sites, rotations, radii and rotation group of one parallelogram per part."""
-    df = tables.read(spark, folder, "part").selectExpr("p_partkey", *[f"{e} AS {c}" for c, e in SLANTED.items()])
+    df = tables.widen(tables.read(spark, folder, "part")).selectExpr("p_partkey", *[f"{e} AS {c}" for c, e in SLANTED.items()])
     w, h, k, zero = F.col("w"), F.col("h"), F.col("k"), F.lit(0.0)
     first, left, top, right = rot.point(zero, zero), rot.point(k, 2 * h), rot.point(2 * w + k, 2 * h), rot.point(2 * w, zero)
     corners = F.when(F.col("back"), F.array(first, right, top, left)).otherwise(F.array(first, left, top, right))

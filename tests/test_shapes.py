@@ -92,3 +92,8 @@ def test_alike_faces_of_a_rectangle_are_told_apart_by_its_rotations(spark):
     """With one face label for all four sites a square block looks the same after a quarter turn, a rectangle does not."""
     tables = lambda shape: BlockLibrary.uniform(shape, 1, [1, 1, 1, 1]).label_classes()
     assert tables(SQUARE) == [1, 1, 1, 1] and tables(polygon_of(RECTANGLE)) == [1, 2, 1, 2]
+
+
+def test_parts_are_dealt_over_all_cores(spark):
+    from polyweave.suite.shapes import slanted_parts
+    assert slanted_parts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
