@@ -281,3 +281,48 @@ def test_a_stop_ends_its_own_system(spark):
     run = polyenum(catalog, max_size=4, rejector=lambda df: F.when(F.col("n") == F.col("sys") % 4 + 1, 3).otherwise(0))
     assert run.broke and count(run.structures) == {(s, n): c for (s, n), c in whole.items() if n <= s % 4 + 1}
     assert {n for _, n in whole} == {1, 2, 3, 4} and run.n_structures < sum(whole.values())
+
+
+def test_steps_are_dealt_by_their_rows(spark, monkeypatch):
+    """A level is grown in as many tasks as its rows ask for; dealt by list, or by structure as well if a list may have many."""
+    from polyweave.plans import enumerate as plans
+    from polyweave.sources import tables
+    catalog = tables.order_systems(spark, "/root/testdata/sf0.001")
+    flat = lambda df: sorted((r["sys"], r["n"], tuple(r["species"]), tuple(r["partner"])) for r in df.collect())
+    monkeypatch.setattr(plans, "SHARED_LISTS", 0)
+    step, tasks = plans.SharedShapes.step, []
+
+    def watched(self, frontier, *rest):
+        level = step(self, frontier, *rest)
+        tasks.append((frontier.count(), level.rdd.getNumPartitions()))
+        return level
+
+    monkeypatch.setattr(plans.SharedShapes, "step", watched)
+    found = {}
+    for size, many in ((1 << 40, 1 << 40), (300, 300), (300, 1 << 40)):
+        monkeypatch.setattr(plans, "ROWS_PER_STEP", size)
+        monkeypatch.setattr(plans, "ROWS_PER_TASK", min(size, 20_000))
+        if many > size:  # few structures, so that rows of a list meet
+            monkeypatch.setattr(plans.SharedShapes, "count", property(lambda self: 64, lambda self, n: None), raising=False)
+        tasks.clear()
+        found[size, many] = flat(plans.enumerate_levels(catalog, "levels", 3).structures)
+        assert size > 300 or all(number >= rows / size for rows, number in tasks) and max(rows for rows, _ in tasks) > 8 * size
+    assert len({str(f) for f in found.values()}) == 1 and len(found[300, 300]) > 5000
+
+
+def test_summaries_are_made_by_rule_list(spark, monkeypatch):
+    """The rows to be summarised are those of the different rule lists; the result is the one system by system."""
+    from polyweave.plans import enumerate as plans
+    from polyweave.sources import tables
+    catalog = tables.day_systems(spark, "/root/testdata/sf0.001")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for limit in (0, 1 << 40):
+        monkeypatch.setattr(plans, "SHARED_LISTS", limit)
+        for strategy, each in (("levels", None), ("reverse_search", None), ("reverse_search", 9)):
+            run = plans.enumerate_levels(catalog, strategy, 3, each_system=each)
+            assert rows(run.by_system(plans.counts_by_size)) == rows(plans.counts_by_size(run.structures))
+            assert run.shared.count() < run.structures.count() == run.n_structures
+    cut = plans.enumerate_levels(catalog, "levels", 3, 500)
+    assert rows(cut.by_system(plans.counts_by_size)) == rows(plans.counts_by_size(cut.structures))
+    one = AssemblySystem(spark, CYCLIC, TRIANGLE)
+    assert [r["structures"] for r in sorted(polygen(one, max_size=4, summary=plans.counts_by_size).collect())] == GOLDEN["cyclic"][4][:4]
