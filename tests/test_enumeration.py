@@ -316,13 +316,28 @@ def test_summaries_are_made_by_rule_list(spark, monkeypatch):
     from polyweave.sources import tables
     catalog = tables.day_systems(spark, "/root/testdata/sf0.001")
     rows = lambda df: sorted(map(tuple, df.collect()))
+    size = lambda df: (F.col("n") * 8 + F.size(F.filter("species", lambda s: s == 1))).cast("bigint")
+    either = lambda a, b: a ^ b
     for limit in (0, 1 << 40):
         monkeypatch.setattr(plans, "SHARED_LISTS", limit)
         for strategy, each in (("levels", None), ("reverse_search", None), ("reverse_search", 9)):
             run = plans.enumerate_levels(catalog, strategy, 3, each_system=each)
             assert rows(run.by_system(plans.counts_by_size)) == rows(plans.counts_by_size(run.structures))
             assert run.shared.count() < run.structures.count() == run.n_structures
+        got = polyenum(catalog, max_size=3, fold_by=("sys",), fold_lists=True, reduce_op=either, reducer=size)
+        assert rows(got.reduced) == rows(plans.fold_table(got.structures, size, either))
     cut = plans.enumerate_levels(catalog, "levels", 3, 500)
     assert rows(cut.by_system(plans.counts_by_size)) == rows(plans.counts_by_size(cut.structures))
     one = AssemblySystem(spark, CYCLIC, TRIANGLE)
     assert [r["structures"] for r in sorted(polygen(one, max_size=4, summary=plans.counts_by_size).collect())] == GOLDEN["cyclic"][4][:4]
+
+
+def test_equal_whole_numbers_are_folded_by_doubling(spark):
+    from polyweave.plans import enumerate as plans
+    frame = spark.range(30_000).selectExpr("id % 3 AS sys", "CAST(2 AS INT) AS n", "array(1S, 1S) AS species", "array(0S) AS partner", "array(1) AS allowed")
+    add = lambda a, b: a + b
+    table = plans.fold_table(frame, lambda df: F.col("n") * 5 + 1, add)
+    assert {r["sys"]: r["value"] for r in table.collect()} == {s: 10_000 * 11 + 1 for s in range(3)}
+    assert "FlatMapGroupsInArrow" not in table._jdf.queryExecution().toString()  # groups go by in one call a task
+    words = plans.fold_table(frame, lambda df: F.col("n") * 0.5, max, ())
+    assert words.first()["value"] == 1.0
