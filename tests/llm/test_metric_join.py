@@ -1,6 +1,9 @@
+import os
+
 import numpy as np
 import pytest
 from compare import compare
+from pyspark.sql import functions as F
 
 from polyweave.llm import metric_join
 from polyweave.llm.queries import registered
@@ -65,3 +68,25 @@ def test_odd_rows(spark):
 def test_query_matches_sql(spark, con, small):
     ok, text = compare(spark, con, small, "op12_metric_join", *registered()["op12_metric_join"])
     assert ok, text
+
+
+def shuffled(spark):
+    """Bytes of the session's shuffle files, by name."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {os.path.join(at, f): os.path.getsize(os.path.join(at, f)) for folder in folders for at, _, files in os.walk(folder) for f in files if f.endswith(".data")}
+
+
+def test_vectors_are_not_copied_for_each_tile_they_meet(spark, monkeypatch):
+    d, n, found, real = 24, 1200, {}, metric_join.settle
+    before = shuffled(spark)
+
+    def settled(df):
+        out = real(df)
+        found.update({name: size for name, size in shuffled(spark).items() if name not in before})
+        return out
+
+    monkeypatch.setattr(metric_join, "settle", settled)
+    frame = spark.range(n).select(F.col("id").alias("vec_id"), F.array(*[F.randn(k).cast("float") for k in range(d)]).alias("embedding"))
+    got = metric_join.near_duplicates(frame, 0.95, tile_rows=60, cell_rows=n).agg(F.count("*"), F.sum("n_links")).first()
+    assert tuple(got) == (n, 0)
+    assert 0 < sum(found.values()) < 8 * n * d * 4
